@@ -123,17 +123,17 @@ def dedupe_lines(lines: DataFrame, tol: float, block: int = 64) -> DataFrame:
     spots = lines.groupBy("x").agg(F.min(F.struct("list_no", "pos")).alias("rank")).withColumn("state", F.lit(0))
     # range frames include their ends, but a line exactly tol away is no duplicate
     within = math.nextafter(float(tol), 0.0)
-    near = Window.partitionBy("_b").orderBy("x").rangeBetween(-within, within)
+    near = f"OVER (PARTITION BY _b ORDER BY x RANGE BETWEEN {within!r}D PRECEDING AND {within!r}D FOLLOWING)"
     while True:
         home = F.floor(F.col("x") / width)
         reach = F.array_distinct(F.array(F.floor((F.col("x") - t) / width), home, F.floor((F.col("x") + t) / width)))
         spread = spots.withColumn("_home", home).withColumn("_b", F.explode(reach))
         undecided = F.col("state") == 0
-        first = spread.withColumn("_first", F.min(F.when(undecided, F.col("rank"))).over(near))
+        first = spread.withColumn("_first", F.expr(f"min(CASE WHEN state = 0 THEN rank END) {near}"))
         # margins differ from home rows near the outer edge of a margin, so only home rows decide
         chosen = first.filter("_b = _home").withColumn("state", F.when(undecided & (F.col("rank") == F.col("_first")), 1).otherwise(F.col("state")))
         again = chosen.select("x", "rank", "state", "_home").withColumn("_b", F.explode(reach))
-        ruled = again.withColumn("_kept", F.max((F.col("state") == 1).cast("int")).over(near)).filter("_b = _home")
+        ruled = again.withColumn("_kept", F.expr(f"max(CAST(state = 1 AS INT)) {near}")).filter("_b = _home")
         spots = checkpointed(ruled.select("x", "rank", F.when((F.col("state") == 0) & (F.col("_kept") == 1), 2).otherwise(F.col("state")).alias("state")))
         if spots.filter("state = 0").isEmpty():
             break

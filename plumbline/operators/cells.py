@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import kernels, measure
 from plumbline.functions.losses import Loss
-from plumbline.runtime import pin_small
+from plumbline.runtime import arrow_map, pin_small
 
 
 def dot(a: Column, g: Column, k: int) -> Column:
@@ -25,18 +25,22 @@ def dot(a: Column, g: Column, k: int) -> Column:
     return out
 
 
-def with_basis(cells: DataFrame, basis: DataFrame) -> DataFrame:
-    return cells.join(pin_small(basis.select("feat_id", "g")), "feat_id")
+def with_basis(cells: DataFrame, basis: DataFrame, how: str = "inner") -> DataFrame:
+    return cells.join(pin_small(basis.select("feat_id", "g")), "feat_id", how)
 
 
-def with_coeffs(cells: DataFrame, coeffs: DataFrame, keys: tuple[str, ...] = ("obj_id",)) -> DataFrame:
-    return cells.join(coeffs.select(*keys, "a"), list(keys))
+def with_coeffs(cells: DataFrame, coeffs: DataFrame, how: str = "inner") -> DataFrame:
+    return cells.join(coeffs.select("obj_id", "a"), "obj_id", how)
 
 
 def with_prediction(cells: DataFrame, coeffs: DataFrame, basis: DataFrame, k: int) -> DataFrame:
-    """Add ``pred`` (the reconstruction) and ``r`` (the residual) to every cell."""
-    joined = with_coeffs(with_basis(cells, basis), coeffs)
-    return joined.withColumn("pred", dot(F.col("a"), F.col("g"), k)).withColumn("r", F.col("y") - F.col("pred")).drop("a", "g")
+    """Add ``pred`` (the reconstruction) and ``r`` (the residual) to every cell.
+
+    Cells of a feature or an object without any data are predicted as zero; they are all missing.
+    """
+    joined = with_coeffs(with_basis(cells, basis, "left"), coeffs, "left")
+    pred = F.coalesce(dot(F.col("a"), F.col("g"), k), F.lit(0.0))
+    return joined.withColumn("pred", pred).withColumn("r", F.col("y") - F.col("pred")).drop("a", "g")
 
 
 def with_weights(cells: DataFrame, loss: Loss) -> DataFrame:
@@ -87,7 +91,7 @@ def _solve_batches(sums: DataFrame, key: str, out: str, k: int, ridge: float | N
                 [batch.column(key), kernels.lists(v), batch.column("n_valid")], names=[key, out, "n_valid"]
             )
 
-    solved = sums.mapInArrow(solve, f"{key} {key_type}, {out} array<double>, n_valid bigint")
+    solved = arrow_map(sums, solve, f"{key} {key_type}, {out} array<double>, n_valid bigint")
     return solved.withColumn(out, F.when(F.col("n_valid") > 0, F.col(out)))
 
 

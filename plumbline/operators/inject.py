@@ -123,7 +123,8 @@ def missing_segments(
         length = F.lit(min_length) + F.floor(uniform(f"{seed}/gap/l{i}", F.col("obj_id")) * (longest - min_length + 1))
         begin = F.col("s") + F.floor(uniform(f"{seed}/gap/s{i}", F.col("obj_id")) * (F.col("len") - F.col("_l") + 1))
         cut = one.withColumn("_l", length).withColumn("_b", begin)
-        new = cut.select("obj_id", F.explode(F.sequence(F.col("_b"), F.col("_b") + F.col("_l") - 1)).cast("int").alias("feat_id"))
+        stretch = F.sequence(F.col("_b").cast("int"), (F.col("_b") + F.col("_l") - 1).cast("int"))
+        new = cut.select("obj_id", F.explode(stretch).alias("feat_id"))
         gaps = new if gaps is None else gaps.union(new)
     marked = cells.join(gaps.withColumn("_x", F.lit(True)), ["obj_id", "feat_id"], "left")
     hit = F.col("_x").isNotNull()

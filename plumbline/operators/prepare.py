@@ -27,10 +27,10 @@ def prepare_objects(df: DataFrame, y: str = "y", sigma: str = "sigma") -> DataFr
         F.arrays_zip(F.col(y).alias("y"), F.col(sigma).alias("s")),
         lambda c: F.struct(c["y"].cast("double").alias("y"), measure.inverse_variance(c["s"].cast("double")).alias("w")),
     )
-    return df.drop(sigma).withColumns({
+    return df.withColumns({
         y: F.transform(cells, lambda c: measure.zero_if_missing(c["y"], c["y"], c["w"])),
         "w": F.transform(cells, lambda c: measure.zero_if_missing(c["w"], c["y"], c["w"])),
-    })
+    }).drop(sigma)
 
 
 def _edges(clip: int | tuple[int, int]) -> tuple[int, int]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.functions import kernels
 from plumbline.plans.passes import Passes, Sums
 from plumbline.plans.start import top_singular
+from plumbline.runtime import arrow_map
 
 # The pursuit sends a features x features matrix to the tasks and sums one back.
 PURSUIT_FEATURES = 4096
@@ -35,7 +36,7 @@ class Components:
                     )
 
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in objects.schema.fields)
-        return objects.mapInArrow(run, f"{fields}, a array<double>, pred array<double>")
+        return arrow_map(objects, run, f"{fields}, a array<double>, pred array<double>")
 
 
 def principal_components(objects: DataFrame, k: int, buckets: int | None = None, gram_features: int | None = None) -> Components:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions import kernels
-from plumbline.runtime import Scratch
+from plumbline.runtime import Scratch, arrow_map
 
 KEYS = ["grp", "obj_id"]
 # Matrices travel as rows of at most this many numbers, summed as that many scalar columns.
@@ -156,7 +156,7 @@ class Passes:
 
     def run(self, step, shapes: dict[int, tuple[int, int]], rows: DataFrame | None = None, keep: bool = True) -> dict[int, np.ndarray]:
         """One pass: map, write, sum. With ``keep`` the emitted vectors become the new state."""
-        mapped = (self.rows() if rows is None else rows).mapInArrow(mapper(step, self.width), ROW_SCHEMA)
+        mapped = arrow_map(self.rows() if rows is None else rows, mapper(step, self.width), ROW_SCHEMA)
         if not keep:
             return collect_sums(mapped.filter("kind = 'sum'"), shapes)
         name = f"pass_{self.n}"

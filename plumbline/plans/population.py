@@ -16,7 +16,7 @@ from plumbline.operators import bins as pop, metrics
 from plumbline.operators.prepare import objects_to_cells
 from plumbline.plans.fit import FittedModel, ModelSpec, Settings, fit_many
 from plumbline.plans.passes import blocks
-from plumbline.runtime import BROADCAST_BYTES, checkpointed, pin_small
+from plumbline.runtime import BROADCAST_BYTES, arrow_map, checkpointed, pin_small
 from plumbline.sources.store import ModelStore, ResultStore
 
 # A list of bins longer than this is no list of populations.
@@ -109,7 +109,7 @@ def infer_many(objects: DataFrame, models: list[FittedModel], max_iter: int = 10
                         )
 
         rows = objects.select(F.col("bin").cast("int").alias("bin"), F.col("obj_id").cast("bigint").alias("obj_id"), "y", "w")
-        return rows.mapInArrow(run, "model_id string, bin int, obj_id bigint, a array<double>")
+        return arrow_map(rows, run, "model_id string, bin int, obj_id bigint, a array<double>")
 
     return _union([wave(ms) for ms in _waves(models)])
 
@@ -138,7 +138,7 @@ def apply_many(objects: DataFrame, coeffs: DataFrame, models: list[FittedModel])
                         )
 
         mine = joined if len(ms) == len(models) else joined.filter(F.col("model_id").isin([m.model_id for m in ms]))
-        return mine.mapInArrow(
+        return arrow_map(mine, 
             run,
             "model_id string, bin int, obj_id bigint, y array<double>, w array<double>, pred array<double>, r array<double>, w_rob array<double>",
         )

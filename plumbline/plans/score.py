@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 from plumbline.functions import kernels
 from plumbline.functions.scores import ARRAY_SCORES
 from plumbline.plans.passes import blocks
+from plumbline.runtime import arrow_map
 
 
 def _extended(schema: StructType, extra: str) -> StructType:
@@ -59,7 +60,7 @@ def infer(
                 n_valid = (w > 0).sum(axis=1).astype(np.int32)
                 yield _append(block, {"a": _nullable(a, n_valid > 0), "n_steps": pa.array(steps), "n_valid": pa.array(n_valid)})
 
-    return objects.mapInArrow(run, _extended(objects.schema, "a array<double>, n_steps int, n_valid int"))
+    return arrow_map(objects, run, _extended(objects.schema, "a array<double>, n_steps int, n_valid int"))
 
 
 def apply(objects: DataFrame, model) -> DataFrame:
@@ -85,7 +86,7 @@ def apply(objects: DataFrame, model) -> DataFrame:
                 r = y - pred
                 yield _append(block, {"pred": kernels.lists(pred), "r": kernels.lists(r), "w_rob": kernels.lists(loss.weight_np(w, r))})
 
-    return objects.mapInArrow(run, _extended(objects.schema, "pred array<double>, r array<double>, w_rob array<double>"))
+    return arrow_map(objects, run, _extended(objects.schema, "pred array<double>, r array<double>, w_rob array<double>"))
 
 
 def reconstruct(coeffs: DataFrame, model, only: DataFrame | None = None) -> DataFrame:
@@ -103,7 +104,7 @@ def reconstruct(coeffs: DataFrame, model, only: DataFrame | None = None) -> Data
 
     given = coeffs.filter(F.col("a").isNotNull()).select("obj_id", "a")
     id_type = given.schema["obj_id"].dataType.simpleString()
-    return given.mapInArrow(run, f"obj_id {id_type}, pred array<double>")
+    return arrow_map(given, run, f"obj_id {id_type}, pred array<double>")
 
 
 def score(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -85,3 +89,27 @@ def pin_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BR
     if table.num_rows > max_rows or table.nbytes > max_bytes:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(table, schema=df.schema))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a Spark application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    handle, archive = tempfile.mkstemp(prefix="plumbline-", suffix=".zip")
+    os.close(handle)
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
+def arrow_map(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with the package made available to the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
