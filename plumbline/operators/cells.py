@@ -30,7 +30,8 @@ def with_basis(cells: DataFrame, basis: DataFrame, how: str = "inner") -> DataFr
 
 
 def with_coeffs(cells: DataFrame, coeffs: DataFrame, how: str = "inner") -> DataFrame:
-    return cells.join(coeffs.select("obj_id", "a"), "obj_id", how)
+    # hashing the few coefficients of a partition spares the cells a sort; laid out alike, neither side moves
+    return cells.join(coeffs.select("obj_id", "a").hint("shuffle_hash"), "obj_id", how)
 
 
 def with_prediction(cells: DataFrame, coeffs: DataFrame, basis: DataFrame, k: int) -> DataFrame:

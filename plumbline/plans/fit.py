@@ -76,6 +76,8 @@ class FittedModel:
     n_iter: int = 0
     converged: bool = False
     ridge: float | None = None
+    # the training objects with their coefficients, joined without a shuffle
+    training: DataFrame | None = None
 
     @property
     def model_id(self) -> str:
@@ -100,7 +102,7 @@ class FittedModel:
         return self.spark.createDataFrame(rows, "model_id string, iter int, loss double")
 
     def with_coeffs(self, coeffs: DataFrame) -> "FittedModel":
-        return replace(self, coeffs=coeffs)
+        return replace(self, coeffs=coeffs, training=None)
 
     def infer(self, objects: DataFrame, **options) -> DataFrame:
         """Coefficients of any objects with this basis held fixed."""
@@ -113,10 +115,18 @@ class FittedModel:
 
         return score(objects, self, **options)
 
-    def apply(self, objects: DataFrame, coeffs: DataFrame | None = None) -> DataFrame:
-        """Objects with their reconstruction, residuals and robust weights as arrays."""
+    def apply(self, objects: DataFrame | None = None, coeffs: DataFrame | None = None) -> DataFrame:
+        """Objects with their reconstruction, residuals and robust weights as arrays.
+
+        By default the training objects, which lie next to their coefficients; other objects are
+        joined to the coefficients given. For objects without coefficients use ``score``.
+        """
         from plumbline.plans.score import apply
 
+        if objects is None:
+            if self.training is None:
+                raise ValueError("this model has no training objects")
+            return apply(self.training, self)
         return apply(objects.join(coeffs if coeffs is not None else self.coeffs, "obj_id"), self)
 
 
@@ -138,6 +148,7 @@ class _Turn:
     seen_g: np.ndarray | None = None
     seen_loss: float = np.inf
     losses: list[float] = field(default_factory=list)
+    size: float = 0.0
 
     def __post_init__(self):
         self.t = np.eye(self.spec.k)
@@ -243,15 +254,17 @@ def fit_many(
     settings: Settings = Settings(),
     init: dict[str, tuple[np.ndarray, DataFrame | None]] | None = None,
     buckets: int | None = None,
+    ready: bool = False,
 ) -> dict[str, FittedModel]:
     """Fit several models at once to ``objects(grp, obj_id, y, w)``.
 
     ``init`` gives a model its own start, (G, coefficients); without coefficients they come from
-    the data weights. ``(grp, obj_id)`` must be unique.
+    the data weights. ``(grp, obj_id)`` must be unique. Objects that are ``ready``, bucketed by
+    the two keys in as many buckets, are not copied.
     """
     if not specs:
         return {}
-    passes = Passes(objects, ["y", "w"], buckets)
+    passes = Passes(objects, ["y", "w"], buckets, ready)
     m = passes.width
     for s in specs:
         if not 1 <= s.k <= min(passes.n_objects, m):
@@ -266,9 +279,8 @@ def fit_many(
         waves[-1].append(s)
         size += cost
     out: dict[str, FittedModel] = {}
-    for i, wave in enumerate(waves):
-        out.update(_fit_wave(passes, wave, settings, init or {}, i))
-    passes.scratch.drop("objects")
+    for wave in waves:
+        out.update(_fit_wave(passes, wave, settings, init or {}))
     return out
 
 
@@ -312,7 +324,8 @@ def _start(passes: Passes, specs: list[ModelSpec], settings: Settings, init: dic
         ranks: dict[int, int] = {}
         for s in specs:
             ranks[s.grp] = max(ranks.get(s.grp, 0), s.k)
-        svd = start.top_singular(passes, ranks)
+        # beyond the Gram matrix's reach a start near the singular vectors will do
+        svd = start.top_singular(passes, ranks, max_passes=8, tol=1e-4)
     for i, (s, offset) in enumerate(zip(specs, offsets)):
         proj = None
         if settings.init == "svd":
@@ -357,7 +370,7 @@ def frac_change(old: np.ndarray, new: np.ndarray) -> float:
     return float(((old - new) ** 2).max() / (new * new).mean())
 
 
-def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init: dict, wave: int) -> dict[str, FittedModel]:
+def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init: dict) -> dict[str, FittedModel]:
     sc = passes.spark.sparkContext
     turns = _start(passes, specs, settings, init)
     _, width = _offsets(specs)
@@ -384,6 +397,9 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
             loss, size_a, cells = sums[t.scalars][0]
             if i:
                 t.losses.append(loss)
+                if cells != t.size:
+                    raise ValueError("(grp, obj_id) must be unique")
+            t.size = cells
             if later and is_check(i - 1):
                 if settings.conv == "max_frac_A":
                     done = sums[-1 - t.scalars][0] / (size_a / cells) < settings.tol
@@ -423,9 +439,11 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
             t.losses.append(sums[t.scalars][0][0])
         n_valid = F.get("state", F.lit(width)).cast("int")
         a = F.when(n_valid > 0, F.slice("state", t.offset + 1, t.spec.k)).alias("a")
-        coeffs = final.filter(F.col("grp") == t.spec.grp).select("obj_id", a, n_valid.alias("n_valid"))
+        mine = F.col("grp") == t.spec.grp
+        coeffs = final.filter(mine).select("obj_id", a, n_valid.alias("n_valid"))
+        training = passes.rows(final).filter(mine).select("obj_id", "y", "w", a, n_valid.alias("n_valid"))
         out[t.spec.model_id] = FittedModel(
-            passes.spark, t.spec, t.g, coeffs, [float(x) for x in t.losses], t.n_iter, t.converged, settings.ridge
+            passes.spark, t.spec, t.g, coeffs, [float(x) for x in t.losses], t.n_iter, t.converged, settings.ridge, training
         )
     return out
 

@@ -87,6 +87,10 @@ def mapper(step: Callable[[pa.RecordBatch, Sums], np.ndarray | None], width: int
         sums = Sums()
         for batch in batches:
             for block in blocks(batch, width):
+                if block.num_rows == 0:
+                    continue
+                if not np.all(np.diff(block.column("y").offsets.to_numpy()) == width):
+                    raise ValueError(f"all objects must have {width} features")
                 vec = step(block, sums)
                 if vec is not None:
                     yield state_rows(block.column("grp"), block.column("obj_id"), vec)
@@ -126,12 +130,17 @@ def collect_sums(rows: DataFrame, shapes: dict[int, tuple[int, int]]) -> dict[in
 
 
 class Passes:
-    """The training rows, laid out once by (grp, obj_id), and the state table of the latest pass."""
+    """The training rows, laid out once by (grp, obj_id), and the state table of the latest pass.
 
-    def __init__(self, objects: DataFrame, columns: list[str], buckets: int | None = None):
+    ``ready`` rows are bucketed by the keys already and are read where they are.
+    """
+
+    def __init__(self, objects: DataFrame, columns: list[str], buckets: int | None = None, ready: bool = False):
         self.spark = objects.sparkSession
         self.scratch = Scratch(self.spark, buckets)
-        self.objects = self.scratch.put_spread(objects.select(*KEYS, *columns), "objects", KEYS)
+        self.objects = objects.select(*KEYS, *columns)
+        if not ready:
+            self.objects = self.scratch.put_spread(self.objects, "objects", KEYS)
         self.columns = columns
         self.width, self.n_objects = self._size()
         self.state: DataFrame | None = None
@@ -139,13 +148,11 @@ class Passes:
         self._live: list[str] = []
 
     def _size(self) -> tuple[int, int]:
-        size = F.size(self.columns[0])
-        r = self.objects.agg(F.min(size).alias("lo"), F.max(size).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-        if r["n"] == 0:
+        # the first row gives the width, which every pass then checks; counting reads no arrays
+        first = self.objects.select(F.size(self.columns[0]).alias("m")).first()
+        if first is None:
             raise ValueError("there are no objects")
-        if r["lo"] != r["hi"] or r["hi"] < 1:
-            raise ValueError(f"objects must all have the same number of features, got {r['lo']} to {r['hi']}")
-        return r["hi"], r["n"]
+        return first["m"], self.objects.count()
 
     def rows(self, state: DataFrame | None = None) -> DataFrame:
         """Objects with their state. Both tables are bucketed alike: the join shuffles and sorts nothing."""

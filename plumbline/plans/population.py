@@ -16,11 +16,12 @@ from plumbline.operators import bins as pop, metrics
 from plumbline.operators.prepare import objects_to_cells
 from plumbline.plans.fit import FittedModel, ModelSpec, Settings, fit_many
 from plumbline.plans.passes import blocks
-from plumbline.runtime import BROADCAST_BYTES, arrow_map, checkpointed, pin_small
+from plumbline.runtime import BROADCAST_BYTES, arrow_map, checkpointed, laid_out, pin_small
 from plumbline.sources.store import ModelStore, ResultStore
 
 # A list of bins longer than this is no list of populations.
 MAX_BINS = 10_000
+KEYS = ["bin", "obj_id"]
 
 
 def model_name(bin: int, k: int, q: float) -> str:
@@ -38,11 +39,12 @@ def bin_list(members: DataFrame) -> list[int]:
     return sorted(r["bin"] for r in found)
 
 
-def fit_grid(train: DataFrame, ks: list[int], qs: list[float], settings: Settings = Settings(), store: ModelStore | None = None, buckets: int | None = None) -> dict[str, FittedModel]:
+def fit_grid(train: DataFrame, ks: list[int], qs: list[float], settings: Settings = Settings(), store: ModelStore | None = None, buckets: int | None = None, ready: bool = False) -> dict[str, FittedModel]:
     """A model for every bin, rank and scale on ``train(bin, obj_id, y, w)``.
 
     The whole grid shares each pass over the data. With a store, models it already holds are
-    loaded instead, and new ones are added to it.
+    loaded instead, and new ones are added to it. Rows that are ``ready`` are bucketed by bin and
+    object and are not copied.
     """
     specs = grid_specs(bin_list(train), ks, qs)
     done: dict[str, FittedModel] = {}
@@ -55,7 +57,7 @@ def fit_grid(train: DataFrame, ks: list[int], qs: list[float], settings: Setting
     rows = train.select(F.col("bin").cast("int").alias("grp"), "obj_id", "y", "w")
     if done and todo:
         rows = rows.filter(F.col("grp").isin(sorted({s.grp for s in todo})))
-    new = fit_many(rows, todo, settings, buckets=buckets)
+    new = fit_many(rows, todo, settings, buckets=buckets, ready=ready)
     if store is not None:
         store.save_many(list(new.values()))
     return {s.model_id: done.get(s.model_id) or new[s.model_id] for s in specs}
@@ -115,9 +117,12 @@ def infer_many(objects: DataFrame, models: list[FittedModel], max_iter: int = 10
 
 
 def apply_many(objects: DataFrame, coeffs: DataFrame, models: list[FittedModel]) -> DataFrame:
-    """(model_id, bin, obj_id, y, w, pred, r, w_rob) from the output of ``infer_many``."""
+    """(model_id, bin, obj_id, y, w, pred, r, w_rob) from the output of ``infer_many``.
+
+    Where both tables are laid out by (bin, obj_id) the join shuffles nothing.
+    """
     sc = objects.sparkSession.sparkContext
-    joined = coeffs.join(objects.select("bin", "obj_id", "y", "w"), ["bin", "obj_id"]).select("model_id", "bin", "obj_id", "y", "w", "a")
+    joined = coeffs.hint("shuffle_hash").join(objects.select("bin", "obj_id", "y", "w"), ["bin", "obj_id"]).select("model_id", "bin", "obj_id", "y", "w", "a")
 
     def wave(ms: list[FittedModel]) -> DataFrame:
         told = sc.broadcast({m.model_id: (m.g, m.loss) for m in ms})
@@ -149,7 +154,7 @@ def apply_many(objects: DataFrame, coeffs: DataFrame, models: list[FittedModel])
 def cross_validate(test: DataFrame, models: list[FittedModel], missing: str = "count", **options) -> DataFrame:
     """(bin, k, q, metric, value) of every model on held-out objects."""
     # inference is the dear part: do it once, the metrics read it several times
-    coeffs = checkpointed(infer_many(test, models, **options))
+    coeffs = laid_out(infer_many(test, models, **options), KEYS)
     cells = objects_to_cells(apply_many(test, coeffs, models), ("w", "r", "w_rob"), ("model_id",))
     cells = cells.withColumn("z", measure.z_score(F.col("r"), F.col("w"), F.col("w_rob")))
     wide = metrics.calibration(cells, ("model_id",), missing)
@@ -192,14 +197,15 @@ def analyse(
     it once. With a result store all per-bin tables are written under the metric's name.
     """
     split = checkpointed(pop.split_train(members.select("bin", "obj_id"), train_fraction, seed))
-    data = split.join(objects.select("obj_id", "y", "w"), "obj_id")
-    fitted = fit_grid(data.filter("in_train"), ks, qs, settings, models)
+    # the one shuffle of the wide rows: everything after it works on this layout
+    data = laid_out(split.join(objects.select("obj_id", "y", "w"), "obj_id").withColumn("bin", F.col("bin").cast("int")), KEYS)
+    fitted = fit_grid(data.filter("in_train"), ks, qs, settings, models, ready=True)
     options = {"max_iter": max_iter, "tol": 1e-4, "check_every": 5}
     cv = checkpointed(cross_validate(data.filter("NOT in_train"), list(fitted.values()), **options))
     best = metrics.best_models(cv).filter(F.col("metric") == metric).drop("value", "deviation")
     chosen_rows = best.collect()
     chosen = [fitted[model_name(r["bin"], r["best_k"], r["best_q"])] for r in chosen_rows]
-    coeffs = checkpointed(infer_many(data, chosen, **options))
+    coeffs = laid_out(infer_many(data, chosen, **options), KEYS)
     if models is not None:
         models.save_many(
             [FittedModel(m.spark, ModelSpec(f"{m.model_id}/all", m.k, m.loss, m.spec.grp), m.g) for m in chosen],

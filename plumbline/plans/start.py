@@ -7,27 +7,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions import draws, kernels
-from plumbline.plans.passes import Passes, Sums
+from plumbline.plans.passes import DRIVER_BYTES, Passes, Sums
 
-# Up to this many features the M x M Gram matrix is summed whole; beyond it a K-column sketch is iterated.
-GRAM_FEATURES = 512
+# Up to this many features the M x M Gram matrix is summed whole in one pass; beyond it a K-column
+# sketch is iterated.
+GRAM_FEATURES = 2500
 OVERSAMPLE = 10
-SKETCH_PASSES = 30
-SKETCH_TOL = 1e-10
 
 
-def top_singular(passes: Passes, ranks: dict[int, int], gram_features: int = GRAM_FEATURES) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Leading singular values and right singular vectors of every group's uncentred matrix."""
+def top_singular(passes: Passes, ranks: dict[int, int], gram_features: int = GRAM_FEATURES, max_passes: int = 30, tol: float = 1e-10) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Leading singular values and right singular vectors of every group's uncentred matrix.
+
+    The sketch stops when no singular value moves by more than ``tol`` of the largest.
+    """
     m = passes.width
     if m <= gram_features:
-        grams = passes.run(_gram_step, {g: (m, m) for g in ranks}, rows=passes.objects, keep=False)
-        return {g: _leading(grams[g], k) for g, k in ranks.items()}
+        out = {}
+        # as many groups at a time as the driver takes
+        each = max(1, DRIVER_BYTES // (8 * m * m))
+        todo = sorted(ranks)
+        for i in range(0, len(todo), each):
+            some = todo[i : i + each]
+            rows = passes.objects if len(todo) <= each else passes.objects.filter(F.col("grp").isin(some))
+            grams = passes.run(_gram_step, {g: (m, m) for g in some}, rows=rows, keep=False)
+            out.update({g: _leading(grams[g], ranks[g]) for g in some})
+        return out
     # Subspace iteration: M x (K + oversample) sums a pass instead of M x M.
     rng = np.random.default_rng(0)
     start = rng.standard_normal((m, min(m, max(ranks.values()) + OVERSAMPLE)))
     basis = {g: np.linalg.qr(start[:, : min(m, k + OVERSAMPLE)])[0] for g, k in ranks.items()}
     last: dict[int, np.ndarray] = {}
-    for _ in range(SKETCH_PASSES):
+    for _ in range(max_passes):
         step = _sketch_step(passes.spark.sparkContext.broadcast(basis))
         sums = passes.run(step, {g: b.shape for g, b in basis.items()}, rows=passes.objects, keep=False)
         values, out, done = {}, {}, True
@@ -37,7 +47,7 @@ def top_singular(passes: Passes, ranks: dict[int, int], gram_features: int = GRA
             order = np.argsort(lam)[::-1]
             values[g] = lam[order][:k]
             out[g] = (np.sqrt(np.maximum(values[g], 0)), (basis[g] @ u[:, order])[:, :k])
-            done &= g in last and bool(np.all(np.abs(values[g] - last[g]) <= SKETCH_TOL * values[g].max()))
+            done &= g in last and bool(np.all(np.abs(values[g] - last[g]) <= tol * values[g].max()))
             basis[g] = np.linalg.qr(sums[g])[0]
         last = values
         if done:

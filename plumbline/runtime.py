@@ -47,6 +47,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/plumbline-{uuid.uuid4().hex[:12]}/{name}"
 
 
+# databases made by each application, for release()
+_scratch: dict[str, list[str]] = {}
+
+
 class Scratch:
     """A database of managed Parquet tables in the shared folder.
 
@@ -60,6 +64,7 @@ class Scratch:
         wanted = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = max(1, min(wanted, MAX_BUCKETS))
         spark.sql(f"CREATE DATABASE {self.db} LOCATION '{self.location}'")
+        _scratch.setdefault(spark.sparkContext.applicationId, []).append(self.db)
 
     def put(self, df: DataFrame, name: str, keys: list[str], partition_by: str | None = None) -> DataFrame:
         writer = df.write.mode("overwrite").format("parquet")
@@ -79,6 +84,20 @@ class Scratch:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.db}.{name}")
 
 
+def laid_out(df: DataFrame, keys: list[str], buckets: int | None = None) -> DataFrame:
+    """Write a table once, bucketed by its keys; later joins and groupings on all of them need no shuffle.
+
+    The table is in the shared folder until ``release``.
+    """
+    return Scratch(df.sparkSession, buckets).put_spread(df, "rows", keys)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application. Whatever is still to be read from them must be written first."""
+    for db in _scratch.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP DATABASE IF EXISTS {db} CASCADE")
+
+
 def pin_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Run a table that should be small once and mark it for broadcast if it really is.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.losses import Cauchy
 from plumbline.operators import bins, cells as ops, prepare
-from plumbline.runtime import checkpointed
+from plumbline.runtime import checkpointed, laid_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,7 +74,7 @@ def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def price_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The present cells (obj_id, feat_id, y, w), laid out by object and written once for the steps that follow."""
     cells = prepare.prepare_cells(raw_prices(spark, sf_dir).drop("n"))
-    return checkpointed(cells.repartition("obj_id"))
+    return laid_out(cells, ["obj_id"])
 
 
 def price_objects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,8 +34,8 @@ def _rank1_fit(spark, sf_dir, steps, **kw):
     return objects, est.fit(objects, start=_mean_start(objects))
 
 
-def _cells_of(objects, model):
-    rows = model.apply(objects)
+def _cells_of(model):
+    rows = model.apply()
     return prepare.objects_to_cells(rows, ("w", "pred", "r", "w_rob")).filter("w > 0")
 
 
@@ -46,7 +46,7 @@ SELECT obj_id, feat_id, {rd("a * g")} AS pred, {rd(f)} AS w_rob FROM cells JOIN
 
 
 def _fitted_cells(objects, model):
-    return tidy(_cells_of(objects, model).select("obj_id", "feat_id", "pred", "w_rob"))
+    return tidy(_cells_of(model).select("obj_id", "feat_id", "pred", "w_rob"))
 
 
 @query(_fit_sql(3))
