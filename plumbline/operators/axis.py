@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.operators.ranks import quantiles
@@ -110,32 +108,48 @@ def match_ranges(segments: DataFrame, known: DataFrame, grid: float, margin: flo
     return s.join(pin_small(k), "_g").filter(touch & first).drop("_g", "_lo", "_hi")
 
 
-def dedupe_lines(lines: DataFrame, tol: float, block: int = 64) -> DataFrame:
+# A near-duplicate search looks at this many pieces of the tolerance, and at blocks of so many tolerances.
+PIECES = 64
+BLOCK = 64
+
+
+def dedupe_lines(lines: DataFrame, tol: float, decimals: int = 9) -> DataFrame:
     """Keep a line unless one kept before it lies within ``tol``; lists in order, then places within a list.
 
-    ``lines`` is (list_no, pos, x, ...) with unique (list_no, pos). Of lines at one place only the
-    first can be kept. The rest is decided in rounds: a line that comes first among its undecided
-    neighbours is kept and rules these out. A round looks only ``tol`` far, so it runs in blocks of
-    the axis with a margin; the result equals the one-by-one order.
+    ``lines`` is (list_no, pos, x, ...) with unique (list_no, pos). Decided in rounds: a line that
+    comes before all undecided lines in its reach is kept, and rules these out; the result equals
+    the one-by-one order. The search sees the first line of each small piece of the axis, found by
+    partial aggregation, so however many lines crowd a place, no task gathers them.
     """
-    t = F.lit(float(tol))
-    width = F.lit(float(tol) * block)
-    spots = lines.groupBy("x").agg(F.min(F.struct("list_no", "pos")).alias("rank")).withColumn("state", F.lit(0))
-    # range frames include their ends, but a line exactly tol away is no duplicate
-    within = math.nextafter(float(tol), 0.0)
-    near = f"OVER (PARTITION BY _b ORDER BY x RANGE BETWEEN {within!r}D PRECEDING AND {within!r}D FOLLOWING)"
+    # places in units of the given decimal, so that a line exactly tol away is no duplicate
+    unit = 10**decimals
+    span = round(float(tol) * unit)
+    piece = max(1, span // PIECES)
+    # pieces that a line's reach can touch on each side: a little more than the reach, never less
+    reach = (span - 1) // piece + 1
+    per_block = PIECES * BLOCK
+    at = F.round(F.col("x") * F.lit(float(unit))).cast("bigint")
+    todo = lines.groupBy(at.alias("at")).agg(F.min(F.struct("list_no", "pos")).alias("rank"))
+
+    def floor_div(c: Column, n: int) -> Column:
+        return F.floor((c - F.pmod(c, F.lit(n))) / F.lit(n)).cast("bigint")
+
+    near = Window.partitionBy("_b").orderBy("_p").rangeBetween(-reach, reach)
+    kept = None
     while True:
-        home = F.floor(F.col("x") / width)
-        reach = F.array_distinct(F.array(F.floor((F.col("x") - t) / width), home, F.floor((F.col("x") + t) / width)))
-        spread = spots.withColumn("_home", home).withColumn("_b", F.explode(reach))
-        undecided = F.col("state") == 0
-        first = spread.withColumn("_first", F.expr(f"min(CASE WHEN state = 0 THEN rank END) {near}"))
-        # margins differ from home rows near the outer edge of a margin, so only home rows decide
-        chosen = first.filter("_b = _home").withColumn("state", F.when(undecided & (F.col("rank") == F.col("_first")), 1).otherwise(F.col("state")))
-        again = chosen.select("x", "rank", "state", "_home").withColumn("_b", F.explode(reach))
-        ruled = again.withColumn("_kept", F.expr(f"max(CAST(state = 1 AS INT)) {near}")).filter("_b = _home")
-        spots = checkpointed(ruled.select("x", "rank", F.when((F.col("state") == 0) & (F.col("_kept") == 1), 2).otherwise(F.col("state")).alias("state")))
-        if spots.filter("state = 0").isEmpty():
+        firsts = todo.groupBy(floor_div(F.col("at"), piece).alias("_p")).agg(F.min(F.struct("rank", "at")).alias("_f"))
+        home = floor_div(F.col("_p"), per_block)
+        blocks = F.array_distinct(F.array(floor_div(F.col("_p") - reach, per_block), home, floor_div(F.col("_p") + reach, per_block)))
+        seen = firsts.withColumn("_home", home).withColumn("_b", F.explode(blocks)).withColumn("_least", F.min("_f.rank").over(near))
+        chosen = seen.filter((F.col("_b") == F.col("_home")) & (F.col("_f.rank") == F.col("_least")))
+        chosen = checkpointed(chosen.select("_f.rank", "_f.at"))
+        kept = chosen if kept is None else kept.unionByName(chosen)
+        # kept lines are at least tol apart: a line meets a few of them at most
+        spread = chosen.select(F.col("at").alias("_k"), F.explode(F.array(*[floor_div(F.col("at"), span) + i for i in (-1, 0, 1)])).alias("_c"))
+        open_ = todo.withColumn("_c", floor_div(F.col("at"), span)).alias("l")
+        k = pin_small(spread).alias("k")
+        ruled = (F.col("l._c") == F.col("k._c")) & (F.abs(F.col("l.at") - F.col("k._k")) < span)
+        todo = checkpointed(open_.join(k, ruled, "left_anti").select("at", "rank"))
+        if todo.isEmpty():
             break
-    kept = spots.filter("state = 1").select(F.col("rank.list_no").alias("list_no"), F.col("rank.pos").alias("pos"))
-    return lines.join(kept, ["list_no", "pos"], "left_semi")
+    return lines.join(kept.select("rank.list_no", "rank.pos"), ["list_no", "pos"], "left_semi")
