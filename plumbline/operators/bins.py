@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from plumbline.functions import draws
 from plumbline.operators.ranks import numbered
@@ -86,48 +86,62 @@ def outlier_fraction(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
-def split_train(members: DataFrame, fraction: float, seed: int, by: tuple[str, ...] = ("bin",), id: str = "obj_id", slices: int = 4096) -> DataFrame:
-    """Add ``in_train``: exactly ``int(n * fraction)`` objects of each group, drawn by hash.
+# Draws are counted in this many equal slices of [0, 1).
+SLICES = 4096
 
-    The draws are uniform, so equal slices of [0, 1) are equally full. Counting them finds the
-    slice where each group reaches its number, and only that slice is ranked: no task sees more
-    than about ``n / slices`` rows of a group.
+
+def _smallest_draws(rows: DataFrame, need: Column, seed: int, by: tuple[str, ...], id: str, slices: int) -> DataFrame:
+    """Add ``_taken``: whether a row is among its group's ``need`` smallest hash draws; exact.
+
+    ``need`` may use ``_n``, the group's size. The draws are uniform, so the slices are equally
+    full. Counting them finds the slice where each group reaches its number, and only that slice is
+    ranked: no task sees more than about ``n / slices`` rows of a group.
     """
     u = draws.uniform(seed, *[F.col(c) for c in by], F.col(id))
-    drawn = members.withColumn("_u", u).withColumn("_s", F.floor(F.col("_u") * slices).cast("int"))
-    tally = drawn.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy("_s")
-    whole = Window.partitionBy(*by)
-    place = tally.withColumns({
-        "_before": F.sum("_n").over(upto) - F.col("_n"),
-        "_need": F.floor(F.sum("_n").over(whole) * F.lit(float(fraction))),
-    })
+    drawn = rows.withColumn("_u", u).withColumn("_s", F.floor(F.col("_u") * slices).cast("int"))
+    tally = drawn.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_c"))
+    tally = tally.withColumns({
+        "_before": F.sum("_c").over(Window.partitionBy(*by).orderBy("_s")) - F.col("_c"),
+        "_n": F.sum("_c").over(Window.partitionBy(*by)),
+    }).withColumn("_need", need)
     # the slice where the number is reached (the smallest one; past the end where all are taken)
-    reached = F.col("_before") + F.col("_n") > F.col("_need")
-    at = F.when(reached, F.struct(F.col("_s"), (F.col("_need") - F.col("_before")).alias("_take")))
-    edge = place.groupBy(*by).agg(F.min(at).alias("_at")).select(
+    at = F.when(F.col("_before") + F.col("_c") > F.col("_need"), F.struct(F.col("_s"), (F.col("_need") - F.col("_before")).alias("_take")))
+    edge = tally.groupBy(*by).agg(F.min(at).alias("_at")).select(
         *by, F.coalesce("_at._s", F.lit(slices)).alias("_edge"), F.coalesce("_at._take", F.lit(0)).alias("_take")
     )
     marked = drawn.join(pin_small(edge), list(by))
-    sure = marked.filter("_s <> _edge").withColumn("in_train", F.col("_s") < F.col("_edge"))
+    sure = marked.filter("_s <> _edge").withColumn("_taken", F.col("_s") < F.col("_edge"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("_u", id))
-    edged = marked.filter("_s = _edge").withColumn("in_train", rank <= F.col("_take"))
-    keep = [*members.columns, "in_train"]
+    edged = marked.filter("_s = _edge").withColumn("_taken", rank <= F.col("_take"))
+    keep = [*rows.columns, "_taken"]
     return sure.select(*keep).unionByName(edged.select(*keep))
 
 
+def split_train(members: DataFrame, fraction: float, seed: int, by: tuple[str, ...] = ("bin",), id: str = "obj_id", slices: int = SLICES) -> DataFrame:
+    """Add ``in_train``: exactly ``int(n * fraction)`` objects of each group, drawn by hash."""
+    need = F.floor(F.col("_n") * F.lit(float(fraction)))
+    return _smallest_draws(members, need, seed, by, id, slices).withColumnRenamed("_taken", "in_train")
+
+
 def sample_per_group(members: DataFrame, n: int, seed: int, by: tuple[str, ...] = ("bin",), id: str = "obj_id") -> DataFrame:
-    """A hash-drawn sample of ``n`` objects a group; each task passes on its own first ``n``."""
-    drawn = members.withColumn("_u", draws.uniform(seed, *[F.col(c) for c in by], F.col(id)))
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("_u", id))
-    return drawn.withColumn("_rn", rank).filter(F.col("_rn") <= n).drop("_u", "_rn")
+    """A hash-drawn sample of ``n`` objects a group, all of a smaller one."""
+    need = F.least(F.col("_n"), F.lit(n).cast("bigint"))
+    return _smallest_draws(members, need, seed, by, id, SLICES).filter("_taken").drop("_taken")
+
+
+# Up to this rank Spark lets each task pass on its own first rows only (windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
 
 
 def extremes_per_group(scores: DataFrame, n: int, highest: bool = True, by: tuple[str, ...] = ("bin",)) -> DataFrame:
     """The ``n`` least (or most) anomalous objects a group with their ``rank``, ties by id."""
-    first = F.col("score").desc() if highest else F.col("score").asc()
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(first, "obj_id"))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= n)
+    first = -F.col("score") if highest else F.col("score")
+    ranked = scores.withColumn("_o", first)
+    if n < GROUP_LIMIT:
+        ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("_o", "obj_id")))
+    else:
+        ranked = numbered(ranked, ["_o", "obj_id"], by).withColumn("rank", (F.col("row_no") + 1).cast("int")).drop("row_no")
+    return ranked.filter(F.col("rank") <= n).drop("_o")
 
 
 def systematic_sample(members: DataFrame, size: int, by: tuple[str, ...] = ("bin",), id: str = "obj_id") -> DataFrame:

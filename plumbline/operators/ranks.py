@@ -10,8 +10,10 @@ enough values are left to order directly.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from plumbline.runtime import BROADCAST_ROWS, checkpointed
 
@@ -40,99 +42,96 @@ def quantiles(
     if max_group is not None and max_group <= hot_rows:
         return df.groupBy(*by).agg(*direct)
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    hot = counts.filter(F.col("_n") > hot_rows).limit(BROADCAST_ROWS + 1).collect()
-    if len(hot) > BROADCAST_ROWS:
-        raise ValueError(f"{len(hot)} groups of over {hot_rows} values; raise hot_rows")
+    # two order statistics a probability and hot group are followed on the driver
+    most = BROADCAST_ROWS // (2 * len(probs))
+    hot = counts.filter(F.col("_n") > hot_rows).limit(most + 1).collect()
+    if len(hot) > most:
+        raise ValueError(f"over {most} groups have more than {hot_rows} values; raise hot_rows")
     if not hot:
         return df.groupBy(*by).agg(*direct)
-    marks = _marks(df.sparkSession, hot, by, df.schema)
-    hot_keys = marks.select(*by).distinct() if by else None
-    out = _narrow(df, hot, by, probs, hot_rows)
+    key_fields = [df.schema[c] for c in by]
+    out = _narrow(df, hot, key_fields, probs, hot_rows)
     if not by:
         return out
+    hot_keys = df.sparkSession.createDataFrame([tuple(r[c] for c in by) for r in hot], StructType(key_fields))
     cold = df.join(F.broadcast(hot_keys), list(by), "left_anti").groupBy(*by).agg(*direct)
     return cold.unionByName(out)
 
 
-def _marks(spark: SparkSession, rows: list, by: tuple[str, ...], schema) -> DataFrame:
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+_RANGE = [StructField("_lo", DoubleType()), StructField("_hi", DoubleType())]
+
+
+@dataclass
+class _Target:
+    """One wanted order statistic: where it lies, its place from the start of that range (from 1),
+    and how many values the range holds."""
 
-    fields = [schema[c] for c in by]
-    fields += [StructField("_n", LongType()), StructField("_lo", DoubleType()), StructField("_hi", DoubleType())]
-    data = [tuple(r[c] for c in by) + (r["_n"], r["_lo"], r["_hi"]) for r in rows]
-    return spark.createDataFrame(data, StructType(fields))
+    key: tuple
+    place: int
+    lo: float
+    hi: float
+    rank: int
+    count: int
 
+    @property
+    def range(self) -> tuple:
+        return self.key + (self.lo, self.hi)
 
-def _narrow(df: DataFrame, hot: list, by: tuple[str, ...], probs: dict[str, float], hot_rows: int) -> DataFrame:
-    """Order statistics of the hot groups; the control state is a few rows a group."""
-    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+def _narrow(df: DataFrame, hot: list, key_fields: list[StructField], probs: dict[str, float], hot_rows: int) -> DataFrame:
+    """Order statistics of the hot groups. The control state is a few rows a group; every pass
+    brings one row a target to the driver."""
     spark = df.sparkSession
-    key_fields = [df.schema[c] for c in by]
-    # One target an order statistic: [lo, hi] is the range it lies in, rank its place from the
-    # start of that range (1-based), count the values in it.
+    by = [f.name for f in key_fields]
     targets = []
     for r in hot:
-        for rank in sorted({t for p in probs.values() for t in (math.floor(p * (r["_n"] - 1)), math.ceil(p * (r["_n"] - 1)))}):
-            targets.append({"key": tuple(r[c] for c in by), "place": rank, "lo": r["_lo"], "hi": r["_hi"], "rank": rank + 1, "count": r["_n"]})
-    schema = StructType(key_fields + [StructField("_place", LongType()), StructField("_lo", DoubleType()), StructField("_hi", DoubleType())])
+        places = {t for p in probs.values() for t in (math.floor(p * (r["_n"] - 1)), math.ceil(p * (r["_n"] - 1)))}
+        targets += [_Target(tuple(r[c] for c in by), t, r["_lo"], r["_hi"], t + 1, r["_n"]) for t in sorted(places)]
 
-    def joined(live: list[dict]) -> DataFrame:
-        t = spark.createDataFrame([x["key"] + (x["place"], x["lo"], x["hi"]) for x in live], schema)
-        cond = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+    def inside(live: list[_Target]) -> DataFrame:
+        """The values within the live ranges, each with its range. Ranges of a group do not overlap."""
+        ranges = sorted({t.range for t in live})
+        held = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
         if by:
-            return df.join(F.broadcast(t), list(by)).filter(cond)
-        # no keys: the few targets ride along as an array instead of a join
-        ranges = F.array(*[F.struct(F.lit(x["place"]).alias("_place"), F.lit(x["lo"]).alias("_lo"), F.lit(x["hi"]).alias("_hi")) for x in live])
-        return df.select("_v", F.inline(ranges)).filter(cond)
-
-    while True:
-        live = [t for t in targets if t["count"] > hot_rows and (t["hi"] - t["lo"]) / SPLITS > 0]
-        if not live:
-            break
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(float(SPLITS))
-        cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(SPLITS - 1)).cast("int")
-        tallies = (
-            joined(live)
-            .groupBy(*by, "_place", cell.alias("_cell"))
-            .agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-            .collect()
+            return df.join(F.broadcast(spark.createDataFrame(ranges, StructType(key_fields + _RANGE))), by).filter(held)
+        listed = F.array(*[F.struct(F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi")) for lo, hi in ranges])
+        return df.select("_v", F.inline(listed)).filter(held)
+
+    def settle(live: list[_Target], tallies: DataFrame, order: str) -> None:
+        """Move every target to the tally row that holds it: (_a, _b) becomes its range."""
+        upto = F.sum("_n").over(Window.partitionBy(*by, "_lo", "_hi").orderBy(order))
+        wanted = spark.createDataFrame(
+            [t.range + (t.place, t.rank) for t in live],
+            StructType(key_fields + _RANGE + [StructField("_place", LongType()), StructField("_rank", LongType())]),
         )
-        found: dict = {}
-        for r in tallies:
-            found.setdefault((tuple(r[c] for c in by), r["_place"]), []).append((r["_cell"], r["_n"], r["_lo"], r["_hi"]))
+        run = tallies.withColumn("_upto", upto).join(F.broadcast(wanted), [*by, "_lo", "_hi"])
+        hits = run.filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
+        found = {(tuple(r[c] for c in by), r["_place"]): r for r in hits.collect()}
         for t in live:
-            before = 0
-            for _, n, lo, hi in sorted(found.get((t["key"], t["place"]), [])):
-                if before + n >= t["rank"]:
-                    t.update(lo=lo, hi=hi, rank=t["rank"] - before, count=n)
-                    break
-                before += n
-
-    # What is left of every range is either a single value or few rows: order it by value counts.
-    single = {(t["key"], t["place"]): t["lo"] for t in targets if t["lo"] == t["hi"]}
-    rest = [t for t in targets if t["lo"] < t["hi"]]
-    if rest:
-        tallies = joined(rest).groupBy(*by, "_place", "_v").agg(F.count(F.lit(1)).alias("_n"))
-        w = Window.partitionBy(*by, "_place").orderBy("_v")
-        upto = tallies.withColumn("_upto", F.sum("_n").over(w))
-        want = spark.createDataFrame(
-            [x["key"] + (x["place"], x["rank"]) for x in rest],
-            StructType(key_fields + [StructField("_place", LongType()), StructField("_rank", LongType())]),
-        )
-        picked = upto.join(F.broadcast(want), [*by, "_place"]).filter("_upto >= _rank").groupBy(*by, "_place").agg(F.min("_v").alias("_v"))
-        for r in picked.collect():
-            single[(tuple(r[c] for c in by), r["_place"])] = r["_v"]
+            r = found[t.key, t.place]
+            t.lo, t.hi, t.rank, t.count = r["_a"], r["_b"], t.rank - (r["_upto"] - r["_n"]), r["_n"]
+
+    while live := [t for t in targets if t.count > hot_rows and (t.hi - t.lo) / SPLITS > 0]:
+        width = (F.col("_hi") - F.col("_lo")) / F.lit(float(SPLITS))
+        cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(SPLITS - 1)).alias("_cell")
+        tallies = inside(live).groupBy(*by, "_lo", "_hi", cell)
+        settle(live, tallies.agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b")), "_cell")
+
+    # what is left of a range is a single value or few rows: order it by value counts
+    if rest := [t for t in targets if t.lo < t.hi]:
+        tallies = inside(rest).groupBy(*by, "_lo", "_hi", "_v").agg(F.count(F.lit(1)).alias("_n"))
+        settle(rest, tallies.withColumns({"_a": F.col("_v"), "_b": F.col("_v")}), "_v")
 
+    value = {(t.key, t.place): t.lo for t in targets}
     rows = []
     for r in hot:
         key = tuple(r[c] for c in by)
-        values = []
+        found = []
         for p in probs.values():
             at = p * (r["_n"] - 1)
-            a, b = single[(key, math.floor(at))], single[(key, math.ceil(at))]
-            values.append(a + (b - a) * (at - math.floor(at)))
-        rows.append(key + tuple(values))
+            low, high = value[key, math.floor(at)], value[key, math.ceil(at)]
+            found.append(low + (high - low) * (at - math.floor(at)))
+        rows.append(key + tuple(found))
     return spark.createDataFrame(rows, StructType(key_fields + [StructField(n, DoubleType()) for n in probs]))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import measure
-from plumbline.operators import bins, crossbin
+from plumbline.operators import bins, crossbin, diagnose
 from plumbline.plans.baselines import embed
 from plumbline.sources import store
 from plumbline.workload.inputs import (
@@ -93,6 +93,14 @@ def systematic_sample(spark, sf_dir):
     return bins.systematic_sample(members(spark, sf_dir), 20).select("bin", "obj_id", "row_no")
 
 
+@query(f"""WITH {MEMBERS}, c AS (SELECT bin, least(floor(score / 0.05::DOUBLE), 19)::INTEGER AS cell, count(*) AS n FROM members GROUP BY 1, 2),
+f AS (SELECT bin, sum(n) AS total, unnest(range(20))::INTEGER AS cell FROM c GROUP BY bin)
+SELECT bin, f.cell, {rd("f.cell * 0.05::DOUBLE")} AS edge, coalesce(c.n, 0) AS n, {rd("coalesce(c.n, 0) / (total * 0.05::DOUBLE)")} AS density
+FROM f LEFT JOIN c USING (bin, cell)""")
+def score_histogram(spark, sf_dir):
+    return tidy(diagnose.histogram(member_scores(spark, sf_dir), "score", 0.0, 1.0, 20, ("bin",)))
+
+
 # --- verdicts across bins ----------------------------------------------------------------------------
 
 _FLAGGED = MEMBERS + f", flagged AS (SELECT bin, obj_id, score FROM members WHERE score < {LOW})"

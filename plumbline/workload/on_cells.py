@@ -367,6 +367,21 @@ def range_match_lines(spark, sf_dir):
     return tidy(hits.select("user_id", "event_type", "line", "x"))
 
 
+@query(f"""WITH {RANK1},
+s AS (SELECT obj_id, feat_id, avg(w_rob) OVER (PARTITION BY obj_id ORDER BY feat_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM weighted),
+low AS (SELECT *, feat_id - row_number() OVER (PARTITION BY obj_id ORDER BY feat_id) AS island FROM s WHERE m < 0.9),
+segs AS (SELECT obj_id, min(feat_id) AS feat_start, max(feat_id) AS feat_end FROM low GROUP BY obj_id, island),
+known AS (SELECT DISTINCT (year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS x FROM orders WHERE o_totalprice > 400000)
+SELECT obj_id, feat_start, feat_end, x::INTEGER AS x FROM segs JOIN known ON x BETWEEN feat_start AND feat_end""")
+def anomalous_months(spark, sf_dir):
+    """Low-weight stretches matched with the months that had a very large order."""
+    runs = axis.low_weight_runs(Rank1(spark, sf_dir).weighted, 2, 0.9)
+    segs = runs.withColumns({"seg_start": F.col("feat_start").cast("double"), "seg_end": F.col("feat_end").cast("double")})
+    big = table(spark, sf_dir, "orders").filter("o_totalprice > 400000")
+    known = big.select(((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1).cast("double").alias("x")).distinct()
+    return axis.match_ranges(segs, known, grid=6.0).select("obj_id", "feat_start", "feat_end", F.col("x").cast("int").alias("x"))
+
+
 @query("""WITH b AS (SELECT p_partkey AS band, p_retailprice AS lo, p_retailprice + p_size / 10.0 AS hi, p_type AS species FROM part)
 SELECT 'line' AS kind, band AS id FROM b WHERE lo BETWEEN 910.05 AND 960.05 AND species IN ('ECONOMY', 'SMALL')
 UNION ALL SELECT 'band', band FROM b WHERE hi >= 910.05 AND lo <= 960.05""")

@@ -77,35 +77,41 @@ def loss_history(spark, sf_dir):
     return tidy(model.history.select("iter", "loss"), 4)
 
 
-def _rank2_sql() -> str:
+def _rank2_tables(steps: int) -> str:
+    """Two-component cycles written out, from the weighted mean and a straight line."""
+
     def step(i: int) -> str:
         p = i - 1
-        old = "" if i == 1 else f" * {Q2} / ({Q2} + w * (y - a1*g1 - a2*g2) * (y - a1*g1 - a2*g2))"
-        a = "x0" if i == 1 else f"x{p}"
-        solve = "(s*b1 - q*b2) / (p*s - q*q) AS {v}1, (p*b2 - q*b1) / (p*s - q*q) AS {v}2"
-        sums = "sum(w*{v}1*{v}1) AS p, sum(w*{v}1*{v}2) AS q, sum(w*{v}2*{v}2) AS s, sum(w*y*{v}1) AS b1, sum(w*y*{v}2) AS b2"
+        robust = f"w * {Q2} / ({Q2} + w * (y - a1*g1 - a2*g2) * (y - a1*g1 - a2*g2))"
         return f""",
-v{i} AS (SELECT obj_id, feat_id, y, w{old if i > 1 else f" * {Q2} / ({Q2} + w * (y - a1*g1 - a2*g2) * (y - a1*g1 - a2*g2))"} AS w
-         FROM cells JOIN {a} USING (obj_id) JOIN h{p} USING (feat_id)),
+v{i} AS (SELECT obj_id, feat_id, y, {robust} AS w FROM cells JOIN x{p} USING (obj_id) JOIN h{p} USING (feat_id)),
 x{i} AS (SELECT obj_id, {solve.format(v="a")} FROM (SELECT obj_id, {sums.format(v="g")} FROM v{i} JOIN h{p} USING (feat_id) GROUP BY 1)),
 h{i} AS (SELECT feat_id, {solve.format(v="g")} FROM (SELECT feat_id, {sums.format(v="a")} FROM v{i} JOIN x{i} USING (obj_id) GROUP BY 1))"""
 
+    solve = "(s*b1 - q*b2) / (p*s - q*q) AS {v}1, (p*b2 - q*b1) / (p*s - q*q) AS {v}2"
+    sums = "sum(w*{v}1*{v}1) AS p, sum(w*{v}1*{v}2) AS q, sum(w*{v}2*{v}2) AS s, sum(w*y*{v}1) AS b1, sum(w*y*{v}2) AS b2"
     first = f"""WITH {PRICES},
 h0 AS (SELECT feat_id, sum(w * y) / sum(w) AS g1, (feat_id - 41) / 41.0::DOUBLE AS g2 FROM cells GROUP BY 1),
-x0 AS (SELECT obj_id, (s*b1 - q*b2) / (p*s - q*q) AS a1, (p*b2 - q*b1) / (p*s - q*q) AS a2 FROM
-       (SELECT obj_id, sum(w*g1*g1) AS p, sum(w*g1*g2) AS q, sum(w*g2*g2) AS s, sum(w*y*g1) AS b1, sum(w*y*g2) AS b2 FROM cells JOIN h0 USING (feat_id) GROUP BY 1))"""
-    return first + step(1) + step(2) + f"""
+x0 AS (SELECT obj_id, {solve.format(v="a")} FROM (SELECT obj_id, {sums.format(v="g")} FROM cells JOIN h0 USING (feat_id) GROUP BY 1))"""
+    return first + "".join(step(i) for i in range(1, steps + 1))
+
+
+def _rank2_sql() -> str:
+    return _rank2_tables(2) + f"""
 SELECT obj_id, feat_id, {rd("a1*g1 + a2*g2")} AS pred, {rd(f"{Q2} / ({Q2} + w * (y - a1*g1 - a2*g2) * (y - a1*g1 - a2*g2))")} AS w_rob
 FROM cells JOIN x2 USING (obj_id) JOIN h2 USING (feat_id)"""
 
 
+def _two_vectors(objects):
+    g = basis_array(ops.mean_basis(prepare.objects_to_cells(objects)), N_MONTHS, 1)
+    return np.hstack([g, np.where(g > 0, (np.arange(N_MONTHS) - 41)[:, None] / 41.0, 0.0)])
+
+
 @query(_rank2_sql())
 def robust_fit_rank2(spark, sf_dir):
     """Two cycles at rank two, whitened in between; the product does not depend on the rotation."""
     objects = _objects(spark, sf_dir)
-    g = basis_array(ops.mean_basis(prepare.objects_to_cells(objects)), N_MONTHS, 1)
-    g = np.hstack([g, np.where(g > 0, (np.arange(N_MONTHS) - 41)[:, None] / 41.0, 0.0)])
-    model = Factorizer(2, scale=Q, conv="none", max_iter=2).fit(objects, start=(g, None))
+    model = Factorizer(2, scale=Q, conv="none", max_iter=2).fit(objects, start=(_two_vectors(objects), None))
     return _fitted_cells(objects, model)
 
 
@@ -174,7 +180,7 @@ def reconstruct_chosen(spark, sf_dir):
     return tidy(prepare.objects_to_cells(rows, ("pred",)).filter("pred <> 0"))
 
 
-@query(f"""WITH {als_sql(3)} SELECT a.obj_id, {rd("a * (SELECT sqrt(sum(g * g) + 1e-6) FROM g3)", 5)} AS a, n_iter, k FROM a3 a, (SELECT 3 AS n_iter, 1 AS k)""")
+@query(f"""WITH {als_sql(3)} SELECT a.obj_id, {rd("a * (SELECT sqrt(sum(g * g)) FROM g3)", 5)} AS a, n_iter, k FROM a3 a, (SELECT 3 AS n_iter, 1 AS k)""")
 def model_store(spark, sf_dir):
     """A model saved, listed, loaded and read back; its basis has unit length."""
     _, model = _rank1_fit(spark, sf_dir, 3)
@@ -284,24 +290,59 @@ def convergence_policies(spark, sf_dir):
     return spark.createDataFrame(rows, "conv string, n_iter int, converged boolean, loss double")
 
 
-@query()
+_ROTATIONS = {
+    "fast": {}, "fast_a": {"target": "A"}, "axes": {"whiten": False}, "slow": {"rotation": "slow"}, "identity": {"rotation": "identity"},
+}
+
+
+@query(f"""{_rank2_tables(2)}, fin AS (SELECT {rd(f"{Q2} * sum(ln(1 + w * (y - a1*g1 - a2*g2) * (y - a1*g1 - a2*g2) / {Q2}))", 4)} AS loss
+  FROM cells JOIN x2 USING (obj_id) JOIN h2 USING (feat_id))
+SELECT rotation, loss, orthonormal FROM fin, (VALUES ('fast', true), ('fast_a', false), ('axes', false), ('slow', true), ('identity', false)) t(rotation, orthonormal)""")
 def rotations(spark, sf_dir):
-    """The same three cycles under every rotation: the loss must not depend on it."""
+    """The same cycles under every rotation: the loss does not depend on it, the shape of the basis does."""
     objects = _objects(spark, sf_dir)
     rows = []
-    for name, kw in {
-        "fast": {}, "fast_a": {"target": "A"}, "axes": {"whiten": False}, "slow": {"rotation": "slow"}, "identity": {"rotation": "identity"},
-    }.items():
-        m = Factorizer(2, scale=Q, conv="none", max_iter=3, **kw).fit(objects)
-        rows.append((name, m.loss_history[-1], float(np.abs(m.g.T @ m.g - np.eye(2)).max())))
-    return spark.createDataFrame(rows, "rotation string, loss double, off_orthonormal double")
+    for name, kw in _ROTATIONS.items():
+        m = Factorizer(2, scale=Q, conv="none", max_iter=2, **kw).fit(objects, start=(_two_vectors(objects), None))
+        rows.append((name, m.loss_history[-1], bool(np.abs(m.g.T @ m.g - np.eye(2)).max() < 1e-3)))
+    return tidy(spark.createDataFrame(rows, "rotation string, loss double, orthonormal boolean"), 4)
 
 
-@query()
+def _gradient_sql(rate: float, n_features: int) -> str:
+    """Two adaptive gradient steps at rank one. Features without data have a zero gradient and basis; they count in the means."""
+    beta = 1 - 2.0**-0.9
+
+    def grads(i: int) -> str:
+        return f""",
+p{i} AS (SELECT obj_id, feat_id, a, g, -2 * w * {Q2} / ({Q2} + w * (y - a*g) * (y - a*g)) * (y - a*g) AS pull FROM cells JOIN a{i} USING (obj_id) JOIN g{i} USING (feat_id)),
+da{i} AS (SELECT obj_id, sum(pull * g) AS d FROM p{i} GROUP BY 1),
+dg{i} AS (SELECT feat_id, sum(pull * a) AS d FROM p{i} GROUP BY 1)"""
+
+    def move(i: int, side: str, key: str, n: str) -> str:
+        v = f"{side}v{i + 1}"
+        before = f"{beta!r}::DOUBLE * o.v + {1 - beta!r}::DOUBLE * d * d" if i else "d * d"
+        old = f" JOIN {side}v{i} o USING ({key})" if i else ""
+        return f""",
+{v} AS (SELECT {key}, {before} AS v FROM d{side}{i}{old}),
+{side}u{i} AS (SELECT {key}, CASE WHEN v > 0 THEN d / sqrt(v) ELSE 0 END AS u FROM d{side}{i} JOIN {v} USING ({key})),
+{side}f{i} AS (SELECT {rate} / greatest(1.0, sqrt((SELECT sum(u * u) FROM {side}u{i}) / {n})) * greatest(sqrt((SELECT sum({side} * {side}) FROM {side}{i}) / {n}), 0.001) AS f),
+{side}{i + 1} AS (SELECT {key}, {side} - f * u AS {side} FROM {side}{i} JOIN {side}u{i} USING ({key}), {side}f{i})"""
+
+    out = als_sql(0)
+    for i in range(2):
+        out += grads(i) + move(i, "a", "obj_id", "(SELECT count(*) FROM a0)") + move(i, "g", "feat_id", f"{n_features}.0::DOUBLE")
+    return f"WITH {out} " + " UNION ALL ".join(
+        f"SELECT {i - 1} AS iter, {rd(f'{Q2} * sum(ln(1 + w * (y - a*g) * (y - a*g) / {Q2}))', 4)} AS loss FROM cells JOIN a{i} USING (obj_id) JOIN g{i} USING (feat_id)"
+        for i in (1, 2)
+    )
+
+
+@query(_gradient_sql(0.02, N_MONTHS))
 def gradient_fit(spark, sf_dir):
-    """Loss history of a gradient fit from the singular vectors."""
-    m = Factorizer(2, scale=Q, method="sgd", learning_rate=0.02, conv="none", max_iter=6).fit(_objects(spark, sf_dir))
-    return m.history
+    """Loss of two gradient steps from the weighted mean."""
+    objects = _objects(spark, sf_dir)
+    m = Factorizer(1, scale=Q, method="sgd", learning_rate=0.02, conv="none", max_iter=2).fit(objects, start=_mean_start(objects))
+    return tidy(m.history.select("iter", "loss"), 4)
 
 
 @query()
@@ -346,14 +387,36 @@ def population_analysis(spark, sf_dir):
     return p.outliers
 
 
-@query()
+_UNIT = "(SELECT sqrt(sum(g * g)) FROM g3)"
+
+
+@query(f"""WITH {als_sql(3)}, c AS (SELECT s_nationkey, a * {_UNIT} AS a FROM a3 JOIN supplier ON s_suppkey = obj_id)
+SELECT s_nationkey, count(*) AS n, {rd("avg(a)", 5)} AS mean, {rd("stddev_pop(a)", 5)} AS std, {rd("min(a)", 5)} AS lo, {rd("max(a)", 5)} AS hi FROM c GROUP BY 1""")
 def coefficients_by_class(spark, sf_dir):
-    """First coefficient of a rank-two model by the suppliers' nation."""
-    objects = _objects(spark, sf_dir)
-    m = Factorizer(2, scale=Q, conv="none", max_iter=3, order=True).fit(objects)
+    """Coefficients of a rank-one model by the suppliers' nation."""
+    _, m = _rank1_fit(spark, sf_dir, 3)
+    scale = float(np.sqrt((m.g**2).sum()))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("obj_id"), "s_nationkey")
-    rows = m.coeffs.join(s, "obj_id").select("s_nationkey", F.abs(F.col("a")[0]).alias("a"))
-    return diagnose.by_class(rows, "a", "s_nationkey")
+    rows = m.coeffs.join(s, "obj_id").select("s_nationkey", (F.col("a")[0] * F.lit(scale)).alias("a"))
+    return tidy(diagnose.by_class(rows, "a", "s_nationkey"), 5)
+
+
+@query(f"WITH {als_sql(3)} SELECT feat_id, {rd(f'g / {_UNIT}')} AS g FROM g3")
+def fitted_basis(spark, sf_dir):
+    """Basis of a rank-one model; the months without data are not in it."""
+    _, m = _rank1_fit(spark, sf_dir, 3)
+    length = float(np.sqrt((m.g**2).sum()))
+    return tidy(m.basis.select("feat_id", (F.col("g")[0] / F.lit(length)).alias("g")).filter("g <> 0"))
+
+
+@query(f"""WITH {als_sql(3)}, l AS ({" UNION ALL ".join(f"SELECT {i} AS i, {Q2} * sum(ln(1 + w * (y - a*g) * (y - a*g) / {Q2})) AS loss FROM cells JOIN a{i} USING (obj_id) JOIN g{i} USING (feat_id)" for i in (1, 2, 3))})
+SELECT n.i - 1 AS iter, {rd("abs(o.loss - n.loss) / abs(n.loss)", 8)} AS change FROM l n JOIN l o ON o.i = n.i - 1""")
+def relative_loss_change(spark, sf_dir):
+    """Change of the loss from cycle to cycle, which the loss rule compares with its tolerance."""
+    _, m = _rank1_fit(spark, sf_dir, 3)
+    h = m.loss_history
+    rows = [(i, abs(h[i - 1] - h[i]) / abs(h[i])) for i in range(1, len(h))]
+    return tidy(spark.createDataFrame(rows, "iter int, change double"), 8)
 
 
 def flagship(spark, sf_dir):

@@ -53,6 +53,12 @@ def test_samples(spark):
     s = bins.sample_per_group(df, 20, 3)
     assert [r["count"] for r in s.groupBy("bin").count().collect()] == [20, 20, 20]
     assert bins.sample_per_group(df, 10**6, 3).count() == 1000
+    few, many = bins.sample_per_group(df, 20, 3), bins.sample_per_group(df, 200, 3)
+    assert few.exceptAll(many).isEmpty()
+    scores = df.withColumn("score", (F.col("obj_id") * 37 % 101) / 101.0)
+    top = bins.extremes_per_group(scores, 7)
+    wide = bins.extremes_per_group(scores, 1000)
+    assert wide.count() == 1000 and sorted(map(tuple, top.collect())) == sorted(map(tuple, wide.filter("rank <= 7").select(*top.columns).collect()))
     sys = bins.systematic_sample(df, 50)
     by_bin = {b: sorted(r["obj_id"] for r in sys.collect() if r["bin"] == b) for b in range(3)}
     for b, ids in by_bin.items():
