@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 Score = Callable[[Column], Column]
@@ -71,3 +72,42 @@ ARRAY_SCORES: dict[str, Score] = {
     "n_low": lambda w: F.size(F.filter(w, lambda x: x < 0.3)).cast("bigint"),
     "neg_n_low": lambda w: -F.size(F.filter(w, lambda x: x < 0.3)).cast("bigint"),
 }
+
+
+def _row_quantile(w: np.ndarray, used: np.ndarray | None, p: float) -> np.ndarray:
+    """Linear-interpolation quantile of every row, of its used cells only; NaN without any."""
+    if used is None:
+        return np.quantile(w, p, axis=1)
+    n = used.sum(axis=1)
+    ordered = np.sort(np.where(used, w, np.inf), axis=1)
+    at = np.maximum(n - 1, 0) * p
+    low = np.floor(at).astype(int)
+    rows = np.arange(len(w))
+    a, b = ordered[rows, low], ordered[rows, np.minimum(low + 1, np.maximum(n - 1, 0))]
+    with np.errstate(invalid="ignore"):
+        return np.where(n > 0, a + (b - a) * (at - low), np.nan)
+
+
+def _row_mean(x: np.ndarray, used: np.ndarray | None) -> np.ndarray:
+    if used is None:
+        return x.mean(axis=1)
+    with np.errstate(invalid="ignore"):
+        return np.where(used, x, 0).sum(axis=1) / used.sum(axis=1)
+
+
+def _row_count(x: np.ndarray, used: np.ndarray | None) -> np.ndarray:
+    return (x if used is None else x & used).sum(axis=1)
+
+
+# The same on a matrix of weights, one row an object, with a mask of the cells that take part.
+MATRIX_SCORES = {
+    "median": lambda w, u: _row_quantile(w, u, 0.5),
+    "p01": lambda w, u: _row_quantile(w, u, 0.01),
+    "p10": lambda w, u: _row_quantile(w, u, 0.10),
+    "mean": _row_mean,
+    "min": lambda w, u: (w if u is None else np.where(u, w, np.inf)).min(axis=1),
+    "frac_low": lambda w, u: _row_mean((w < 0.5).astype(float), u),
+    "frac_ok": lambda w, u: 1.0 - _row_mean((w < 0.5).astype(float), u),
+    "n_low": lambda w, u: _row_count(w < 0.3, u),
+    "neg_n_low": lambda w, u: -_row_count(w < 0.3, u),
+}

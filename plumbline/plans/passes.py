@@ -24,8 +24,8 @@ CHUNK = 64
 ROW_SCHEMA = "kind string, grp int, obj_id bigint, mat int, r int, chunk int, vec array<double>"
 # Sum matrices of one pass that the driver accepts in total.
 DRIVER_BYTES = 512 << 20
-# Cells handled by one step of the kernels, which bounds a Python worker's memory.
-BLOCK_CELLS = 2_000_000
+# Cells handled by one step of the kernels: a few matrices of this size stay in a core's cache.
+BLOCK_CELLS = 128_000
 
 
 @dataclass

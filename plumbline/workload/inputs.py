@@ -57,7 +57,11 @@ def rd(expr: str, digits: int = 6) -> str:
 
 def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(obj_id, feat_id, y, n, sigma): mean price of a supplier's lines of a month, and its error
-    from the variance pooled over all cells. Sums are partial before the shuffle."""
+    from the variance pooled over all cells. Sums are partial before the shuffle.
+
+    The cells are written once, laid out by object, and the pooled variance is read off them: the
+    lines are scanned once.
+    """
     price = F.col("l_extendedprice") / UNIT
     raw = (
         table(spark, sf_dir, "lineitem")
@@ -65,20 +69,21 @@ def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("l_suppkey").alias("obj_id"),
             ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int").alias("feat_id"),
         )
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(price).alias("y"), (F.var_pop(price) * F.count(F.lit(1))).alias("ss"))
+        .agg(F.count(F.lit(1)).alias("n"), F.avg(price).alias("y"), F.var_pop(price).alias("v"))
     )
-    pooled = raw.agg((F.sum("ss") / F.sum(F.col("n") - 1)).alias("v")).scalar()
-    return raw.withColumn("sigma", F.sqrt(pooled / F.col("n"))).drop("ss")
+    cells = laid_out(raw, ["obj_id"])
+    pooled = cells.agg((F.sum(F.col("v") * F.col("n")) / F.sum(F.col("n") - 1)).alias("v")).first()["v"]
+    return cells.withColumn("sigma", F.sqrt(F.lit(pooled) / F.col("n"))).drop("v")
 
 
 def price_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The present cells (obj_id, feat_id, y, w), laid out by object and written once for the steps that follow."""
-    cells = prepare.prepare_cells(raw_prices(spark, sf_dir).drop("n"))
-    return laid_out(cells, ["obj_id"])
+    """The present cells (obj_id, feat_id, y, w)."""
+    return prepare.prepare_cells(raw_prices(spark, sf_dir).drop("n"))
 
 
 def price_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.cells_to_objects(prepare.prepare_cells(raw_prices(spark, sf_dir).drop("n")), N_MONTHS)
+    """The same as arrays; gathered without a shuffle, for the cells lie by object."""
+    return prepare.cells_to_objects(price_cells(spark, sf_dir), N_MONTHS)
 
 
 PRICES = f"""

@@ -213,7 +213,7 @@ def residual_store(spark, sf_dir):
     """Residual vectors of the flagged objects, stored under their bin and read back."""
     objects = _objects(spark, sf_dir)
     model = _fixed_model(spark, objects)
-    rows = scoring.apply(model.infer(objects, n_steps=5), model)
+    rows = scoring.infer_and_apply(objects, model, n_steps=5)
     low = rows.filter(ARRAY_SCORES["p01"](F.col("w_rob")) < 0.7)
     results = store.ResultStore(spark, scratch_path(spark, "results"))
     results.write("residuals", low.select("obj_id", "w", "r", F.lit("std_z").alias("metric"), (F.col("obj_id") % 3).cast("int").alias("bin")))
