@@ -275,7 +275,7 @@ def random_start(spark, sf_dir):
 def robust_fit_rank3(spark, sf_dir):
     """Rank-three fit of the prices until the basis settles, ordered; scores of all suppliers."""
     objects = _objects(spark, sf_dir)
-    model = Factorizer(3, scale=Q, tol=1e-4, check_every=5, max_iter=30, order=True).fit(objects)
+    model = Factorizer(3, scale=Q, tol=1e-3, check_every=3, max_iter=10, order=True).fit(objects)
     return model.score(objects, scores=("p01", "median"))
 
 
@@ -285,7 +285,7 @@ def convergence_policies(spark, sf_dir):
     objects = _objects(spark, sf_dir)
     rows = []
     for conv, tol in (("max_frac_G", 1e-3), ("max_frac_A", 1e-3), ("rel_frac_loss", 1e-4), ("none", 0.0)):
-        m = Factorizer(2, scale=Q, conv=conv, tol=tol, check_every=2, max_iter=8).fit(objects)
+        m = Factorizer(2, scale=Q, conv=conv, tol=tol, check_every=2, max_iter=5).fit(objects)
         rows.append((conv, m.n_iter, m.converged, m.loss_history[-1]))
     return spark.createDataFrame(rows, "conv string, n_iter int, converged boolean, loss double")
 
@@ -357,7 +357,7 @@ def pca_baseline(spark, sf_dir):
 @query()
 def pursuit_baseline(spark, sf_dir):
     """Low-rank plus sparse split of the prices: per object the size of its sparse part."""
-    p = baselines.pursuit(price_objects(spark, sf_dir).select("obj_id", "y"), max_iter=15)
+    p = baselines.pursuit(price_objects(spark, sf_dir).select("obj_id", "y"), max_iter=8)
     return p.parts.select("obj_id", F.aggregate("s", F.lit(0.0), lambda t, x: t + F.abs(x)).alias("sparse"))
 
 
@@ -382,7 +382,7 @@ def population_analysis(spark, sf_dir):
     """The whole pipeline over all classes: split, grid, validation, best model, scores, flags."""
     p = population.analyse(
         _classes(spark, sf_dir), price_objects(spark, sf_dir), [1, 2], [2.0, 4.0], threshold=0.7,
-        settings=Settings(tol=1e-3, check_every=2, max_iter=6), max_iter=20,
+        settings=Settings(tol=1e-3, check_every=2, max_iter=4), max_iter=20,
     )
     return p.outliers
 
