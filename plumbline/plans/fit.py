@@ -228,7 +228,10 @@ def _als_step(turns, width: int, settings: Settings, note: bool, compare: bool):
 
 
 def _finish_step(turns, width: int):
-    """Final coefficients in their final gauge, the number of valid cells, and the final loss."""
+    """Final coefficients in their final gauge, the number of valid cells, and the final loss.
+
+    ``check`` is the gauge in which a last comparison with the remembered coefficients is due.
+    """
 
     def step(block: pa.RecordBatch, sums: Sums) -> np.ndarray:
         grp, y_all, w_all, state = _read(block)
@@ -239,7 +242,11 @@ def _finish_step(turns, width: int):
             if not rows.any():
                 continue
             at = m["at"] + (width if m["from_seen"] else 0)
-            a = state[rows, at : at + m["k"]] @ m["t"]
+            raw = state[rows, at : at + m["k"]]
+            a = raw @ m["t"]
+            if m.get("check") is not None:
+                seen = state[rows, width + m["at"] : width + m["at"] + m["k"]]
+                sums.top(m["scalars"], float(((raw @ m["check"] - seen) ** 2).max()))
             y, w = y_all[rows], w_all[rows]
             sums.add(m["scalars"], np.array([[m["loss"].loss_np(w, y - a @ m["g"].T).sum(), (a * a).sum(), a.size]]))
             out[rows, m["at"] : m["at"] + m["k"]] = a
@@ -424,12 +431,21 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
         if not any(t.live for t in turns):
             break
 
-    if settings.order:
-        for t in turns:
+    told = [t.told() for t in turns]
+    due = [later and t.live and is_check(t.n_iter - 1) for t in turns]
+    for t, m, check in zip(turns, told, due):
+        m["check"] = t.t if check and settings.conv == "max_frac_A" else None
+        if settings.order:
             turn, back = rotate.principal(t.gram_a, t.g.T @ t.g)
-            t.t, t.g = t.t @ turn, t.g @ back
-    told = sc.broadcast([t.told() for t in turns])
-    sums = passes.run(_finish_step(told, width), {t.scalars: (1, 3) for t in turns})
+            m["t"], m["g"] = t.t @ turn, t.g @ back
+            t.g = m["g"]
+    sums = passes.run(_finish_step(sc.broadcast(told), width), {t.scalars: (1, 3) for t in turns})
+    for t, check in zip(turns, due):
+        loss, size_a, cells = sums[t.scalars][0]
+        if check and settings.conv == "max_frac_A":
+            t.converged = bool(sums[-1 - t.scalars][0] / (np.trace(t.gram_a) / cells) < settings.tol)
+        elif check:
+            t.converged = bool(abs(t.seen_loss - loss) / abs(loss) < settings.tol)
     final = passes.state
     passes.forget_before(1)
     passes._live.clear()

@@ -85,26 +85,33 @@ def inject_dips(spark, sf_dir):
     return _both(*inject.dips(_full(spark, sf_dir), N_MONTHS, n=6, width=1.5))
 
 
-# One missing stretch in half of the objects, clear of the spikes.
-_GAPS = f"""free AS (SELECT obj_id, feat_id, feat_id - row_number() OVER (PARTITION BY obj_id ORDER BY feat_id) AS i FROM spiked WHERE NOT label AND {unit("0/gap", "obj_id")} < 0.5),
-regions AS (SELECT obj_id, min(feat_id) AS s, count(*) AS len FROM free GROUP BY obj_id, i HAVING count(*) >= 5),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY s) - 1 AS no, count(*) OVER (PARTITION BY obj_id) AS m FROM regions),
-one AS (SELECT *, 5 + floor({unit("0/gap/l0", "obj_id")} * (least(12, len) - 5 + 1)) AS l FROM ranked WHERE no = floor({unit("0/gap/r0", "obj_id")} * m)),
-gap AS (SELECT obj_id, s + floor({unit("0/gap/s0", "obj_id")} * (len - l + 1)) AS b, l FROM one)"""
-
-
-@query(f"""WITH {FULL}, {_SPIKED}, {_GAPS}
-SELECT obj_id, feat_id, {rd("CASE WHEN b IS NOT NULL THEN 0 ELSE y END")} AS y, {rd("CASE WHEN b IS NOT NULL THEN 0 ELSE w END")} AS w, b IS NOT NULL AS label
-FROM spiked LEFT JOIN gap USING (obj_id) WHERE b IS NULL OR feat_id BETWEEN b AND b + l - 1
-UNION ALL SELECT obj_id, feat_id, {rd("y")}, {rd("w")}, false FROM spiked JOIN gap USING (obj_id) WHERE feat_id NOT BETWEEN b AND b + l - 1""")
+def _gaps_sql(segments: int, low: int, high: int) -> str:
+    """Missing stretches in half of the objects, clear of the spikes and of the stretches before."""
+    out = f"""open0 AS (SELECT obj_id, feat_id FROM spiked WHERE NOT label AND {unit("0/gap", "obj_id")} < 0.5)"""
+    for i in range(segments):
+        out += f""",
+free{i} AS (SELECT obj_id, feat_id, feat_id - row_number() OVER (PARTITION BY obj_id ORDER BY feat_id) AS i FROM open{i}),
+regions{i} AS (SELECT obj_id, min(feat_id) AS s, count(*) AS len FROM free{i} GROUP BY obj_id, i HAVING count(*) >= {low}),
+ranked{i} AS (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY s) - 1 AS no, count(*) OVER (PARTITION BY obj_id) AS m FROM regions{i}),
+one{i} AS (SELECT *, {low} + floor({unit(f"0/gap/l{i}", "obj_id")} * (least({high}, len) - {low} + 1)) AS l FROM ranked{i}
+           WHERE no = floor({unit(f"0/gap/r{i}", "obj_id")} * m)),
+gap{i} AS (SELECT obj_id, s + floor({unit(f"0/gap/s{i}", "obj_id")} * (len - l + 1)) AS b, l FROM one{i}),
+open{i + 1} AS (SELECT obj_id, feat_id FROM open{i} LEFT JOIN gap{i} USING (obj_id) WHERE b IS NULL OR feat_id < b OR feat_id > b + l - 1)"""
+    gone = " UNION ALL ".join(f"SELECT obj_id, feat_id FROM open{i} ANTI JOIN open{i + 1} USING (obj_id, feat_id)" for i in range(segments))
+    return f"""WITH {FULL}, {_SPIKED}, {out}, gone AS ({gone})
+SELECT s.obj_id, s.feat_id, {rd("CASE WHEN g.obj_id IS NULL THEN y ELSE 0 END")} AS y, {rd("CASE WHEN g.obj_id IS NULL THEN w ELSE 0 END")} AS w, g.obj_id IS NOT NULL AS label
+FROM spiked s LEFT JOIN gone g USING (obj_id, feat_id)"""
+
+
+@query(_gaps_sql(1, 5, 12))
 def inject_missing_segments(spark, sf_dir):
     cells, labels = inject.spikes(_full(spark, sf_dir), 0.02)
     return _both(*inject.missing_segments(cells, labels, fraction=0.5, min_length=5, max_length=12))
 
 
-@query()
+@query(_gaps_sql(2, 3, 8))
 def inject_two_missing_segments(spark, sf_dir):
-    """Two stretches an object, which must not touch."""
+    """Two stretches an object, which do not overlap."""
     cells, labels = inject.spikes(_full(spark, sf_dir), 0.02)
     return _both(*inject.missing_segments(cells, labels, fraction=0.5, segments=2, min_length=3, max_length=8))
 

@@ -279,15 +279,46 @@ def robust_fit_rank3(spark, sf_dir):
     return model.score(objects, scores=("p01", "median"))
 
 
-@query()
+_RULES = {"max_frac_G": 1e-6, "max_frac_A": 1e-6, "rel_frac_loss": 1e-5, "none": 0.0}
+_CYCLES = 6
+
+
+def _rules_sql() -> str:
+    """When each rule stops a rank-one fit that is checked every cycle.
+
+    The first cycle is not checked, and the first check looks back to the start. From the second
+    cycle on the basis has unit length.
+    """
+    facts = []
+    for i in range(1, _CYCLES + 1):
+        loss = f"SELECT {i} AS i, (SELECT {Q2} * sum(ln(1 + w * (y - a*g) * (y - a*g) / {Q2})) FROM cells JOIN a{i} USING (obj_id) JOIN g{i} USING (feat_id)) AS loss"
+        if i < 3:
+            facts.append(f"{loss}, 1e9::DOUBLE AS fg, 1e9::DOUBLE AS fa")
+            continue
+        o, n = (f"(SELECT sqrt(sum(g * g)) FROM g{j})" for j in (i - 1, i))
+        facts.append(f"""{loss},
+  (SELECT max((o.g / {o} - n.g / {n}) ** 2) / sum((n.g / {n}) ** 2) * {N_MONTHS} FROM g{i - 1} o JOIN g{i} n USING (feat_id)) AS fg,
+  (SELECT max((o.a * {o} - n.a * {n}) ** 2) / avg((n.a * {n}) ** 2) FROM a{i - 1} o JOIN a{i} n USING (obj_id)) AS fa""")
+    picks = []
+    for rule, tol in _RULES.items():
+        cond = {"max_frac_G": f"fg < {tol}", "max_frac_A": f"fa < {tol}", "rel_frac_loss": f"change < {tol}", "none": "false"}[rule]
+        picks.append(f"SELECT '{rule}' AS conv, min(i) FILTER (WHERE i >= 3 AND {cond}) AS stop FROM c")
+    return f"""WITH {als_sql(_CYCLES)}, f AS ({" UNION ALL ".join(facts)}),
+c AS (SELECT *, abs(lag(loss) OVER (ORDER BY i) - loss) / abs(loss) AS change FROM f),
+p AS ({" UNION ALL ".join(picks)})
+SELECT conv, coalesce(stop, {_CYCLES})::INTEGER AS n_iter, stop IS NOT NULL AS converged, {rd("loss", 4)} AS loss FROM p JOIN f ON f.i = coalesce(stop, {_CYCLES})"""
+
+
+@query(_rules_sql())
 def convergence_policies(spark, sf_dir):
-    """Cycles, final loss and outcome of a rank-two fit under every stopping rule."""
+    """Cycles, outcome and final loss of a rank-one fit under every stopping rule."""
     objects = _objects(spark, sf_dir)
+    begin = _mean_start(objects)
     rows = []
-    for conv, tol in (("max_frac_G", 1e-3), ("max_frac_A", 1e-3), ("rel_frac_loss", 1e-4), ("none", 0.0)):
-        m = Factorizer(2, scale=Q, conv=conv, tol=tol, check_every=2, max_iter=5).fit(objects)
+    for conv, tol in _RULES.items():
+        m = Factorizer(1, scale=Q, conv=conv, tol=tol, check_every=1, max_iter=_CYCLES).fit(objects, start=begin)
         rows.append((conv, m.n_iter, m.converged, m.loss_history[-1]))
-    return spark.createDataFrame(rows, "conv string, n_iter int, converged boolean, loss double")
+    return tidy(spark.createDataFrame(rows, "conv string, n_iter int, converged boolean, loss double"), 4)
 
 
 _ROTATIONS = {

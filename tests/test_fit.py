@@ -68,6 +68,15 @@ def test_convergence(df, problem, conv, tol):
     np.testing.assert_allclose(model.loss_history, history, rtol=1e-8)
 
 
+@pytest.mark.parametrize("conv, tol", [("max_frac_A", 1e-6), ("rel_frac_loss", 1e-5)])
+def test_convergence_in_the_last_cycle(df, conv, tol):
+    """A fit that settles at a check keeps its verdict when that is also the last cycle allowed."""
+    kw = {"scale": Q, "conv": conv, "tol": tol, "check_every": 2}
+    n = Factorizer(3, **kw, max_iter=40).fit(df).n_iter
+    assert Factorizer(3, **kw, max_iter=n).fit(df).converged
+    assert not Factorizer(3, **kw, max_iter=n - 1, order=True).fit(df).converged
+
+
 def test_frac_change():
     m = np.ones((4, 4))
     assert frac_change(m, m) == 0
