@@ -78,6 +78,8 @@ class FittedModel:
     ridge: float | None = None
     # the training objects with their coefficients, joined without a shuffle
     training: DataFrame | None = None
+    # where the coefficients lie: the table shared by the models of a wave, and their columns in it
+    slot: "tuple[DataFrame, Column] | None" = None
 
     @property
     def model_id(self) -> str:
@@ -102,7 +104,7 @@ class FittedModel:
         return self.spark.createDataFrame(rows, "model_id string, iter int, loss double")
 
     def with_coeffs(self, coeffs: DataFrame) -> "FittedModel":
-        return replace(self, coeffs=coeffs, training=None)
+        return replace(self, coeffs=coeffs, training=None, slot=None)
 
     def infer(self, objects: DataFrame, **options) -> DataFrame:
         """Coefficients of any objects with this basis held fixed."""
@@ -459,11 +461,33 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
         coeffs = final.filter(mine).select("obj_id", a, n_valid.alias("n_valid"))
         training = passes.rows(final).filter(mine).select("obj_id", "y", "w", a, n_valid.alias("n_valid"))
         out[t.spec.model_id] = FittedModel(
-            passes.spark, t.spec, t.g, coeffs, [float(x) for x in t.losses], t.n_iter, t.converged, settings.ridge, training
+            passes.spark, t.spec, t.g, coeffs, [float(x) for x in t.losses], t.n_iter, t.converged, settings.ridge, training, (final, a)
         )
     return out
 
 
+def coefficient_table(models: list[FittedModel]) -> DataFrame | None:
+    """(model_id, obj_id, a) of several models; those fitted together are read in one scan."""
+    parts: list[DataFrame] = []
+    shared: dict[int, list[FittedModel]] = {}
+    for m in models:
+        if m.slot is not None:
+            shared.setdefault(id(m.slot[0]), []).append(m)
+        elif m.coeffs is not None:
+            parts.append(m.coeffs.select(F.lit(m.model_id).alias("model_id"), "obj_id", "a"))
+    for ms in shared.values():
+        entry = None
+        for grp in sorted({m.spec.grp for m in ms}):
+            own = F.array(*[F.struct(F.lit(m.model_id).alias("model_id"), m.slot[1]) for m in ms if m.spec.grp == grp])
+            entry = F.when(F.col("grp") == grp, own) if entry is None else entry.when(F.col("grp") == grp, own)
+        rows = ms[0].slot[0].select("obj_id", F.explode(entry).alias("c"))
+        parts.append(rows.select("c.model_id", "obj_id", "c.a"))
+    out = None
+    for p in parts:
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
 class Factorizer:
     """One robust factorisation ``Y ~ A Gᵀ``; the settings of ``fit`` gathered in one place."""
 

@@ -209,7 +209,7 @@ def analyse(
     if models is not None:
         models.save_many(
             [FittedModel(m.spark, ModelSpec(f"{m.model_id}/all", m.k, m.loss, m.spec.grp), m.g) for m in chosen],
-            {f"{m.model_id}/all": coeffs.filter(F.col("model_id") == m.model_id) for m in chosen},
+            coeffs.select(F.concat("model_id", F.lit("/all")).alias("model_id"), "obj_id", "a"),
         )
     value = ARRAY_SCORES[score](F.col("w_rob")) if isinstance(score, str) else score
     scored = apply_many(data, coeffs, chosen).withColumn("score", value)

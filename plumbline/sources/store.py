@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.losses import StudentT
-from plumbline.plans.fit import FittedModel, ModelSpec
+from plumbline.plans.fit import FittedModel, ModelSpec, coefficient_table
 
 CATALOGUE_SCHEMA = "obj_id bigint, parallax double, colour double, magnitude double"
 LINE_SCHEMA = "species string, x double"
@@ -20,6 +20,8 @@ LINE_LISTS = ("strong", "abundance", "diffuse")
 BAND_LIST = "bands"
 
 MODEL_SCHEMA = "model_id string, grp int, k int, q2 double, n_iter int, converged boolean, loss double"
+# A bin is written to this part of as many files as a shuffle has partitions.
+FILES_SHARE = 4
 TABLES = ("outliers", "object_scores", "bin_summary", "outlier_vectors", "residuals")
 
 
@@ -75,21 +77,19 @@ class ModelStore:
         # replaces the partitions it writes and leaves the other models alone
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model_id").parquet(f"{self.path}/{table}")
 
-    def save(self, model: FittedModel, coeffs: DataFrame | None = None) -> None:
-        self.save_many([model], {model.model_id: coeffs} if coeffs is not None else None)
+    def save(self, model: FittedModel) -> None:
+        self.save_many([model])
 
-    def save_many(self, models: list[FittedModel], coeffs: dict[str, DataFrame] | None = None) -> None:
-        """One write a table for all models together."""
+    def save_many(self, models: list[FittedModel], coeffs: DataFrame | None = None) -> None:
+        """One write a table for all models together; ``coeffs(model_id, obj_id, a)`` stands in for their own."""
         if not models:
             return
-        all_coeffs = None
-        for m in models:
-            c = (coeffs or {}).get(m.model_id, m.coeffs)
-            if c is not None:
-                c = c.select("obj_id", "a", F.lit(m.model_id).alias("model_id"))
-                all_coeffs = c if all_coeffs is None else all_coeffs.unionByName(c)
-        if all_coeffs is not None:
-            self._write(all_coeffs, "coeffs")
+        if coeffs is None:
+            coeffs = coefficient_table(models)
+        if coeffs is not None:
+            # a model's rows over several files, but not a file a model from every task
+            files = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // len(models))
+            self._write(coeffs.repartition("model_id", F.pmod(F.hash("obj_id"), F.lit(files))), "coeffs")
         basis = [(m.model_id, j, [float(x) for x in row]) for m in models for j, row in enumerate(m.g)]
         self._write(self.spark.createDataFrame(basis, "model_id string, feat_id int, g array<double>"), "basis")
         rows = [
@@ -160,6 +160,10 @@ class ResultStore:
     def write(self, table: str, df: DataFrame) -> None:
         if table not in TABLES:
             raise ValueError(f"table must be one of {TABLES}, got {table!r}")
+        if "obj_id" in df.columns:
+            # a bin's rows over several files, however large the bin, but not a file a bin from every task
+            files = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // FILES_SHARE)
+            df = df.repartition("metric", "bin", F.pmod(F.hash("obj_id"), F.lit(files)))
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("metric", "bin").parquet(f"{self.path}/{table}")
 
     def read(self, table: str, metric: str | None = None, bin: int | None = None) -> DataFrame:
