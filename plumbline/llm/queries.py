@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import simhash
+from plumbline.llm import langid, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_language": langid.op2_language,
 }
 
 SQL: dict[str, str] = {}
