@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plumbline.llm import langid, simhash
+from plumbline.llm import langid, mixing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_language": langid.op2_language,
+    "op3_mixing": mixing.op3_mixing,
 }
 
 SQL: dict[str, str] = {}
