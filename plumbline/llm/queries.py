@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import langid, mixing, simhash
+from plumbline.llm import langid, mixing, packing, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_language": langid.op2_language,
     "op3_mixing": mixing.op3_mixing,
+    "op6_packing": packing.op6_packing,
 }
 
 SQL: dict[str, str] = {}
