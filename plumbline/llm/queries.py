@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from plumbline.llm import langid, mixing, packing, simhash, simple8b
+from plumbline.llm import langid, licenses, mixing, packing, simhash, simple8b
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_language": langid.op2_language,
     "op3_mixing": mixing.op3_mixing,
+    "op4_licenses": licenses.op4_licenses,
     "op6_packing": packing.op6_packing,
     "op9_token_files": simple8b.op9_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_licenses": licenses.SQL}
