@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import langid, licenses, mixing, packing, simhash, simple8b, vafile
+from plumbline.llm import langid, licenses, mixing, packing, rpforest, simhash, simple8b, vafile
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_licenses": licenses.op4_licenses,
     "op6_packing": packing.op6_packing,
     "op7_vafile": vafile.op7_vafile,
+    "op8_rpforest": rpforest.op8_rpforest,
     "op9_token_files": simple8b.op9_token_files,
 }
 
