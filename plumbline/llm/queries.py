@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import langid, licenses, mixing, packing, rpforest, simhash, simple8b, vafile
+from plumbline.llm import langid, licenses, mixing, packing, quality, rpforest, simhash, simple8b, vafile
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_language": langid.op2_language,
     "op3_mixing": mixing.op3_mixing,
     "op4_licenses": licenses.op4_licenses,
+    "op5_quality": quality.op5_quality,
     "op6_packing": packing.op6_packing,
     "op7_vafile": vafile.op7_vafile,
     "op8_rpforest": rpforest.op8_rpforest,
