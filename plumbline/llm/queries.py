@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import langid, licenses, mixing, packing, quality, rpforest, simhash, simple8b, vafile
+from plumbline.llm import langid, licenses, mixing, packing, quality, rpforest, simhash, simple8b, vafile, wrappers
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_vafile": vafile.op7_vafile,
     "op8_rpforest": rpforest.op8_rpforest,
     "op9_token_files": simple8b.op9_token_files,
+    "op10_wrappers": wrappers.op10_wrappers,
 }
 
 SQL: dict[str, str] = {"op4_licenses": licenses.SQL}
