@@ -178,10 +178,11 @@ def repeat_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = mix(docs)
     taken = found.groupBy("key", "doc_id").agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies"))
     taken = stored(taken.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "_rows", "_copies"), "copies")
-    rows = docs.withColumn("_k", F.xxhash64(docs["doc_id"], docs["text"]))
-    rows = rows.join(taken, (rows["_k"] == taken["_key"]) & rows["doc_id"].eqNullSafe(taken["_id"]))
+    # the row goes as one struct, so that its columns may have any names
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"), docs["doc_id"].alias("id"))
+    rows = rows.join(taken, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
     # equal rows share their copies: each takes the whole part, the first ones one more
-    place = F.row_number().over(Window.partitionBy("_k", "_id").orderBy("_k"))
+    place = F.row_number().over(Window.partitionBy("key", "id").orderBy("key"))
     each = F.floor(F.col("_copies") / F.col("_rows")) + (place <= F.col("_copies") % F.col("_rows")).cast("int")
-    rows = rows.withColumn("_each", each.cast("int")).where("_each > 0")
-    return rows.withColumn("_n", F.explode(F.array_repeat(F.lit(0), F.col("_each")))).select(*[rows[f"`{c}`"] for c in docs.columns])
+    rows = rows.select("row", each.cast("int").alias("each")).where("each > 0")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(0), F.col("each")))).select("row.*")
