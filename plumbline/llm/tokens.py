@@ -9,8 +9,8 @@ word only when a worker has not met it. Texts with other white space go to the t
 from __future__ import annotations
 
 import os
-from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +49,8 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         for i in range(0, len(words), BATCH):
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + BATCH], add_special_tokens=False)]
-            flat = np.frombuffer(b"".join(array("I", x).tobytes() for x in ids), np.uint32)
-            size, first, last = np.array([len(x) for x in ids]), len(self.place), len(self.place) + len(ids)
+            size, first, last = np.array(list(map(len, ids))), len(self.place), len(self.place) + len(ids)
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             while last > len(self.start):
@@ -61,26 +61,27 @@ class Encoder:
             self.used += len(flat)
             self.place.update(zip(words[i : i + BATCH], range(first, last)))
 
-    def _places(self, pieces: list[str]) -> np.ndarray:
+    def _known(self, words: pa.Array) -> np.ndarray:
+        """The place in the pool of every word; those met for the first time go to the tokenizer."""
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        found = list(map(self.place.get, distinct))
+        if new := [w for w, x in zip(distinct, found) if x is None]:
+            self._learn(new)
+            found = list(map(self.place.__getitem__, distinct))
+        return np.array(found, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
         """Two places in the pool for every piece: of its word and of the signs after it."""
         if len(self.place) > CACHED_WORDS:
             self._forget()
+        # a word and the signs after it are two words to both vocabularies
+        core = pc.utf8_rtrim(pieces, characters=_PUNCT)
+        cut = pc.and_(pc.and_(pc.not_equal(core, pieces), pc.match_substring_regex(core, r"[\pL\pN]$")), pc.invert(pc.match_substring(pieces, "<|")))
         out = np.zeros((len(pieces), 2), np.int64)
-        known = list(map(self.place.get, pieces))
-        rest = [i for i, x in enumerate(known) if x is None]
-        cut, new = [], {}
-        for i in rest:
-            known[i] = 0
-            p = pieces[i]
-            core = p.rstrip(_PUNCT)
-            # a word and the signs after it are two words to both vocabularies
-            core, tail = (core, p[len(core) :]) if core[-1:].isalnum() and "<|" not in p else (p, "")
-            cut.append((core, tail))
-            new[core] = new[tail] = 0
-        self._learn([w for w in new if w not in self.place])
-        out[:, 0] = known
-        place = self.place
-        out[rest] = np.array([(place[a], place[b]) for a, b in cut], np.int64).reshape(-1, 2)
+        out[:, 0] = self._known(pc.if_else(cut, core, pieces))
+        signs = pc.replace_substring_regex(pieces.filter(cut), r"(?s)^.*[\pL\pN]", "")
+        out[cut.to_numpy(zero_copy_only=False), 1] = self._known(signs)
         return out
 
     def _plain(self, text: str) -> np.ndarray:
@@ -97,7 +98,7 @@ class Encoder:
             even = pc.replace_substring(pc.replace_substring(even, "\n", "\0"), " ", "\0")
         cut = pc.split_pattern(even, "\0")
         coded = cut.flatten().dictionary_encode()
-        places = self._places(coded.dictionary.to_pylist())
+        places = self._places(coded.dictionary)
         length = self.length[places].sum(axis=1)
         ids = self.pool[runs(self.start[places].ravel(), self.length[places].ravel())]  # of the distinct pieces
         first = np.cumsum(length) - length
