@@ -39,18 +39,31 @@ def unpack(p: np.ndarray, k: int) -> np.ndarray:
     return full
 
 
+# Eigenvalues of a normal matrix below this part of its largest count as zero.
+RANK_CUT = 1e-12
+
+
 def solve_packed(xp: np.ndarray, b: np.ndarray, ridge: float | None = None) -> np.ndarray:
-    """Solve one K x K system a row. A row without data gives zeros, a singular one the shortest solution."""
+    """Solve one K x K system a row: the shortest least-squares solution, whatever the row's rank.
+
+    Every row is solved by itself through its eigenvalues, so that an answer depends on no other row of the batch.
+    A row without data gives zeros, one that is not finite NaN.
+    """
     k = b.shape[1]
     x = unpack(xp, k)
     if ridge:
         x += ridge * np.eye(k)
-    empty = ~x.any(axis=(1, 2))
-    x[empty] = np.eye(k)
-    try:
-        return np.linalg.solve(x, b[..., None])[..., 0]
-    except np.linalg.LinAlgError:
-        return np.einsum("nij,nj->ni", np.linalg.pinv(x, hermitian=True), b)
+    bad = ~(np.isfinite(x).all(axis=(1, 2)) & np.isfinite(b).all(axis=1))
+    x[bad] = 0.0
+    if k == 1:
+        lam, v = x[:, 0], np.ones((len(x), 1, 1))
+    else:
+        lam, v = np.linalg.eigh(x)
+    held = lam > RANK_CUT * lam[:, -1:]
+    along = np.einsum("nji,nj->ni", v, b)
+    out = np.einsum("nij,nj->ni", v, np.divide(along, lam, out=np.zeros_like(along), where=held))
+    out[bad] = np.nan
+    return out
 
 
 def a_step(y: np.ndarray, w: np.ndarray, g: np.ndarray, ridge: float | None = None) -> np.ndarray:

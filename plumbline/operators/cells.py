@@ -68,10 +68,13 @@ def _solve(sums: DataFrame, key: str, out: str, k: int, ridge: float | None) ->
         value = F.array(F.try_divide(F.col("b_0"), F.col("x_0_0") + eps))
     elif k == 2:
         p, q, s = F.col("x_0_0") + eps, F.col("x_0_1"), F.col("x_1_1") + eps
-        det = p * s - q * q
+        det, trace = p * s - q * q, p + s
+        # det / trace**2 is the ratio of the eigenvalues; a matrix of rank one is trace * u u^T, and X b / trace**2 solves it
+        full = det > F.lit(kernels.RANK_CUT) * trace * trace
+        b0, b1 = F.col("b_0"), F.col("b_1")
         value = F.array(
-            F.try_divide(s * F.col("b_0") - q * F.col("b_1"), det),
-            F.try_divide(p * F.col("b_1") - q * F.col("b_0"), det),
+            F.when(full, F.try_divide(s * b0 - q * b1, det)).otherwise(F.try_divide(p * b0 + q * b1, trace * trace)),
+            F.when(full, F.try_divide(p * b1 - q * b0, det)).otherwise(F.try_divide(q * b0 + s * b1, trace * trace)),
         )
     else:
         return _solve_batches(sums, key, out, k, ridge)

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.draws import between, sign, uniform
-from plumbline.runtime import pin_small
+from plumbline.runtime import checkpointed, pin_small
 
 
 def pick_objects(cells: DataFrame, n: int, seed: int | str) -> DataFrame:
@@ -112,8 +112,8 @@ def missing_segments(
     The region, the length and the start are drawn by hash. A later segment keeps clear of the
     earlier ones of its object as well.
     """
-    chosen = cells.filter(uniform(f"{seed}/gap", F.col("obj_id")) < fraction).select("obj_id", "feat_id")
-    taken = avoid.select("obj_id", "feat_id")
+    chosen = checkpointed(cells.filter(uniform(f"{seed}/gap", F.col("obj_id")) < fraction).select("obj_id", "feat_id"))
+    taken = checkpointed(avoid.select("obj_id", "feat_id"))
     gaps = None
     for i in range(segments):
         regions = free_regions(chosen, taken if gaps is None else taken.union(gaps), min_length)
@@ -125,7 +125,8 @@ def missing_segments(
         cut = one.withColumn("_l", length).withColumn("_b", begin)
         stretch = F.sequence(F.col("_b").cast("int"), (F.col("_b") + F.col("_l") - 1).cast("int"))
         new = cut.select("obj_id", F.explode(stretch).alias("feat_id"))
-        gaps = new if gaps is None else gaps.union(new)
+        # the next segment reads these twice; without the cut the plan would double with every segment
+        gaps = checkpointed(new if gaps is None else gaps.union(new))
     marked = cells.join(gaps.withColumn("_x", F.lit(True)), ["obj_id", "feat_id"], "left")
     hit = F.col("_x").isNotNull()
     out = marked.withColumns({"y": F.when(hit, 0.0).otherwise(F.col("y")), "w": F.when(hit, 0.0).otherwise(F.col("w"))})

@@ -60,11 +60,14 @@ def feature_axis(spark: SparkSession, start: float, stop: float, n: int, clip: i
 
 
 def cells_to_objects(cells: DataFrame, n_features: int, keys: tuple[str, ...] = ("obj_id",)) -> DataFrame:
-    """Gather each object's cells into dense arrays; cells that are not there are missing.
+    """Gather each object's cells into dense arrays; cells that are not there are missing, and a feature outside
+    0 .. n_features - 1 is an error.
 
     One shuffle on the keys. A group is one object, so it holds at most ``n_features`` cells.
     """
-    table = F.map_from_entries(F.collect_list(F.struct("feat_id", F.struct("y", "w").alias("c"))))
+    stray = F.count_if((F.col("feat_id") < 0) | (F.col("feat_id") >= n_features))
+    held = F.map_from_entries(F.collect_list(F.struct("feat_id", F.struct("y", "w").alias("c"))))
+    table = F.when(stray > 0, F.raise_error(F.lit(f"a feat_id is outside 0 .. {n_features - 1}"))).otherwise(held)
     feats = F.sequence(F.lit(0), F.lit(n_features - 1))
     zero = F.lit(0.0)
     gathered = cells.withColumn("feat_id", F.col("feat_id").cast("int")).groupBy(*keys).agg(table.alias("t"))

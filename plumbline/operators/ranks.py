@@ -2,25 +2,18 @@
 
 ``percentile`` and a window both bring a whole group to one task. That is right for groups with
 a known bound (the cells of one object) and wrong for the cells of one feature or of the whole
-table. Here a hot group is narrowed by counting instead: each pass counts values per sub-range,
-partially before the shuffle, and keeps the sub-range that holds the wanted rank, until few
-enough values are left to order directly.
+table. A larger group is counted by value instead, partially before the shuffle; its distinct values are
+spread over ranges, and the ranges' totals tell in which of them a wanted rank lies.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from plumbline.runtime import BROADCAST_ROWS, checkpointed
+from plumbline.runtime import checkpointed
 
 # A group of at most this many values is handed to one task.
 HOT_ROWS = 1_000_000
-# Sub-ranges counted in one narrowing pass.
-SPLITS = 1024
 
 
 def quantiles(
@@ -33,106 +26,57 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles, one column a probability, nulls left out.
 
+    NaN is the largest value, after infinity, and an interpolation with NaN is NaN, for groups of every size.
     ``max_group`` is the caller's proof that no group is larger; without it the groups are
-    counted first and those above ``hot_rows`` are narrowed by counting.
+    counted first and those above ``hot_rows`` are counted by value.
     """
     df = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    names = list(probs)
-    direct = [F.percentile(F.col("_v"), F.lit(probs[n])).alias(n) for n in names]
+    direct = [F.percentile(F.col("_v"), F.lit(p)).alias(n) for n, p in probs.items()]
     if max_group is not None and max_group <= hot_rows:
         return df.groupBy(*by).agg(*direct)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    # two order statistics a probability and hot group are followed on the driver
-    most = BROADCAST_ROWS // (2 * len(probs))
-    hot = counts.filter(F.col("_n") > hot_rows).limit(most + 1).collect()
-    if len(hot) > most:
-        raise ValueError(f"over {most} groups have more than {hot_rows} values; raise hot_rows")
-    if not hot:
+    df = checkpointed(df)  # read more than once
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    hot = checkpointed(df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*keys, "_n"))
+    if hot.isEmpty():
         return df.groupBy(*by).agg(*direct)
-    key_fields = [df.schema[c] for c in by]
-    out = _narrow(df, hot, key_fields, probs, hot_rows)
     if not by:
-        return out
-    hot_keys = df.sparkSession.createDataFrame([tuple(r[c] for c in by) for r in hot], StructType(key_fields))
-    cold = df.join(F.broadcast(hot_keys), list(by), "left_anti").groupBy(*by).agg(*direct)
-    return cold.unionByName(out)
-
-
-_RANGE = [StructField("_lo", DoubleType()), StructField("_hi", DoubleType())]
-
-
-@dataclass
-class _Target:
-    """One wanted order statistic: where it lies, its place from the start of that range (from 1),
-    and how many values the range holds."""
-
-    key: tuple
-    place: int
-    lo: float
-    hi: float
-    rank: int
-    count: int
-
-    @property
-    def range(self) -> tuple:
-        return self.key + (self.lo, self.hi)
-
-
-def _narrow(df: DataFrame, hot: list, key_fields: list[StructField], probs: dict[str, float], hot_rows: int) -> DataFrame:
-    """Order statistics of the hot groups. The control state is a few rows a group; every pass
-    brings one row a target to the driver."""
-    spark = df.sparkSession
-    by = [f.name for f in key_fields]
-    targets = []
-    for r in hot:
-        places = {t for p in probs.values() for t in (math.floor(p * (r["_n"] - 1)), math.ceil(p * (r["_n"] - 1)))}
-        targets += [_Target(tuple(r[c] for c in by), t, r["_lo"], r["_hi"], t + 1, r["_n"]) for t in sorted(places)]
-
-    def inside(live: list[_Target]) -> DataFrame:
-        """The values within the live ranges, each with its range. Ranges of a group do not overlap."""
-        ranges = sorted({t.range for t in live})
-        held = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-        if by:
-            return df.join(F.broadcast(spark.createDataFrame(ranges, StructType(key_fields + _RANGE))), by).filter(held)
-        listed = F.array(*[F.struct(F.lit(lo).alias("_lo"), F.lit(hi).alias("_hi")) for lo, hi in ranges])
-        return df.select("_v", F.inline(listed)).filter(held)
-
-    def settle(live: list[_Target], tallies: DataFrame, order: str) -> None:
-        """Move every target to the tally row that holds it: (_a, _b) becomes its range."""
-        upto = F.sum("_n").over(Window.partitionBy(*by, "_lo", "_hi").orderBy(order))
-        wanted = spark.createDataFrame(
-            [t.range + (t.place, t.rank) for t in live],
-            StructType(key_fields + _RANGE + [StructField("_place", LongType()), StructField("_rank", LongType())]),
-        )
-        run = tallies.withColumn("_upto", upto).join(F.broadcast(wanted), [*by, "_lo", "_hi"])
-        hits = run.filter((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_n") < F.col("_rank")))
-        found = {(tuple(r[c] for c in by), r["_place"]): r for r in hits.collect()}
-        for t in live:
-            r = found[t.key, t.place]
-            t.lo, t.hi, t.rank, t.count = r["_a"], r["_b"], t.rank - (r["_upto"] - r["_n"]), r["_n"]
-
-    while live := [t for t in targets if t.count > hot_rows and (t.hi - t.lo) / SPLITS > 0]:
-        width = (F.col("_hi") - F.col("_lo")) / F.lit(float(SPLITS))
-        cell = F.least(F.floor((F.col("_v") - F.col("_lo")) / width), F.lit(SPLITS - 1)).alias("_cell")
-        tallies = inside(live).groupBy(*by, "_lo", "_hi", cell)
-        settle(live, tallies.agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b")), "_cell")
-
-    # what is left of a range is a single value or few rows: order it by value counts
-    if rest := [t for t in targets if t.lo < t.hi]:
-        tallies = inside(rest).groupBy(*by, "_lo", "_hi", "_v").agg(F.count(F.lit(1)).alias("_n"))
-        settle(rest, tallies.withColumns({"_a": F.col("_v"), "_b": F.col("_v")}), "_v")
-
-    value = {(t.key, t.place): t.lo for t in targets}
-    rows = []
-    for r in hot:
-        key = tuple(r[c] for c in by)
-        found = []
-        for p in probs.values():
-            at = p * (r["_n"] - 1)
-            low, high = value[key, math.floor(at)], value[key, math.ceil(at)]
-            found.append(low + (high - low) * (at - math.floor(at)))
-        rows.append(key + tuple(found))
-    return spark.createDataFrame(rows, StructType(key_fields + [StructField(n, DoubleType()) for n in probs]))
+        return _by_counts(df, by, probs)
+    same = _null_safe(by)
+    return df.join(hot, same, "left_anti").groupBy(*by).agg(*direct).unionByName(_by_counts(df.join(hot, same, "left_semi"), by, probs))
+
+
+def _null_safe(by: tuple[str, ...]):
+    """Equality of the keys with their copies _k0, _k1, ..., null equal to null."""
+    out = F.lit(True)
+    for i, c in enumerate(by):
+        out = out & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return out
+
+
+def _by_counts(df: DataFrame, by: tuple[str, ...], probs: dict[str, float]) -> DataFrame:
+    """Quantiles from the number of rows of every distinct value."""
+    counted = df.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    tallies = checkpointed(counted.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    copies = [f"_k{i}" for i in range(len(by))]
+    # a row a group and range
+    sizes = tallies.groupBy(*keys, F.col("_part").alias("_p")).agg(F.sum("_n").alias("_s"))
+    before = Window.partitionBy(*copies).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_shift", F.coalesce(F.sum("_s").over(before), F.lit(0))).withColumn("_total", F.sum("_s").over(Window.partitionBy(*copies)))
+    upto = F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy("_v"))
+    rows = tallies.withColumn("_upto", upto).join(sizes, (F.col("_part") == F.col("_p")) & _null_safe(by))
+    rows = rows.withColumn("_upto", F.col("_upto") + F.col("_shift"))
+    aggs, out = [], []
+    for name, p in probs.items():
+        at = F.col("_total").cast("double") - 1.0
+        at = at * F.lit(float(p))
+        for end, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            held = (place < F.col("_upto")) & (place >= F.col("_upto") - F.col("_n"))
+            aggs.append(F.max(F.when(held, F.col("_v"))).alias(f"_{end}_{name}"))
+        at = (F.col("_total") - 1.0) * F.lit(float(p))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        out.append(F.when(lo == hi, lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi).alias(name))
+    return rows.groupBy(*by, "_total").agg(*aggs).select(*by, *out)
 
 
 def numbered(df: DataFrame, order: list[str], by: tuple[str, ...] = ()) -> DataFrame:
@@ -144,8 +88,10 @@ def numbered(df: DataFrame, order: list[str], by: tuple[str, ...] = ()) -> DataF
     """
     spread = df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id())
     fixed = checkpointed(spread)
-    sizes = fixed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]
+    sizes = fixed.groupBy(*keys, F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*[f"_k{i}" for i in range(len(by))]).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     local = fixed.withColumn("_row", F.row_number().over(Window.partitionBy(*by, "_part").orderBy(*order)))
-    return local.join(shifts, [*by, "_part"]).withColumn("row_no", F.col("_row") - 1 + F.col("_shift")).drop("_part", "_row", "_shift")
+    joined = local.join(shifts, (F.col("_part") == F.col("_p")) & _null_safe(by))
+    return joined.select(*df.columns, (F.col("_row") - 1 + F.col("_shift")).alias("row_no"))

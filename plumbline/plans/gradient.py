@@ -79,6 +79,8 @@ def fit_gradient(objects: DataFrame, spec: ModelSpec, settings: Settings, init:
 
     A rotation starts the second moments afresh; by default there is none before the end.
     """
+    if settings.conv == "max_frac_A":
+        raise ValueError("the gradient fit follows the basis and the loss; conv must be max_frac_G, rel_frac_loss or none")
     passes = Passes(objects, ["y", "w"], buckets)
     sc = passes.spark.sparkContext
     k, m = spec.k, passes.width

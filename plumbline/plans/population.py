@@ -25,7 +25,9 @@ KEYS = ["bin", "obj_id"]
 
 
 def model_name(bin: int, k: int, q: float) -> str:
-    return f"bin{bin:02d}_k{k}_q{q:g}"
+    # six digits where they tell the scale, all of them where they don't
+    scale = f"{q:g}" if float(f"{q:g}") == q else repr(q)
+    return f"bin{bin:02d}_k{k}_q{scale}"
 
 
 def grid_specs(bins: list[int], ks: list[int], qs: list[float]) -> list[ModelSpec]:

@@ -6,10 +6,15 @@ the population pipeline by ``metric`` and ``bin``, so that a reader touches only
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict, is_dataclass
+from importlib import import_module
+from inspect import signature
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.functions.losses import StudentT
+from plumbline.functions.losses import Loss
 from plumbline.plans.fit import FittedModel, ModelSpec, coefficient_table
 
 CATALOGUE_SCHEMA = "obj_id bigint, parallax double, colour double, magnitude double"
@@ -19,7 +24,7 @@ BAND_SCHEMA = "species string, x_start double, x_end double"
 LINE_LISTS = ("strong", "abundance", "diffuse")
 BAND_LIST = "bands"
 
-MODEL_SCHEMA = "model_id string, grp int, k int, q2 double, n_iter int, converged boolean, loss double"
+MODEL_SCHEMA = "model_id string, grp int, k int, q2 double, n_iter int, converged boolean, loss double, family string, parameters string, ridge double"
 # A bin is written to this part of as many files as a shuffle has partitions.
 FILES_SHARE = 4
 TABLES = ("outliers", "object_scores", "bin_summary", "outlier_vectors", "residuals")
@@ -55,11 +60,15 @@ def match_catalogue(objects: DataFrame, catalogue: DataFrame) -> DataFrame:
 def read_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The line lists as one table (list_no, pos, species, x) in order of precedence, and the bands.
 
-    ``pos`` is the place of the line in its file; line lists are small reference files of one part.
+    ``pos`` rises with the place of the line in its file. A list is one file; a list of several has no order and
+    is an error.
     """
     parts = []
     for no, name in enumerate(LINE_LISTS):
-        df = spark.read.schema(LINE_SCHEMA).option("header", True).csv(f"{folder}/{name}.csv")
+        # multiLine: a file is read whole by one task, in its order
+        df = spark.read.schema(LINE_SCHEMA).option("header", True).option("multiLine", True).csv(f"{folder}/{name}.csv")
+        if len(df.inputFiles()) > 1:
+            raise ValueError(f"the line list {name} has more than one file")
         parts.append(df.select(F.lit(no).alias("list_no"), F.monotonically_increasing_id().alias("pos"), "species", "x"))
     lines = parts[0]
     for p in parts[1:]:
@@ -67,6 +76,22 @@ def read_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return lines, spark.read.schema(BAND_SCHEMA).option("header", True).csv(f"{folder}/{BAND_LIST}.csv")
 
 
+def loss_record(loss: Loss) -> tuple[str, str]:
+    """Where the class of a loss is and its parameters, as JSON."""
+    if not is_dataclass(loss):
+        raise ValueError(f"{type(loss).__name__} can't be stored; a loss is stored as a dataclass of its parameters")
+    kind = type(loss)
+    if "<locals>" in kind.__qualname__ or kind.__module__ == "__main__":
+        raise ValueError(f"{kind.__qualname__} can't be stored; its class must be at the top of a module")
+    taken = signature(kind).parameters
+    return f"{kind.__module__}:{kind.__qualname__}", json.dumps({k: v for k, v in asdict(loss).items() if k in taken})
+
+
+def loss_from(family: str, parameters: str) -> Loss:
+    module, _, name = family.partition(":")
+    return getattr(import_module(module), name)(**json.loads(parameters))
+
+
 class ModelStore:
     """Fitted models: ``models`` (one row each), ``basis`` (a row a feature), ``coeffs`` (a row an object)."""
 
@@ -94,6 +119,7 @@ class ModelStore:
         self._write(self.spark.createDataFrame(basis, "model_id string, feat_id int, g array<double>"), "basis")
         rows = [
             (m.model_id, m.spec.grp, m.k, float(getattr(m.loss, "q2", float("inf"))), m.n_iter, m.converged, float(m.loss_history[-1]) if m.loss_history else None)
+            + (*loss_record(m.loss), m.ridge)
             for m in models
         ]
         # the registry last: a model listed there is complete
@@ -120,17 +146,15 @@ class ModelStore:
             raise
 
     def load(self, model_id: str, with_coeffs: bool = True) -> FittedModel:
-        from plumbline.functions.losses import Gaussian
-
         r = self.models().filter(F.col("model_id") == model_id).first()
         if r is None:
             raise KeyError(model_id)
         # the basis is one row a feature, bounded by what the fit itself holds on the driver
         rows = self.basis(model_id).orderBy("feat_id").collect()
-        loss = Gaussian() if r["q2"] == float("inf") else StudentT(1.0, r["q2"] ** 0.5)
-        spec = ModelSpec(model_id, r["k"], loss, r["grp"])
+        spec = ModelSpec(model_id, r["k"], loss_from(r["family"], r["parameters"]), r["grp"])
         coeffs = self.coeffs(model_id) if with_coeffs else None
-        return FittedModel(self.spark, spec, np.array([x["g"] for x in rows]), coeffs, [r["loss"]] if r["loss"] is not None else [], r["n_iter"], r["converged"])
+        history = [r["loss"]] if r["loss"] is not None else []
+        return FittedModel(self.spark, spec, np.array([x["g"] for x in rows]), coeffs, history, r["n_iter"], r["converged"], r["ridge"])
 
     def missing(self, wanted: DataFrame) -> DataFrame:
         """Rows of a requested grid whose ``model_id`` is not in the registry yet."""
@@ -142,13 +166,17 @@ class ModelStore:
             raise
 
     def cached_coeffs(self, model: FittedModel, objects: DataFrame, **options) -> DataFrame:
-        """The model's coefficients of all ``objects``: stored ones if there, else inferred and stored."""
+        """The model's coefficients of ``objects``: stored ones where there are, the others inferred and stored too."""
         key = f"{model.model_id}/all"
-        if not self.has(key):
-            inferred = model.infer(objects, **options).select("obj_id", "a")
-            whole = FittedModel(self.spark, ModelSpec(key, model.k, model.loss, model.spec.grp), model.g, inferred)
-            self.save(whole)
-        return self.coeffs(key)
+        known = self.has(key)
+        new = objects.join(self.coeffs(key).select("obj_id"), "obj_id", "left_anti") if known else objects
+        if not known or not new.isEmpty():
+            inferred = model.infer(new, **options).select("obj_id", "a")
+            if known:
+                inferred.withColumn("model_id", F.lit(key)).write.mode("append").partitionBy("model_id").parquet(f"{self.path}/coeffs")
+            else:
+                self.save(FittedModel(self.spark, ModelSpec(key, model.k, model.loss, model.spec.grp), model.g, inferred, ridge=model.ridge))
+        return self.coeffs(key).join(objects.select("obj_id").distinct(), "obj_id", "left_semi")
 
 
 class ResultStore:

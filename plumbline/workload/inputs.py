@@ -132,9 +132,12 @@ dense AS (SELECT obj_id, feat_id, coalesce(weighted.w, 0) AS w, coalesce(weighte
 
 
 def basis_array(basis: DataFrame, n_features: int, k: int) -> np.ndarray:
-    """A basis table as a matrix; a feature that is not in it gets zeros."""
+    """A basis table as a matrix; a feature that is not in it gets zeros, one outside the axis is an error."""
     g = np.zeros((n_features, k))
-    for r in basis.limit(n_features).collect():
+    rows = basis.limit(n_features + 1).collect()
+    if len(rows) > n_features:
+        raise ValueError(f"the basis has more than {n_features} features")
+    for r in rows:
         g[r["feat_id"]] = r["g"]
     return g
 

@@ -87,18 +87,18 @@ def inject_dips(spark, sf_dir):
 
 def _gaps_sql(segments: int, low: int, high: int) -> str:
     """Missing stretches in half of the objects, clear of the spikes and of the stretches before."""
-    out = f"""open0 AS (SELECT obj_id, feat_id FROM spiked WHERE NOT label AND {unit("0/gap", "obj_id")} < 0.5)"""
+    out = f"""open0 AS MATERIALIZED (SELECT obj_id, feat_id FROM spiked WHERE NOT label AND {unit("0/gap", "obj_id")} < 0.5)"""
     for i in range(segments):
         out += f""",
-free{i} AS (SELECT obj_id, feat_id, feat_id - row_number() OVER (PARTITION BY obj_id ORDER BY feat_id) AS i FROM open{i}),
-regions{i} AS (SELECT obj_id, min(feat_id) AS s, count(*) AS len FROM free{i} GROUP BY obj_id, i HAVING count(*) >= {low}),
-ranked{i} AS (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY s) - 1 AS no, count(*) OVER (PARTITION BY obj_id) AS m FROM regions{i}),
-one{i} AS (SELECT *, {low} + floor({unit(f"0/gap/l{i}", "obj_id")} * (least({high}, len) - {low} + 1)) AS l FROM ranked{i}
+free{i} AS MATERIALIZED (SELECT obj_id, feat_id, feat_id - row_number() OVER (PARTITION BY obj_id ORDER BY feat_id) AS i FROM open{i}),
+regions{i} AS MATERIALIZED (SELECT obj_id, min(feat_id) AS s, count(*) AS len FROM free{i} GROUP BY obj_id, i HAVING count(*) >= {low}),
+ranked{i} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY obj_id ORDER BY s) - 1 AS no, count(*) OVER (PARTITION BY obj_id) AS m FROM regions{i}),
+one{i} AS MATERIALIZED (SELECT *, {low} + floor({unit(f"0/gap/l{i}", "obj_id")} * (least({high}, len) - {low} + 1)) AS l FROM ranked{i}
            WHERE no = floor({unit(f"0/gap/r{i}", "obj_id")} * m)),
-gap{i} AS (SELECT obj_id, s + floor({unit(f"0/gap/s{i}", "obj_id")} * (len - l + 1)) AS b, l FROM one{i}),
-open{i + 1} AS (SELECT obj_id, feat_id FROM open{i} LEFT JOIN gap{i} USING (obj_id) WHERE b IS NULL OR feat_id < b OR feat_id > b + l - 1)"""
+gap{i} AS MATERIALIZED (SELECT obj_id, s + floor({unit(f"0/gap/s{i}", "obj_id")} * (len - l + 1)) AS b, l FROM one{i}),
+open{i + 1} AS MATERIALIZED (SELECT obj_id, feat_id FROM open{i} LEFT JOIN gap{i} USING (obj_id) WHERE b IS NULL OR feat_id < b OR feat_id > b + l - 1)"""
     gone = " UNION ALL ".join(f"SELECT obj_id, feat_id FROM open{i} ANTI JOIN open{i + 1} USING (obj_id, feat_id)" for i in range(segments))
-    return f"""WITH {FULL}, {_SPIKED}, {out}, gone AS ({gone})
+    return f"""WITH {FULL}, {_SPIKED}, {out}, gone AS MATERIALIZED ({gone})
 SELECT s.obj_id, s.feat_id, {rd("CASE WHEN g.obj_id IS NULL THEN y ELSE 0 END")} AS y, {rd("CASE WHEN g.obj_id IS NULL THEN w ELSE 0 END")} AS w, g.obj_id IS NOT NULL AS label
 FROM spiked s LEFT JOIN gone g USING (obj_id, feat_id)"""
 

@@ -36,6 +36,27 @@ def test_rows_without_data_and_singular_rows():
     np.testing.assert_allclose(a[2:], twin.lstsq_rows(y[2:], w[2:], g), rtol=1e-8)
 
 
+def test_few_valid_cells_do_not_depend_on_neighbours():
+    y, w, _, g = problem(60, 8, 3)
+    for i in range(60):
+        w[i, i % 4 :] = 0.0  # 0, 1, 2 or 3 cells for three numbers
+    whole = kernels.a_step(y, w, g)
+    alone = np.vstack([kernels.a_step(y[i : i + 1], w[i : i + 1], g) for i in range(60)])
+    np.testing.assert_allclose(whole, alone, rtol=1e-9, atol=1e-12)
+    want = [np.linalg.lstsq(np.sqrt(wi)[:, None] * g, np.sqrt(wi) * yi, rcond=1e-8)[0] for yi, wi in zip(y, w)]
+    np.testing.assert_allclose(whole, want, rtol=1e-6, atol=1e-9)
+
+
+def test_rows_that_are_not_finite_spoil_no_others():
+    y, w, _, g = problem(6, 5, 3)
+    good = kernels.a_step(y, w, g)
+    y[2, 0] = np.inf
+    with np.errstate(invalid="ignore"):
+        got = kernels.a_step(y, w, g)
+    assert np.isnan(got[2]).all()
+    np.testing.assert_array_equal(np.delete(got, 2, 0), np.delete(good, 2, 0))
+
+
 def test_irls_matches_the_twin_and_stops_per_object():
     y, w, _, g = problem(50, 20, 3)
     y[0] += 30

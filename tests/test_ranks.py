@@ -42,3 +42,19 @@ def test_numbered_spreads_a_hot_group(spark):
     )
     whole = numbered(df.select("x"), ["x"]).toPandas().sort_values("x")
     assert (whole["row_no"].to_numpy() == np.arange(5000)).all()
+
+
+@pytest.mark.parametrize("odd", [[np.nan], [np.inf], [-np.inf, np.inf], [1e308, -1e308], [5e-324, -5e-324, 0.0, -0.0], [np.nan, np.inf, -np.inf, 1e308]])
+def test_large_groups_answer_like_small_ones(spark, odd):
+    values = list(np.random.default_rng(3).normal(size=300).round(1)) + odd
+    rows = [(g, float(v)) for g in ("a", None) for v in values] + [("b", 1.0), ("c", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    probs = {"low": 0.0, "mid": 0.5, "p90": 0.9, "p997": 0.997, "top": 1.0}
+    for by in ((), ("g",)):
+        small, large = (sorted(map(repr, quantiles(df, "v", probs, by, hot_rows=n).collect())) for n in (10**6, 10))
+        assert small == large
+
+
+def test_numbered_keeps_null_groups(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, x int")
+    assert sorted(map(repr, map(tuple, numbered(df, ["x"], ("g",)).collect()))) == ["('a', 3, 0)", "(None, 1, 0)", "(None, 2, 1)"]

@@ -1,3 +1,5 @@
+from dataclasses import dataclass
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -5,14 +7,32 @@ from pyspark.sql import functions as F
 from conftest import Problem, arrays
 from plumbline import Factorizer
 from plumbline.functions import measure
+from plumbline.functions.losses import Cauchy, Gaussian, Loss, StudentT
 from plumbline.operators import prepare
 from plumbline.plans import population
-from plumbline.plans.fit import Settings
+from plumbline.plans.fit import FittedModel, ModelSpec, Settings
 from plumbline.sources import store
 from plumbline.streaming.score_stream import read_stream, score_stream
 import twin
 
 
+@dataclass(frozen=True)
+class Huber(Loss):
+    """An own loss, stored by its place and parameters."""
+
+    cut: float = 1.0
+
+    def weight(self, w, r):
+        return F.least(F.lit(1.0), F.lit(self.cut) / F.greatest(F.sqrt(w) * F.abs(r), F.lit(1e-12)))
+
+    def weight_np(self, w, r):
+        return np.minimum(1.0, self.cut / np.maximum(np.sqrt(w) * np.abs(r), 1e-12))
+
+    def loss_np(self, w, r):
+        u = np.sqrt(w) * np.abs(r)
+        return np.where(u <= self.cut, u * u, 2 * self.cut * u - self.cut**2)
+
+
 @pytest.fixture(scope="module")
 def small(spark):
     p = Problem(n=60, m=15, k=2, seed=3)
@@ -39,6 +59,49 @@ def test_models_round_trip(spark, small, tmp_path):
     assert st.models().count() == 2 and st.coeffs("x").count() == 60
 
 
+@pytest.mark.parametrize("loss", [Gaussian(), StudentT(2.0, 1.5), Cauchy(3.0), Huber(2.5)])
+def test_loss_and_ridge_come_back(spark, small, tmp_path, loss):
+    p, df = small
+    st = store.ModelStore(spark, str(tmp_path))
+    model = FittedModel(spark, ModelSpec("m", 2, loss), p.g, ridge=0.5)
+    st.save(model)
+    back = st.load("m", with_coeffs=False)
+    assert back.loss == loss and back.ridge == 0.5
+    if not isinstance(loss, Huber):  # workers can't import a test's module
+        np.testing.assert_allclose(arrays(back.infer(df, n_steps=3), "a"), arrays(model.infer(df, n_steps=3), "a"))
+
+
+def test_a_loss_that_can_not_come_back_is_refused(spark, tmp_path):
+    @dataclass(frozen=True)
+    class Inner(Huber):
+        pass
+
+    with pytest.raises(ValueError):
+        store.ModelStore(spark, str(tmp_path)).save(FittedModel(spark, ModelSpec("m", 1, Inner()), np.ones((3, 1))))
+
+
+def test_cached_coefficients_grow_with_the_objects(spark, small, tmp_path):
+    p, df = small
+    st = store.ModelStore(spark, str(tmp_path))
+    model = FittedModel(spark, ModelSpec("m", 2, StudentT(1.0, 2.0)), p.g)
+    whole = arrays(model.infer(df, n_steps=4).select("obj_id", "a"), "a")
+    few = st.cached_coeffs(model, df.where("obj_id < 20"), n_steps=4)
+    np.testing.assert_allclose(arrays(few, "a"), whole[:20])
+    np.testing.assert_allclose(arrays(st.cached_coeffs(model, df, n_steps=4), "a"), whole)
+    assert st.cached_coeffs(model, df.where("obj_id = 59")).count() == 1
+
+
+def test_a_line_list_of_several_files_has_no_order(spark, tmp_path):
+    for n in (*store.LINE_LISTS, store.BAND_LIST):
+        spark.range(4).selectExpr("'Fe' AS species", "id + 0.5 AS x").repartition(2).write.option("header", True).csv(str(tmp_path / f"{n}.csv"))
+    with pytest.raises(ValueError):
+        store.read_lines(spark, str(tmp_path))
+
+
+def test_scales_that_differ_late_have_names_of_their_own():
+    assert population.model_name(1, 2, 2.0) == "bin01_k2_q2" and population.model_name(1, 2, 0.1 + 0.2) != population.model_name(1, 2, 0.3)
+
+
 def test_result_tables_are_replaced_per_bin(spark, tmp_path):
     r = store.ResultStore(spark, str(tmp_path))
     rows = spark.createDataFrame([(0, 1, 0.5), (1, 2, 0.6)], "bin int, obj_id bigint, score double").withColumn("metric", F.lit("std_z"))
