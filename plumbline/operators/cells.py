@@ -140,12 +140,19 @@ def total_loss(cells: DataFrame, loss: Loss, keys: tuple[str, ...] = ()) -> Data
 
 
 def gram(df: DataFrame, vec: str, k: int) -> DataFrame:
-    """Gram matrix of a K-vector column, long form (k, l, value) with k <= l: K(K+1)/2 sums in one pass."""
-    v = F.col(vec)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    sums = df.agg(*[F.sum(v[i].cast("double") * v[j].cast("double")).alias(f"x_{i}_{j}") for i, j in pairs])
-    entries = [F.struct(F.lit(i).alias("k"), F.lit(j).alias("l"), F.col(f"x_{i}_{j}").alias("value")) for i, j in pairs]
-    return sums.select(F.inline(F.array(*entries)))
+    """Gram matrix of a K-vector column, long form (k, l, value) with k <= l: one matrix a task, then their sum."""
+    up = np.triu_indices(k)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for batch in batches:
+            if batch.num_rows:
+                x = kernels.matrix(batch.column(0))
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(up[0], pa.int32()), pa.array(up[1], pa.int32()), pa.array(total[up])], names=["k", "l", "value"])
+
+    rows = df.select(F.slice(F.col(vec), 1, k).cast("array<double>").alias("v")).where(F.size("v") == k)
+    return arrow_map(rows, partial, "k int, l int, value double").groupBy("k", "l").agg(F.sum("value").alias("value"))
 
 
 def max_frac_change(old: DataFrame, new: DataFrame, key: str, vec: str, k: int) -> DataFrame:

@@ -177,12 +177,11 @@ def dual_bin_points(spark, sf_dir):
     return tidy(crossbin.with_status(flagged(s), crossbin.dual_scores(s, LOW)).select("bin", "obj_id", "score", "status"))
 
 
-# The catalogue holds the customers in debt only, so that some outliers find no row.
 @query(f"""WITH {_FLAGGED} SELECT f.bin, f.obj_id, c.c_name, c.c_acctbal, {rd("s.score")} AS score
-FROM flagged f LEFT JOIN (SELECT * FROM customer WHERE c_acctbal < 0) c ON c_custkey = f.obj_id LEFT JOIN members s ON s.bin = f.bin AND s.obj_id = f.obj_id""")
+FROM flagged f LEFT JOIN customer c ON c_custkey = f.obj_id LEFT JOIN members s ON s.bin = f.bin AND s.obj_id = f.obj_id""")
 def outlier_lookup(spark, sf_dir):
     s = _scores(spark, sf_dir)
-    c = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("obj_id"), "c_name", "c_acctbal")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("obj_id"), "c_name", "c_acctbal")
     return crossbin.lookup(flagged(s), c, s).select("bin", "obj_id", "c_name", "c_acctbal", (F.round("score", 6) + 0.0).alias("score"))
 
 

@@ -292,10 +292,10 @@ def quality_counts(spark, sf_dir):
 
 
 @query("SELECT i AS k, j AS l, " + rd("sum(embedding[i+1]::DOUBLE * embedding[j+1]::DOUBLE)") + """ AS value
-FROM embeddings, (SELECT a::INTEGER AS i, b::INTEGER AS j FROM range(16) x(a), range(16) y(b) WHERE a <= b) GROUP BY 1, 2""")
+FROM embeddings, (SELECT a::INTEGER AS i, b::INTEGER AS j FROM range(64) x(a), range(64) y(b) WHERE a <= b) GROUP BY 1, 2""")
 def gram_matrix(spark, sf_dir):
-    """Gram matrix of the first 16 of 64 coefficients, as of a rank-16 model."""
-    return tidy(ops.gram(table(spark, sf_dir, "embeddings"), "embedding", 16))
+    """Gram matrix of all 64 coefficients."""
+    return tidy(ops.gram(table(spark, sf_dir, "embeddings"), "embedding", 64))
 
 
 _AFTER = als_sql(2, robust=True)
@@ -355,16 +355,15 @@ def low_weight_runs(spark, sf_dir):
 
 
 
-@query("""WITH known AS (SELECT p_partkey AS line, p_size * 1.6::DOUBLE AS x FROM part),
-segs AS (SELECT user_id, event_type, min(value) AS seg_start, least(max(value), min(value) + 3) AS seg_end FROM events GROUP BY 1, 2)
-SELECT user_id, event_type, line, """ + rd("x") + """ AS x FROM segs JOIN known ON x + 0.25::DOUBLE >= seg_start AND x - 0.25::DOUBLE <= seg_end""")
+@query("""WITH known AS (SELECT p_size * 1.6::DOUBLE AS x, count(*) AS lines FROM part GROUP BY 1),
+segs AS (SELECT user_id, event_type, min(value) AS seg_start, max(value) AS seg_end FROM events GROUP BY 1, 2)
+SELECT user_id, event_type, lines, """ + rd("x") + """ AS x FROM segs JOIN known ON x + 0.25::DOUBLE >= seg_start AND x - 0.25::DOUBLE <= seg_end""")
 def range_match_lines(spark, sf_dir):
-    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("line"), (F.col("p_size") * 1.6).alias("x"))
-    segs = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(
-        F.min("value").alias("seg_start"), F.least(F.max("value"), F.min("value") + 3).alias("seg_end")
-    )
-    hits = axis.match_ranges(segs, known, grid=4.0, margin=0.25)
-    return tidy(hits.select("user_id", "event_type", "line", "x"))
+    """The places of known lines that each user's range of values touches, with the number of lines there."""
+    known = table(spark, sf_dir, "part").groupBy((F.col("p_size") * 1.6).alias("x")).agg(F.count(F.lit(1)).alias("lines"))
+    segs = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("value").alias("seg_start"), F.max("value").alias("seg_end"))
+    hits = axis.match_ranges(segs, known, grid=16.0, margin=0.25)
+    return tidy(hits.select("user_id", "event_type", "lines", "x"))
 
 
 @query(f"""WITH {RANK1},
