@@ -33,7 +33,7 @@ STEPS = 8
 PENALTY = 4.0
 SMOOTH = 0.5
 #: A document whose main language has less than this share is rejected by the pipeline.
-MAIN_SHARE = 0.5
+MAIN_SHARE = 0.4
 #: Bytes worked on together.
 BLOCK = 1 << 21
 

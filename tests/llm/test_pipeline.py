@@ -26,7 +26,7 @@ def test_stages(spark, sf_dir):
     ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect() if r["doc_id"] is not None)
 
     first = language(spark, given, sf_dir)
-    found = langid.identify(spark, given).where("lang_pred <> 'und' AND score >= 0.5")
+    found = langid.identify(spark, given).where(f"lang_pred <> 'und' AND score >= {langid.MAIN_SHARE}")
     assert first.columns == given.columns and ids(first) == ids(found)
 
     second = good(spark, first, sf_dir)
