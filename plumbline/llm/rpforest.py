@@ -33,6 +33,8 @@ LEAF = 100
 LEAVES = 256
 #: Share of all leaves that a query opens. Without structure in the vectors, recall follows the share of rows seen.
 PROBED = 0.25
+#: Entries of a leaf that are multiplied together, on average. A larger leaf is dealt out in blocks, and its queries go to each.
+BLOCK = 4_096
 #: Queries whose best a task holds.
 HELD = 20_000
 SEED = 5
@@ -110,26 +112,28 @@ def open_leaves(trees: list[Tree], query: np.ndarray, most: int) -> list[tuple[i
     return found
 
 
-_ROWS = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("query", pa.bool_()), ("id", pa.int64()), ("v", pa.binary())])
-_DDL = "tree int, leaf int, query boolean, id long, v binary"
+_ROWS = pa.schema([("tree", pa.int32()), ("leaf", pa.int32()), ("block", pa.int32()), ("query", pa.bool_()), ("id", pa.int64()), ("v", pa.binary())])
+_DDL = "tree int, leaf int, block int, query boolean, id long, v binary"
 
 
-def _rows(tree, leaf, query: bool, ids, vectors) -> pa.RecordBatch:
+def _rows(tree, leaf, block, query: bool, ids, vectors) -> pa.RecordBatch:
     packed = pa.array([v.tobytes() for v in vectors.astype("<f8")], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), pa.array(np.full(len(ids), query)), pa.array(ids, pa.int64()), packed], schema=_ROWS)
+    numbers = [pa.array(x, pa.int32()) for x in (tree, leaf, block)]
+    return pa.RecordBatch.from_arrays([*numbers, pa.array(np.full(len(ids), query)), pa.array(ids, pa.int64()), packed], schema=_ROWS)
 
 
-def _index(sent):
+def _index(sent, blocks: int):
     def run(batches):
         for b in batches:
             ids, vectors = b.column(0).to_numpy(), matrix(b.column(1))
+            block = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)
             for i, tree in enumerate(sent.value):
-                yield _rows(np.full(len(ids), i), tree.leaf_of(vectors), False, ids, vectors)
+                yield _rows(np.full(len(ids), i), tree.leaf_of(vectors), block.astype(np.int32), False, ids, vectors)
 
     return run
 
 
-def _probe(sent, most: int):
+def _probe(sent, most: int, blocks: int):
     def run(batches):
         for b in batches:
             ids, vectors = b.column(0).to_numpy(), matrix(b.column(1))
@@ -137,13 +141,14 @@ def _probe(sent, most: int):
                 opened = [open_leaves(sent.value, v, most) for v in vectors[lo : lo + 64]]
                 each = np.repeat(np.arange(lo, lo + len(opened)), [len(x) for x in opened])
                 flat = np.array([y for x in opened for y in x], np.int64).reshape(-1, 2)
-                yield _rows(flat[:, 0], flat[:, 1], True, ids[each], vectors[each])
+                for block in range(blocks):
+                    yield _rows(flat[:, 0], flat[:, 1], np.full(len(flat), block), True, ids[each], vectors[each])
 
     return run
 
 
 def _multiply(keep: int):
-    """Rows come by leaf, entries before queries. Gives (query_id, vec_id, score), the best ``keep`` of a query and task."""
+    """Rows come by block of a leaf, entries before queries. Gives (query_id, vec_id, score), the best ``keep`` of a query and task."""
 
     def run(batches):
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -155,15 +160,15 @@ def _multiply(keep: int):
             held.clear()
 
         for b in batches:
-            keys = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False).astype(np.int32)], axis=1)
-            row_ids = b.column(3).to_numpy()
-            rows = np.frombuffer(b"".join(b.column(4).to_pylist()), "<f8").reshape(len(row_ids), -1)
+            keys = np.stack([*(b.column(i).to_numpy() for i in range(3)), b.column(3).to_numpy(zero_copy_only=False).astype(np.int32)], axis=1)
+            row_ids = b.column(4).to_numpy()
+            rows = np.frombuffer(b"".join(b.column(5).to_pylist()), "<f8").reshape(len(row_ids), -1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-                here = (keys[lo, 0], keys[lo, 1])
+                here = tuple(keys[lo, :3])
                 if here != leaf:
                     leaf, ids, vectors = here, [], []
-                if not keys[lo, 2]:
+                if not keys[lo, 3]:
                     ids.append(row_ids[lo:hi])
                     vectors.append(rows[lo:hi])
                     continue
@@ -213,9 +218,11 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES,
     forest = [grow(drawn, LEAVES, rng) for _ in range(trees)]
     most = max(trees, int(np.ceil(probed * sum(t.leaves for t in forest))))
     sent = spark.sparkContext.broadcast(forest)
-    index = batched(entries.select("first", "v"), _index(sent), _DDL)
-    probes = batched(queries.select("id", "v"), _probe(sent, most), _DDL)
-    dealt = index.unionByName(probes).repartition("tree", "leaf").sortWithinPartitions("tree", "leaf", "query")
+    blocks = max(1, int(np.ceil(n / (BLOCK * min(t.leaves for t in forest)))))
+    index = batched(entries.select("first", "v"), _index(sent, blocks), _DDL)
+    probes = batched(queries.select("id", "v"), _probe(sent, most, blocks), _DDL)
+    place = ["tree", "leaf", "block"]
+    dealt = index.unionByName(probes).repartition(*place).sortWithinPartitions(*place, "query")
     near = batched(dealt, _multiply(keep), "query_id long, vec_id long, score double")
     near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     near = stored(best(near, F.col("score"), keep, "place").select("query_id", "vec_id"), "candidates")

@@ -25,6 +25,8 @@ K = 5
 #: Queries scanned for together; the driver and every worker hold this many.
 WAVE = 4_096
 CELLS = 256
+#: Candidates that a task holds; beyond that they go out early, and are sifted later like all.
+HELD = 2_000_000
 #: Scores of a block of queries with a block of approximations that are held at once.
 BLOCK = 1 << 21
 
@@ -48,6 +50,15 @@ def _scan(sent, low: np.ndarray, width: np.ndarray, k: int):
         ids, queries = sent.value
         half = np.abs(queries) @ (width / 2)
         kept = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0)) for _ in ids]  # vec, low, high
+        sure = np.full(len(ids), -np.inf)  # kth largest lower bound so far
+        held = 0
+
+        def flush():
+            for q, (vec, lows, highs) in enumerate(kept):
+                if len(vec):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), ids[q])), pa.array(vec), pa.array(lows), pa.array(highs)], ["query_id", "vec_id", "low", "high"])
+                    kept[q] = (vec[:0], lows[:0], highs[:0])
+
         for b in batches:
             first = b.column(0).to_numpy()
             codes = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(first), -1)
@@ -55,25 +66,29 @@ def _scan(sent, low: np.ndarray, width: np.ndarray, k: int):
             step = max(1, BLOCK // max(1, len(first)))
             for lo in range(0, len(ids), step):
                 scores = queries[lo : lo + step] @ middles.T
-                top = scores if scores.shape[1] <= k else np.partition(scores, -k, axis=1)[:, -k:]
-                floor = top.min(axis=1) if scores.shape[1] >= k else np.full(len(scores), -np.inf)
+                if scores.shape[1] >= k:
+                    here = np.partition(scores, -k, axis=1)[:, -k] - half[lo : lo + step]
+                    sure[lo : lo + step] = np.maximum(sure[lo : lo + step], here)
                 for i in range(len(scores)):
                     q, h = lo + i, half[lo + i]
-                    vec, lows, highs = kept[q]
-                    limit = max(floor[i] - h, np.partition(lows, -k)[-k] if len(lows) >= k else -np.inf)
-                    near = np.flatnonzero(scores[i] + h >= limit)
+                    near = np.flatnonzero(scores[i] + h >= sure[q])
                     if not len(near):
                         continue
+                    vec, lows, highs = kept[q]
+                    held -= len(vec)
                     vec = np.concatenate([vec, first[near]])
                     lows = np.concatenate([lows, scores[i, near] - h])
                     highs = np.concatenate([highs, scores[i, near] + h])
                     if len(lows) > k:
-                        still = highs >= np.partition(lows, -k)[-k]
+                        sure[q] = max(sure[q], np.partition(lows, -k)[-k])
+                        still = highs >= sure[q]
                         vec, lows, highs = vec[still], lows[still], highs[still]
+                    held += len(vec)
                     kept[q] = vec, lows, highs
-        for query, (vec, lows, highs) in zip(ids.tolist(), kept):
-            if len(vec):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), query)), pa.array(vec), pa.array(lows), pa.array(highs)], ["query_id", "vec_id", "low", "high"])
+            if held > HELD:
+                yield from flush()
+                held = 0
+        yield from flush()
 
     return run
 

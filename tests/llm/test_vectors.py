@@ -35,10 +35,12 @@ def grouped(df):
     return out
 
 
-@pytest.mark.parametrize("wave", [7, 4096])
-def test_exact_search(spark, wave):
+@pytest.mark.parametrize("wave, held", [(7, 2_000_000), (4096, 10)])
+def test_exact_search(spark, monkeypatch, wave, held):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(vafile, "HELD", held)
+
     table, x = awkward(spark)
     rows = valid(table, "vec_id", "embedding").select("id", F.transform("v", lambda c: F.floor(c * 256).cast("long")).alias("v"))
     whole = np.floor(256 * x.astype(np.float64))
@@ -58,9 +60,12 @@ def test_few_rows_give_all(spark):
     assert rpforest.search(one, one).count() == 0
 
 
-def test_forest_search(spark):
+@pytest.mark.parametrize("block", [30, 4096])
+def test_forest_search(spark, monkeypatch, block):
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr(rpforest, "BLOCK", block)
+
     table, x = awkward(spark)
     rows = valid(table, "vec_id", "embedding", nonzero=True)
     x = x.astype(np.float64)
