@@ -46,7 +46,7 @@ def principal_components(objects: DataFrame, k: int, buckets: int | None = None,
     if not 1 <= k <= min(passes.n_objects, passes.width):
         raise ValueError(f"rank {k} is outside 1 .. {min(passes.n_objects, passes.width)}")
     extra = {} if gram_features is None else {"gram_features": gram_features}
-    values, vectors = top_singular(passes, {0: k}, **extra)[0]
+    values, vectors = top_singular(passes, {0: k}, max_passes=1000, must_settle=True, **extra)[0]
     passes.scratch.drop("objects")
     return Components(values, vectors)
 
@@ -116,6 +116,8 @@ def pursuit(objects: DataFrame, mu: float | None = None, lam: float | None = Non
     Singular values are lowered through the M x M Gram matrix of each iterate, so the features
     must number at most ``PURSUIT_FEATURES``; objects are unlimited.
     """
+    if max_iter < 1:
+        raise ValueError(f"max_iter must be at least 1, got {max_iter}")
     rows = objects.select(F.lit(0).alias("grp"), F.col("obj_id").cast("bigint").alias("obj_id"), "y")
     passes = Passes(rows, ["y"], buckets)
     n, m = passes.n_objects, passes.width

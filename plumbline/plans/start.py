@@ -15,10 +15,11 @@ GRAM_FEATURES = 2500
 OVERSAMPLE = 10
 
 
-def top_singular(passes: Passes, ranks: dict[int, int], gram_features: int = GRAM_FEATURES, max_passes: int = 30, tol: float = 1e-10) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def top_singular(passes: Passes, ranks: dict[int, int], gram_features: int = GRAM_FEATURES, max_passes: int = 30, tol: float = 1e-10, must_settle: bool = False) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Leading singular values and right singular vectors of every group's uncentred matrix.
 
-    The sketch stops when no singular value moves by more than ``tol`` of the largest.
+    The sketch stops when no singular value moves by more than ``tol`` of the largest. A start for a fit may stop
+    earlier; with ``must_settle`` running out of passes is an error.
     """
     m = passes.width
     if m <= gram_features:
@@ -51,7 +52,9 @@ def top_singular(passes: Passes, ranks: dict[int, int], gram_features: int = GRA
             basis[g] = np.linalg.qr(sums[g])[0]
         last = values
         if done:
-            break
+            return out
+    if must_settle:
+        raise RuntimeError(f"singular values still move by more than {tol} after {max_passes} passes")
     return out
 
 
