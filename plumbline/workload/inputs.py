@@ -245,3 +245,25 @@ def unit(seed: str, *keys: str) -> str:
     """A hash draw in [0, 1) as SQL."""
     text = " || ':' || ".join([f"'{seed}'", *[f"CAST({k} AS VARCHAR)" for k in keys]])
     return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / 4503599627370496.0)"
+
+
+def components_sql(matrix: str, n: int, squarings: int = 34) -> str:
+    """The n leading components of a symmetric table (i, j, v) as tables p0, p1, ... (i, j, v) and l0, l1, ... (v).
+
+    A matrix squared again and again, its trace held at 1, becomes the projector on its leading direction; that
+    direction is then taken out and the next one found in the same way.
+    """
+    out = []
+    for c in range(n):
+        if c:
+            out.append(f"m{c} AS MATERIALIZED (SELECT i, j, m.v - l{c - 1}.v * p.v AS v FROM m{c - 1} m JOIN p{c - 1} p USING (i, j), l{c - 1})")
+        else:
+            out.append(f"m0 AS MATERIALIZED (SELECT i, j, v FROM {matrix})")
+        out.append(f"""q{c}(s, i, j, v) AS (
+  SELECT 0, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () FROM m{c}
+  UNION ALL
+  SELECT s + 1, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () FROM (
+    SELECT a.s, a.i, b.j, sum(a.v * b.v) AS v FROM q{c} a JOIN q{c} b ON a.j = b.i AND a.s = b.s WHERE a.s < {squarings} GROUP BY 1, 2, 3)),
+p{c} AS MATERIALIZED (SELECT i, j, v FROM q{c} WHERE s = {squarings}),
+l{c} AS MATERIALIZED (SELECT sum(m.v * p.v) AS v FROM m{c} m JOIN p{c} p USING (i, j))""")
+    return ",\n".join(out)

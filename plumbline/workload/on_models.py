@@ -14,7 +14,7 @@ from plumbline.plans.passes import Passes
 from plumbline.runtime import checkpointed, scratch_path
 from plumbline.sources import store
 from plumbline.streaming.score_stream import read_stream, score_stream
-from plumbline.workload.inputs import DENSE, N_MONTHS, PRICES, Q, Q2, als_sql, basis_array, price_objects, query, rd, table, tidy, unit
+from plumbline.workload.inputs import DENSE, N_MONTHS, PRICES, Q, Q2, als_sql, basis_array, components_sql, price_objects, query, rd, table, tidy, unit
 
 
 def _objects(spark, sf_dir):
@@ -248,7 +248,10 @@ def svd_energy(spark, sf_dir):
     return tidy(spark.createDataFrame([(j, float(e)) for j, e in enumerate(energy)], "feat_id int, energy double"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PRICES},
+gram AS (SELECT a.feat_id AS i, b.feat_id AS j, sum(a.y * b.y) AS v FROM cells a JOIN cells b USING (obj_id) GROUP BY 1, 2),
+{components_sql("gram", 4)}
+{" UNION ALL ".join(f"SELECT {i}::INTEGER AS i, {rd(f'sqrt(l{i}.v)')} AS gram, {rd(f'sqrt(l{i}.v)')} AS sketch FROM l{i}" for i in range(4))}""")
 def svd_start(spark, sf_dir):
     """Leading singular values of the prices by the whole Gram matrix and by the K-column sketch."""
     objects = price_objects(spark, sf_dir).withColumn("grp", F.lit(0))
@@ -378,13 +381,19 @@ def gradient_fit(spark, sf_dir):
     return tidy(m.history.select("iter", "loss"), 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE
+e AS MATERIALIZED (SELECT vec_id AS obj_id, i::INTEGER AS i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) t(i)),
+gram AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM e a JOIN e b USING (obj_id) GROUP BY 1, 2),
+{components_sql("gram", 5)},
+held AS MATERIALIZED (SELECT i, j, sum(v) AS v FROM ({" UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(5))}) GROUP BY 1, 2),
+turned AS (SELECT obj_id, j AS i, sum(x * v) AS t FROM e JOIN held USING (i) GROUP BY 1, 2)
+SELECT obj_id, {rd("sqrt(sum(x * t))")} AS kept FROM e JOIN turned USING (obj_id, i) GROUP BY 1""")
 def pca_baseline(spark, sf_dir):
     """Principal components of the embeddings: per object the part of its length that five of them keep."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("obj_id"), F.col("embedding").cast("array<double>").alias("y"))
     done = baselines.principal_components(rows, 5).project(rows)
     kept = F.aggregate("a", F.lit(0.0), lambda s, x: s + x * x)
-    return done.select("obj_id", F.sqrt(kept).alias("kept"))
+    return tidy(done.select("obj_id", F.sqrt(kept).alias("kept")))
 
 
 @query()
