@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from math import ceil
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
