@@ -85,16 +85,25 @@ def irls(
     max_iter: int = 100,
     tol: float = 1e-3,
     cadence: int = 10,
+    conv: str = "max_frac_A",
+    history: list | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients with the basis held fixed, reweighting until each object has settled.
 
-    Every ``cadence`` steps an object is compared with itself at the previous check; ``tol <= 0``
-    always runs all the steps. Returns the coefficients and the steps each object took.
+    Every ``cadence`` steps an object is compared with itself at the previous check: its coefficients
+    (``max_frac_A``) or its loss (``rel_frac_loss``). ``none`` or ``tol <= 0`` always run all the steps. Returns
+    the coefficients and the steps each object took; a list given as ``history`` gets each object's losses, before the
+    first step and at every check.
     """
     a = a_step(y, w, g, ridge)
     steps = np.zeros(len(a), dtype=np.int32)
     live = np.arange(len(a))
+    by_loss = conv == "rel_frac_loss"
+    losses = lambda at: loss.loss_np(w[at], y[at] - a[at] @ g.T).sum(axis=1)
     seen = a.copy()
+    seen_loss = losses(live) if by_loss or history is not None else None
+    if history is not None:
+        history.extend([x] for x in seen_loss.tolist())
     for i in range(max_iter):
         if not len(live):
             break
@@ -102,10 +111,20 @@ def irls(
         r = yl - a[live] @ g.T
         a[live] = a_step(yl, wl * loss.weight_np(wl, r), g, ridge)
         steps[live] += 1
-        if tol > 0 and i and i % cadence == 0:
-            now = a[live]
-            moved = ((now - seen[live]) ** 2).max(axis=1)
-            settled = moved <= tol * (now**2).mean(axis=1)
-            seen[live] = now
+        if i and i % cadence == 0:
+            if seen_loss is not None:
+                now_loss = losses(live)
+                if history is not None:
+                    for j, x in zip(live.tolist(), now_loss.tolist()):
+                        history[j].append(x)
+            if conv == "none" or tol <= 0:
+                continue
+            if by_loss:
+                settled = np.abs(seen_loss[live] - now_loss) <= tol * np.abs(now_loss)
+                seen_loss[live] = now_loss
+            else:
+                now = a[live]
+                settled = ((now - seen[live]) ** 2).max(axis=1) <= tol * (now**2).mean(axis=1)
+                seen[live] = now
             live = live[~settled]
     return a, steps

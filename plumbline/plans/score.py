@@ -23,8 +23,9 @@ DATA = ("y", "w")
 # What a map can add to an object, with its type.
 OUTPUTS = {
     "a": "array<double>", "n_steps": "int", "n_valid": "int",
-    "pred": "array<double>", "r": "array<double>", "w_rob": "array<double>",
+    "pred": "array<double>", "r": "array<double>", "w_rob": "array<double>", "loss_history": "array<double>",
 }
+STOPS = ("max_frac_A", "rel_frac_loss", "none")
 
 
 def _nullable(rows: np.ndarray, valid: np.ndarray) -> pa.Array:
@@ -54,13 +55,19 @@ def evaluate(
     tol: float = 1e-3,
     check_every: int = 10,
     n_steps: int | None = None,
+    conv: str = "max_frac_A",
 ) -> DataFrame:
     """Objects' plain columns and those in ``keep``, with the ``outputs`` and named ``scores`` of the model.
 
     Coefficients are inferred, or read from ``a`` with ``infer=False``. Every object stops by
-    itself, so the answer does not depend on batches or partitions; ``n_steps`` runs exactly that
-    many reweightings instead.
+    itself, so the answer does not depend on batches or partitions: when its coefficients have settled, or its loss
+    (``conv="rel_frac_loss"``), or after ``max_iter`` steps (``"none"``). ``n_steps`` runs exactly that
+    many reweightings instead. The output ``loss_history`` has an object's losses at the start and at every check.
     """
+    if conv not in STOPS:
+        raise ValueError(f"conv must be one of {STOPS}, got {conv!r}")
+    if not infer and "loss_history" in outputs:
+        raise ValueError("loss_history belongs to an inference")
     g, loss, ridge = model.g, model.loss, model.ridge
     if n_steps is not None:
         max_iter, tol = n_steps, 0.0
@@ -77,8 +84,11 @@ def evaluate(
                 n_valid = (w > 0).sum(axis=1).astype(np.int32)
                 found = {"n_valid": pa.array(n_valid)}
                 if infer:
-                    a, steps = kernels.irls(y, w, g, loss, ridge, max_iter, tol, check_every)
+                    history = [] if "loss_history" in outputs else None
+                    a, steps = kernels.irls(y, w, g, loss, ridge, max_iter, tol, check_every, conv, history)
                     found["n_steps"] = pa.array(steps)
+                    if history is not None:
+                        found["loss_history"] = pa.array(history, pa.list_(pa.float64()))
                 else:
                     a = _given(block.column("a"), g.shape[1])
                 if "a" in outputs:
@@ -101,9 +111,11 @@ def evaluate(
     return arrow_map(objects, run, schema)
 
 
-def infer(objects: DataFrame, model, with_data: bool = False, **options) -> DataFrame:
-    """Add ``a``, ``n_steps`` and ``n_valid``; the arrays ``y`` and ``w`` are dropped unless asked for."""
-    return evaluate(objects, model, ("a", "n_steps", "n_valid"), keep=DATA if with_data else (), **options)
+def infer(objects: DataFrame, model, with_data: bool = False, history: bool = False, **options) -> DataFrame:
+    """Add ``a``, ``n_steps`` and ``n_valid``, with ``history`` also ``loss_history``; the arrays ``y`` and ``w`` are dropped
+    unless asked for."""
+    outputs = ("a", "n_steps", "n_valid", "loss_history") if history else ("a", "n_steps", "n_valid")
+    return evaluate(objects, model, outputs, keep=DATA if with_data else (), **options)
 
 
 def apply(objects: DataFrame, model) -> DataFrame:
@@ -113,7 +125,7 @@ def apply(objects: DataFrame, model) -> DataFrame:
 
 def infer_and_apply(objects: DataFrame, model, **options) -> DataFrame:
     """Inferred coefficients and everything that follows from them, in one map."""
-    return evaluate(objects, model, tuple(OUTPUTS), keep=DATA, **options)
+    return evaluate(objects, model, tuple(o for o in OUTPUTS if o != "loss_history"), keep=DATA, **options)
 
 
 def reconstruct(coeffs: DataFrame, model, only: DataFrame | None = None) -> DataFrame:

@@ -69,6 +69,22 @@ def test_irls_matches_the_twin_and_stops_per_object():
     assert s1.min() < s1.max()
 
 
+def test_stopping_rules_of_inference():
+    y, w, _, g = problem(40, 20, 3)
+    y[::7] += 20
+    loss, history = Cauchy(2.0), []
+    a, steps = kernels.irls(y, w, g, loss, max_iter=300, tol=1e-9, cadence=5, conv="rel_frac_loss", history=history)
+    assert steps.max() < 300 and len(set(steps.tolist())) > 1
+    for i in range(40):
+        # the check falls on steps 6, 11, 16, ...: each one's loss is that of so many steps
+        at = [kernels.irls(y[i : i + 1], w[i : i + 1], g, loss, max_iter=n, conv="none")[0] for n in [0, *range(6, steps[i] + 1, 5)]]
+        want = [float(loss.loss_np(w[i], y[i] - (x @ g.T)[0]).sum()) for x in at]
+        np.testing.assert_allclose(history[i], want, rtol=1e-9)
+        assert abs(history[i][-1] - history[i][-2]) <= 1e-9 * history[i][-1]
+    _, steps = kernels.irls(y, w, g, loss, max_iter=30, conv="none")
+    assert (steps == 30).all()
+
+
 @pytest.mark.parametrize("target", ["A", "G"])
 @pytest.mark.parametrize("white", [True, False])
 def test_rotations_keep_the_product(target, white):

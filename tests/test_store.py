@@ -71,6 +71,15 @@ def test_loss_and_ridge_come_back(spark, small, tmp_path, loss):
         np.testing.assert_allclose(arrays(back.infer(df, n_steps=3), "a"), arrays(model.infer(df, n_steps=3), "a"))
 
 
+def test_inference_can_stop_by_loss_and_tell_it(spark, small):
+    p, df = small
+    model = FittedModel(spark, ModelSpec("m", 2, Cauchy(2.0)), p.g)
+    rows = model.infer(df, conv="rel_frac_loss", tol=1e-8, check_every=2, max_iter=60, history=True).collect()
+    assert all(len(r["loss_history"]) == 1 + (r["n_steps"] - 1) // 2 and r["loss_history"][-1] <= r["loss_history"][0] + 1e-9 for r in rows)
+    with pytest.raises(ValueError):
+        model.infer(df, conv="x")
+
+
 def test_a_loss_that_can_not_come_back_is_refused(spark, tmp_path):
     @dataclass(frozen=True)
     class Inner(Huber):
