@@ -501,16 +501,22 @@ class Factorizer:
         loss: Loss | None = None,
         method: str = "als",
         learning_rate: float = 1e-3,
+        rotate_every: int | None = None,
         **settings,
     ):
         if method not in ("als", "sgd"):
             raise ValueError(f"method must be 'als' or 'sgd', got {method!r}")
+        if rotate_every is not None and (method != "sgd" or rotate_every < 1):
+            raise ValueError("rotate_every is a number of gradient steps; the alternating fit rotates every cycle")
+        if method == "sgd" and settings.get("reweight", "once") != "once":
+            raise ValueError("a gradient step weighs every cell once")
         if k < 1:
             raise ValueError(f"rank must be at least 1, got {k}")
         self.k = k
         self.loss = loss or (StudentT(nu, scale) if robust else Gaussian())
         self.method = method
         self.learning_rate = learning_rate
+        self.rotate_every = rotate_every
         self.settings = Settings(**settings)
 
     def fit(self, objects: DataFrame, model_id: str = "model", start: FittedModel | tuple | None = None, buckets: int | None = None, **changes) -> FittedModel:
@@ -525,5 +531,5 @@ class Factorizer:
         if self.method == "sgd":
             from plumbline.plans.gradient import fit_gradient
 
-            return fit_gradient(rows, spec, settings, init, self.learning_rate, buckets)
+            return fit_gradient(rows, spec, settings, init, self.learning_rate, buckets, self.rotate_every)
         return fit_many(rows, [spec], settings, init, buckets)[model_id]

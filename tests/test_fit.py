@@ -227,3 +227,13 @@ def test_principal_components(spark, problem):
     pc = baselines.principal_components(rows, 3)
     u, s, vt = np.linalg.svd(problem.y, full_matrices=False)
     np.testing.assert_allclose(arrays(pc.project(rows), "pred"), problem.y @ vt[:3].T @ vt[:3], atol=1e-8)
+
+
+def test_gradient_fit_rotates_on_the_way_and_refuses_what_it_ignores(df):
+    turned = Factorizer(3, scale=Q, method="sgd", learning_rate=0.02, conv="none", max_iter=15, rotate_every=5).fit(df)
+    assert len(turned.loss_history) == 15 and turned.loss_history[-1] < turned.loss_history[0]
+    with pytest.raises(ValueError):
+        Factorizer(3, method="sgd", conv="max_frac_A").fit(df)
+    for bad in ({"rotate_every": 5}, {"method": "sgd", "rotate_every": 0}, {"method": "sgd", "reweight": "each"}):
+        with pytest.raises(ValueError):
+            Factorizer(3, **bad)
