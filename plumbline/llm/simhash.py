@@ -163,16 +163,18 @@ def _leaf_links(radius: int):
 
 
 def _parts(varying, parts: int):
-    """The varying bits, cut into ``parts`` masks."""
+    """The varying bits, cut into ``parts`` masks of like size; none is empty if there are as many bits."""
     places = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("1L").bitwiseAND(F.call_function("shiftright", varying, i)) == 1)
-    step = F.ceil(F.size(places) / F.lit(parts)).cast("int")
+    edge = lambda j: F.floor(F.size(places) * j / F.lit(parts)).cast("int")
     one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
-    cut = lambda j: F.slice(places, step * j + 1, F.greatest(step, F.lit(1)))
+    cut = lambda j: F.slice(places, edge(j) + 1, edge(j + 1) - edge(j))
     return F.array(*[F.aggregate(cut(j), F.lit(0).cast("long"), lambda m, i: m.bitwiseOR(one(i))) for j in range(parts)])
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
     """(a, b): links among distinct fingerprints ``fp`` that connect whatever is within the radius step by step."""
+    if leaf < 1 << radius:
+        raise ValueError(f"a leaf must take {1 << radius} entries: fewer bits than parts can't be cut")
     parts = radius + 1
     edges = [(64 * j) // parts for j in range(parts + 1)]
     masks = [((1 << b) - (1 << a)) for a, b in zip(edges, edges[1:])]

@@ -59,6 +59,20 @@ def test_tree_finds_all_pairs(radius, spread):
     assert set(zip(a.tolist(), b.tolist())) == want
 
 
+def test_parts_hold_every_varying_bit_once(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(0)
+    masks = [sum(1 << int(b) for b in rng.choice(64, v, replace=False)) for v in range(3, 65)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    rows = spark.createDataFrame([(m,) for m in signed], "v long").select("v", simhash._parts(F.col("v"), 3).alias("m")).collect()
+    for r in rows:
+        a, b, c = (x & (2**64 - 1) for x in r["m"])
+        assert a and b and c and a ^ b ^ c == a | b | c == r["v"] & (2**64 - 1)
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), 2, 3)
+
+
 @pytest.mark.parametrize("leaf", [4, 256])
 def test_index_connects_like_brute_force(spark, leaf):
     rng = np.random.default_rng(leaf)
