@@ -12,7 +12,10 @@ the same in all pages around changing text is the template's own. Every page is
 expression, and the text of its article is read out, block by block. What the expression doesn't hold is
 judged by the page alone, so that no page goes without.
 
-An expression is inferred from at most ``PAGES`` pages of a host, drawn by a hash; all pages are matched.
+A host may have several layouts. A page by itself points to the element that it would take as its article; a
+layout is all pages that hold the same of the elements that any page of the host points to. Each layout has an expression and
+an article of its own, inferred from all its pages: parts of them are aligned by themselves, and the
+expressions of the parts are merged in a tree. What stands unchanged at one place is counted over all layouts of the host.
 """
 
 from __future__ import annotations
@@ -22,13 +25,16 @@ import re
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.common import batched, small_batches, stored, table
 from plumbline.runtime import ship
 
-#: Pages of a host that its expression is inferred from.
-PAGES = 12
+#: Pages that are aligned one after the other, and expressions that are merged so; neither limits a host.
+PART = 200
+MERGED = 8
+#: Hashes of pages that a task remembers at once, to drop copies before the shuffle; those it misses are dropped later.
+SEEN = 1_000_000
 #: Longest sequence of siblings that is seen as one repeated group.
 PERIOD = 3
 #: A text is the template's own if it stands unchanged in at least so many different pages and is no longer.
@@ -57,6 +63,7 @@ _NOISE = set(
     promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription taboola tags teaser toolbar widget
     widgets alert""".split()
 )
+_LISTS = set("p li td blockquote pre ul ol dl table".split())
 _HEADING = set("h1 h2 h3 h4 h5 h6 hgroup".split())
 
 _TOKEN = re.compile(
@@ -275,6 +282,31 @@ def extend(pattern: Pattern, element: Element) -> None:
     pattern.groups = out
 
 
+def merge(a: Pattern, b: Pattern) -> None:
+    """Widen a pattern to hold all that another one of the same key holds."""
+    if a.groups is None or b.groups is None:
+        a.groups = a.groups if b.groups is None else b.groups
+        return
+    out = []
+    for i, j in _align([g.keys for g in a.groups], [g.keys for g in b.groups]):
+        if i is None or j is None:
+            group = a.groups[i] if j is None else b.groups[j]
+            group.optional = True
+        else:
+            group, other = a.groups[i], b.groups[j]
+            group.optional |= other.optional
+            group.repeated |= other.repeated
+            for mine, its in zip(group.slots, other.slots):
+                if isinstance(mine, Slot):
+                    mine.text = mine.text if mine.text == its.text else None
+                    mine.pages += its.pages
+                    mine.chars += its.chars
+                else:
+                    merge(mine, its)
+        out.append(group)
+    a.groups = out
+
+
 def _running(run: tuple[str, int]) -> int:
     """Characters of a run that are not in links; few words alone are no running text."""
     text, links = run
@@ -304,18 +336,22 @@ def _weight(node) -> int:
     return _weigh(node)[0]
 
 
+def _inside(node, path: str = ""):
+    """(path of keys, element) of all elements in a node that may be of the article."""
+    pieces = node.kids if isinstance(node, Element) else [s for g in node.groups or [] for s in g.slots]
+    for k in pieces:
+        if isinstance(k, (Element, Pattern)) and not k.noise:
+            here = f"{path}/{k.key}"
+            yield here, k
+            yield from _inside(k, here)
+
+
 def choose(root):
     """The element of the article: the weightiest article, else main, else the deepest that holds most running text."""
     marked: dict[str, list] = {"article": [], "main": []}
-
-    def look(node):
-        _, kids = _weigh(node)
-        for _, k in kids:
-            if k.kind in marked:
-                marked[k.kind].append(k)
-            look(k)
-
-    look(root)
+    for _, k in _inside(root):
+        if k.kind in marked:
+            marked[k.kind].append(k)
     for kind in ("article", "main"):
         weights = [_weight(k) for k in marked[kind]]
         if weights and max(weights):
@@ -326,7 +362,7 @@ def choose(root):
     while True:
         total, kids = _weigh(node)
         weight, heaviest = max(kids, key=lambda x: x[0], default=(0, None))
-        if heaviest is None or weight < HOLDS * total or heaviest.tag in ("p", "li", "td", "blockquote", "pre", "ul", "ol", "dl", "table"):
+        if heaviest is None or weight < HOLDS * total or heaviest.tag in _LISTS:
             return node
         node = heaviest
 
@@ -347,6 +383,48 @@ def infer(pages: list[str]) -> Pattern:
     return root
 
 
+def _long(*parts: str) -> int:
+    """A hash that is the same on all workers, as a signed long."""
+    from xxhash import xxh64_intdigest
+
+    n = xxh64_intdigest("\0".join(parts).encode("utf-8", "replace"))
+    return n - (1 << 64) if n >> 63 else n
+
+
+def outline(tree: Element) -> tuple[int, int, list[str]]:
+    """Hashes of a page's skeleton and of the whole tree, and the paths that make the skeleton: those of all elements that can be an article."""
+    paths = sorted({"", *(path for path, k in _inside(tree) if k.kind or k.tag not in _LISTS)})
+    return _long(*paths), _long(*_stream(tree)), paths
+
+
+def _stream(element: Element):
+    for k in element.kids:
+        if isinstance(k, tuple):
+            yield k[0]
+            yield str(k[1])
+        else:
+            yield f"<{k.key} {k.kind} {k.noise}>"
+            yield from _stream(k)
+            yield "</>"
+
+
+def _points(tree: Element) -> str:
+    """Path of the element that the page by itself takes as its article."""
+    best = choose(tree)
+    return next((path for path, k in _inside(tree) if k is best), "")
+
+
+def _fixed(pattern: Pattern, path: str = "", repeated: bool = False):
+    """(hash of path and text, pages) of the texts that stand unchanged."""
+    for g in pattern.groups or []:
+        for s in g.slots:
+            if isinstance(s, Pattern):
+                if not s.noise:
+                    yield from _fixed(s, f"{path}/{s.key}", repeated or g.repeated)
+            elif s is not None and s.text is not None and len(s.text) <= SAME_CHARS and not (repeated or g.repeated):
+                yield _long(path, s.text), s.pages
+
+
 def _texts(element: Element):
     for k in element.kids:
         if isinstance(k, tuple):
@@ -370,16 +448,18 @@ def _match(element: Element, pattern: Pattern | None):
     return out
 
 
-def _read(element: Element, pattern: Pattern | None, out: list[str], article: bool) -> None:
+def _read(element: Element, pattern: Pattern | None, out: list[str], path: str = "", fixed: frozenset = frozenset(), repeats: bool = False) -> None:
     for kid, slot, repeated in _match(element, pattern):
         if isinstance(kid, tuple):
             own = isinstance(slot, Slot) and slot.text == kid[0] and slot.pages >= SAME_PAGES and len(kid[0]) <= SAME_CHARS and not repeated
+            if not own and fixed and not (repeats or repeated) and isinstance(slot, Slot) and slot.text == kid[0] and len(kid[0]) <= SAME_CHARS:
+                own = _long(path, kid[0]) in fixed
             if not own:
                 out.append(kid[0])
         elif kid.tag == "header":
             _headings(kid, out)
         elif not kid.noise:
-            _read(kid, slot if isinstance(slot, Pattern) else None, out, article)
+            _read(kid, slot if isinstance(slot, Pattern) else None, out, f"{path}/{kid.key}", fixed, repeats or repeated)
 
 
 def _headings(element: Element, out: list[str]) -> None:
@@ -391,77 +471,189 @@ def _headings(element: Element, out: list[str]) -> None:
                 _headings(k, out)
 
 
-def _find(element: Element, pattern: Pattern | None, out: list) -> None:
+def _find(element: Element, pattern: Pattern | None, out: list, path: str = "") -> None:
     for kid, slot, _ in _match(element, pattern):
         if isinstance(kid, Element) and isinstance(slot, Pattern) and not kid.noise:
             if slot.main:
-                out.append((kid, slot))
+                out.append((kid, slot, f"{path}/{kid.key}"))
             else:
-                _find(kid, slot, out)
+                _find(kid, slot, out, f"{path}/{kid.key}")
 
 
-def extract(html: str | None, pattern: Pattern | None = None) -> str:
-    """The main text of a page: blocks in page order, joined by two line ends."""
+def extract(html: str | None, pattern: Pattern | None = None, fixed: frozenset = frozenset()) -> str:
+    """The main text of a page: blocks in page order, joined by two line ends. ``fixed`` are texts that the other
+    layouts of its host have at the same place."""
     root = parse(html or "")
     places: list = []
     if pattern is not None:
-        places = [(root, pattern)] if pattern.main else []
+        places = [(root, pattern, "")] if pattern.main else []
         if not places:
             _find(root, pattern, places)
     out: list[str] = []
-    for element, part in places:
-        _read(element, part, out, True)
+    for element, part, path in places:
+        _read(element, part, out, path, fixed)
     if not out:
-        _read(choose(root), None, out, True)
+        _read(choose(root), None, out)
     return "\n\n".join(out)
 
 
-_EXPRESSIONS = pa.schema([("host", pa.string()), ("wrapper", pa.binary())])
+def _hosted(pages: DataFrame) -> DataFrame:
+    host = F.lower(F.coalesce(F.try_parse_url(pages["url"], F.lit("HOST")), F.lit("")))
+    return pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"), host.alias("host"))
 
 
-def _infer_host(t: pa.Table) -> pa.Table:
-    wrapper = pickle.dumps(infer(t["html"].to_pylist()))
-    return pa.table({"host": [t["host"][0].as_py()], "wrapper": [wrapper]}, schema=_EXPRESSIONS)
+def _outlines(batches):
+    for b in batches:
+        rows = []
+        for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            tree = parse(html)
+            skeleton, whole, paths = outline(tree)
+            rows.append((host, skeleton, whole, _long(*_texts(tree)), [_long(p) for p in paths], _long(_points(tree))))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "skeleton", "tree", "said", "paths", "points"])
 
 
-def _hosted(pages: DataFrame) -> DataFrame:
-    host = F.lower(F.coalesce(F.try_parse_url(pages["url"], F.lit("HOST")), F.lit("")))
-    return pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"), host.alias("host"))
+def _with_skeleton(once: bool):
+    """Adds skeleton and tree; with ``once`` copies that a task has seen are left out already."""
+
+    def run(batches):
+        seen: set = set()
+        for b in batches:
+            found = [(None, None) if html is None else outline(parse(html))[:2] for html in b.column("html").to_pylist()]
+            skeletons, trees = (pa.array([f[i] for f in found], pa.int64()) for i in (0, 1))
+            out = pa.RecordBatch.from_arrays([*b.columns, skeletons, trees], [*b.schema.names, "skeleton", "tree"])
+            if once:
+                new = []
+                for key in zip(b.column("host").to_pylist(), trees.to_pylist()):
+                    new.append(key not in seen)
+                    seen.add(key)
+                out = out.filter(pa.array(new, pa.bool_()))
+                if len(seen) > SEEN:
+                    seen.clear()
+            yield out
 
+    return run
 
-def wrappers(pages: DataFrame, most: int = PAGES) -> DataFrame:
-    """host, wrapper (pickled) from (host, url, html)."""
+
+def _skeletons(hosted: DataFrame, once: bool = False) -> DataFrame:
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in hosted.schema.fields)
+    return batched(hosted, _with_skeleton(once), f"{fields}, skeleton long, tree long")
+
+
+def layouts(outlines: DataFrame) -> DataFrame:
+    """host, skeleton, layout: pages of a layout hold the same of the elements that any page of the host points to."""
+    per = stored(outlines.groupBy("host", "skeleton").agg(F.first("paths").alias("paths")), "skeletons")
+    pointed = stored(outlines.select("host", F.col("points").alias("path")).distinct(), "pointed")
+    held = per.select("host", "skeleton", F.explode("paths").alias("path")).join(pointed, ["host", "path"])
+    held = held.groupBy("host", "skeleton").agg(F.array_sort(F.collect_set("path")).alias("held"))
+    return held.select("host", "skeleton", F.xxhash64("held").alias("layout"))
+
+
+_PARTS = "host string, layout long, part long, wrapper binary"
+
+
+def _infer_parts(batches):
+    """Rows come by host, layout, part and tree; copies count once."""
+    key, root, last = None, None, None
+    schema = pa.schema([("host", pa.string()), ("layout", pa.int64()), ("part", pa.int64()), ("wrapper", pa.binary())])
+
+    def done():
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, (*key, pickle.dumps(root))))], schema)
+
+    for b in batches:
+        for *here, tree, html in zip(*(c.to_pylist() for c in b.columns)):
+            if here != key:
+                if key is not None:
+                    yield done()
+                key, root, last = here, Pattern(Element("html")), None
+            if tree != last:
+                extend(root, parse(html))
+            last = tree
+    if key is not None:
+        yield done()
+
+
+def _merge_parts(t: pa.Table) -> pa.Table:
+    t = t.sort_by("part")
+    first, *others = (pickle.loads(x) for x in t["wrapper"].to_pylist())
+    for other in others:
+        merge(first, other)
+    return pa.table([*(t[c].slice(0, 1) for c in ("host", "layout")), pa.array([t["part"][0].as_py() // MERGED]), pa.array([pickle.dumps(first)])], ["host", "layout", "part", "wrapper"])
+
+
+def _finish(batches):
+    for b in batches:
+        wrappers, texts, counts = [], [], []
+        for x in b.column(2).to_pylist():
+            root = pickle.loads(x)
+            choose(root).main = True
+            most: dict[int, int] = {}
+            for text, pages in _fixed(root):
+                most[text] = max(pages, most.get(text, 0))
+            wrappers.append(pickle.dumps(root))
+            texts.append(list(most))
+            counts.append(list(most.values()))
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(wrappers, pa.binary()), pa.array(texts, longs), pa.array(counts, longs)], ["host", "layout", "wrapper", "texts", "counts"])
+
+
+def wrappers(pages: DataFrame, part: int = PART) -> DataFrame:
+    """host, skeleton, wrapper (pickled), fixed from all rows of (host, html). Pages of a host that say the same count once."""
     small_batches(pages.sparkSession)
     ship(pages.sparkSession)
-    drawn = Window.partitionBy("host").orderBy("draw", "url")
-    rows = pages.where("html IS NOT NULL").select("host", "url", "html", F.xxhash64("url", "page_id").alias("draw"))
-    taken = rows.withColumn("n", F.row_number().over(drawn)).where(F.col("n") <= most)  # Spark keeps these of a host and task before the shuffle
-    return taken.select("host", "html", "n").sort("host", "n").groupBy("host").applyInArrow(_infer_host, "host string, wrapper binary")
+    rows = pages.where("html IS NOT NULL").select("host", "html")
+    outlines = batched(rows, _outlines, "host string, skeleton long, tree long, said long, paths array<long>, points long")
+    outlines = outlines.groupBy("host", "tree").agg(*[F.first(c).alias(c) for c in ("skeleton", "said", "paths", "points")])
+    outlines = stored(outlines, "outlines")
+    of = stored(layouts(outlines), "layouts")
+    # of a layout's pages with the same texts in unlike trees, one tree stands for all
+    placed = stored(outlines.select("host", "skeleton", "tree", "said").join(of, ["host", "skeleton"]), "placed")
+    says = stored(placed.groupBy("host", "layout", "said").agg(F.min("tree").alias("kept"), F.count("*").alias("n")), "says")
+    others = placed.join(says.where("n > 1"), ["host", "layout", "said"]).where("tree <> kept").select("host", "tree")
+    others = stored(others, "others")
+    counted = placed.join(others, ["host", "tree"], "left_anti")
+    sizes = counted.groupBy("host", "layout").agg(F.ceil(F.count("*") / F.lit(part)).alias("parts"))
+    sizes = stored(of.join(sizes, ["host", "layout"]), "sizes")
+    most = sizes.agg(F.max("parts")).first()[0] or 1
+    once = _skeletons(rows, True).join(others, ["host", "tree"], "left_anti").join(sizes, ["host", "skeleton"])
+    dealt = once.select("host", "layout", F.expr("pmod(tree, parts)").alias("part"), "tree", "html")
+    # the copies that are left lie side by side
+    dealt = dealt.repartition("host", "layout", "part").sortWithinPartitions("host", "layout", "part", "tree")
+    found = stored(batched(dealt, _infer_parts, _PARTS), "parts")
+    while most > 1:
+        most = -(-most // MERGED)
+        found = stored(found.groupBy("host", "layout", F.expr(f"part div {MERGED}")).applyInArrow(_merge_parts, _PARTS), "parts")
+    whole = stored(batched(found.select("host", "layout", "wrapper"), _finish, "host string, layout long, wrapper binary, texts array<long>, counts array<long>"), "expressions")
+    fixed = whole.select("host", F.explode(F.arrays_zip("texts", "counts")).alias("t")).groupBy("host", F.col("t.texts").alias("text")).agg(F.sum("t.counts").alias("n"))
+    fixed = stored(fixed.where(F.col("n") >= SAME_PAGES).groupBy("host").agg(F.array_sort(F.collect_list("text")).alias("fixed")), "fixed")
+    return of.join(whole.select("host", "layout", "wrapper"), ["host", "layout"]).join(fixed, "host", "left").select("host", "skeleton", "wrapper", "fixed")
 
 
 def _extract_all(batches):
     known: dict[bytes, Pattern] = {}
     for b in batches:
         texts = []
-        for html, wrapper in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+        for html, wrapper, fixed in zip(*(b.column(i).to_pylist() for i in (2, 3, 4))):
             if wrapper is not None and wrapper not in known:
                 if len(known) > 200:
                     known.clear()
                 known[wrapper] = pickle.loads(wrapper)
-            texts.append(extract(html, known.get(wrapper)))
+            texts.append(extract(html, known.get(wrapper), frozenset(fixed or ())))
         sizes = pa.array([len(t) for t in texts], pa.int64())
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
 
-def main_text(pages: DataFrame, most: int = PAGES) -> DataFrame:
+def main_text(pages: DataFrame, part: int = PART) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row.
 
     Nulls: a null html is empty and gives an empty text; a null or unreadable url has the host "". A null page_id is
     kept. Repeated rows come back as often. An empty table gives no rows. Other columns are not read.
     """
     hosted = _hosted(pages)
-    found = stored(wrappers(hosted, most), "wrappers")
-    joined = hosted.join(found, "host", "left").select(hosted["page_id"].cast("long").alias("page_id"), "url", "html", "wrapper")
+    found = stored(wrappers(hosted, part), "wrappers")
+    rows = _skeletons(hosted).drop("tree")
+    joined = rows.join(found, ["host", "skeleton"], "left").select(rows["page_id"].cast("long").alias("page_id"), "url", "html", "wrapper", "fixed")
     return batched(joined, _extract_all, "page_id long, url string, text string, n_chars long")
 
 

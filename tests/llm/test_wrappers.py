@@ -75,3 +75,27 @@ def test_awkward_rows(spark):
     assert by_id[104]["text"].count("long words here") == 20_000 and by_id[None]["text"] == "x"
     assert sum(r["page_id"] == 0 for r in found) == 2
     assert w.main_text(table.limit(0)).count() == 0
+
+
+def test_every_page_of_a_host_counts(spark):
+    """A rare layout, which also has the element that is the article elsewhere, and a notice of its own."""
+    rng = random.Random(3)
+    shell = "<html><body><div class=top><p>{}</p></div>{}</body></html>"
+    usual = [shell.format(words(rng, 3), f"<div class=post><p>{words(rng, 60)}</p><p>{words(rng, 60)}</p></div>") for _ in range(120)]
+    stories = [[words(rng, 40) + f" s{i}" for _ in range(3)] for i in range(5)]
+    rare = [shell.format(words(rng, 3), f"<div class=post><p>short {i}</p></div><div class=story><p class=note>Read this in our app today.</p>" + "".join(f"<p>{t}</p>" for t in s) + "</div>") for i, s in enumerate(stories)]
+    rows = [(i, f"http://big.example/{i}", h, "", "", 0) for i, h in enumerate(usual + rare)]
+    table = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for part in (200, 3):
+        found = {r["page_id"]: r["text"].split("\n\n") for r in w.main_text(table, part).collect()}
+        assert len(found) == 125 and all(len(found[i]) == 2 for i in range(120))
+        assert [found[120 + i] for i in range(5)] == stories
+
+
+def test_merged_parts_hold_all_pages():
+    rng = random.Random(4)
+    pages = [page(rng, i, rng.randint(1, 6))[0] for i in range(30)]
+    whole, first, second = w.infer(pages), w.infer(pages[:15]), w.infer(pages[15:])
+    w.merge(first, second)
+    assert w._weight(first) == w._weight(whole)
+    assert sorted(n for _, n in w._fixed(first)) == sorted(n for _, n in w._fixed(whole))
