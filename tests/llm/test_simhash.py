@@ -115,3 +115,13 @@ def test_awkward_rows(spark):
 def test_empty(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
     assert simhash.keep_one(spark, empty(spark), "").count() == 0
+
+
+def test_texts_that_share_an_id(spark):
+    """Each is judged by its fingerprint; only copies of one text under one id are one row."""
+    a, b, c = "one text of some words here", "quite another thing is written below", "the third is unlike both of them"
+    given = [(1, a, "x"), (1, b, "x"), (2, b, "x"), (3, c, "y"), (3, c, "z"), (4, c, "x")]
+    table = spark.createDataFrame(given, "doc_id long, text string, source string")
+    kept = [sorted(tuple(r) for r in simhash.keep_one(spark, table.repartition(n, "source"), "").collect()) for n in (1, 3)]
+    assert kept[0] == kept[1]
+    assert [r[:2] for r in kept[0]] == sorted([(1, a), (1, b), (3, c)])
