@@ -11,14 +11,16 @@ from plumbline.llm.common import stored
 
 
 def valid(rows: DataFrame, id_col: str, vector_col: str, nonzero: bool = False) -> DataFrame:
-    """id, v (array of doubles) of the rows that take part: an id, and a vector of the table's dimension (its largest)
-    without null or non-finite components; with ``nonzero``, one component at least that is not 0."""
+    """id, v (array of doubles) of the rows that take part: an id, and a vector of the table's dimension
+    without null or non-finite components; with ``nonzero``, one component at least that is not 0. The dimension is
+    the length that most of these vectors have (the larger, if two have as many), so strays do not decide it."""
     rows = rows.select(rows[id_col].cast("long").alias("id"), rows[vector_col].cast("array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & fine)
     if nonzero:
         rows = rows.where(F.exists("v", lambda x: x != 0))
-    width = rows.agg(F.max(F.size("v"))).first()[0]
+    sizes = rows.groupBy(F.size("v").alias("width")).count()
+    width = sizes.agg(F.max_by("width", F.struct("count", "width"))).first()[0]
     return rows.where(F.size("v") == F.lit(width or 0))
 
 

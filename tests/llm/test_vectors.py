@@ -93,3 +93,10 @@ def test_leaves_open_in_order_of_the_queue():
         assert len(opened) == len(set(opened)) == sum(t.leaves for t in trees)
         assert {leaf for i, leaf in opened[:3] if i == 0} <= set(range(trees[0].leaves))
         assert all((i, int(t.leaf_of(q[None])[0])) in opened[:3] for i, t in enumerate(trees))
+
+
+def test_strays_do_not_decide_the_dimension(spark):
+    given = [(i, [float(i), 1.0, 2.0]) for i in range(5)] + [(5, [1.0, 2.0, 3.0, 4.0]), (6, [1.0, 2.0]), (7, [9.0] * 5), (8, None)]
+    rows = spark.createDataFrame(given, "vec_id long, embedding array<float>")
+    for nonzero in (False, True):
+        assert sorted(r["id"] for r in valid(rows, "vec_id", "embedding", nonzero).collect()) == [0, 1, 2, 3, 4]
