@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.common import batched, stored, table
-from plumbline.llm.vectors import best, classes, matrix, valid
+from plumbline.llm.vectors import best, classes, entries_for, matrix, valid
 
 K = 20
 TREES = 6
@@ -206,8 +206,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES,
     with few entries a tree is one leaf, and all are found. Empty tables give no rows.
     """
     spark = rows.sparkSession
-    keep = k + 1  # one entry may be the query itself
-    entries = classes(rows, keep)
+    keep = entries_for(rows, k)  # some entries may be the query itself, or one id again
+    entries = classes(rows, k + 1)
     queries = stored(queries.select("id", "v").distinct(), "queries")
     n = entries.count()
     share = F.pmod(F.xxhash64("first", F.lit(SEED)), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / max(n, 1)) * (1 << 30)))

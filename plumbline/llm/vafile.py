@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.common import batched, stored, table
-from plumbline.llm.vectors import best, classes, matrix, valid
+from plumbline.llm.vectors import best, classes, entries_for, matrix, valid
 
 K = 5
 #: Queries scanned for together; the driver and every worker hold this many.
@@ -94,11 +94,12 @@ def _scan(sent, low: np.ndarray, width: np.ndarray, k: int):
 
 
 def _exact(pairs: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, vec_id, score, ids): the exact vectors of pairs are read and multiplied."""
+    """(query_id, vec_id, score, ids): the exact vectors of pairs are read and multiplied; of a query id's several vectors the best counts."""
     product = F.expr("aggregate(zip_with(qv, v, (a, b) -> a * b), 0L, (s, x) -> s + x)")
     found = pairs.select("query_id", "vec_id").join(vectors.select(F.col("first").alias("vec_id"), "v", "ids"), "vec_id")
     found = found.join(queries.select(F.col("id").alias("query_id"), F.col("v").alias("qv")), "query_id")
-    return found.select("query_id", "vec_id", product.alias("score"), "ids")
+    found = found.select("query_id", "vec_id", product.alias("score"), "ids")
+    return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int = K, wave: int = WAVE) -> DataFrame:
@@ -109,9 +110,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, wave: int = WAVE) ->
     candidates than k give them all; empty tables give no rows.
     """
     spark = rows.sparkSession
-    n = k + 1  # one entry may be the query itself
+    n = entries_for(rows, k)  # some entries may be the query itself, or one id again
     # doubles hold the whole numbers exactly
-    vectors = classes(rows, n)
+    vectors = classes(rows, k + 1)
     queries = stored(queries.select("id", "v").distinct(), "queries")
     ends = vectors.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.min("x").alias("a"), F.max("x").alias("b")).orderBy("d").collect()
     low = np.array([r["a"] for r in ends], np.float64)
@@ -131,7 +132,7 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, wave: int = WAVE) ->
     bounds = parts[0]
     for more in parts[1:]:
         bounds = bounds.unionByName(more)
-    bounds = bounds.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high")) if waves > 1 else bounds
+    bounds = bounds.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high"))
     sure = best(bounds, F.col("low"), n).groupBy("query_id").agg(F.min("low").alias("limit"), F.count("*").alias("n"))
     sure = stored(sure.select("query_id", F.when(F.col("n") >= n, F.col("limit")).otherwise(F.lit(float("-inf"))).alias("limit")), "limits")
     left = stored(best(bounds.join(sure, "query_id").where("high >= limit"), F.col("high"), 1 << 30, "turn").select("query_id", "vec_id", "high", "turn"), "candidates")

@@ -39,6 +39,12 @@ def classes(rows: DataFrame, keep: int) -> DataFrame:
     return stored(per.select(ids.alias("ids"), "v").select(F.element_at("ids", 1).alias("first"), "v", "ids"), "classes")
 
 
+def entries_for(rows: DataFrame, k: int) -> int:
+    """Best distinct vectors among which there are k ids besides a query's own, if there are so many at all: an id may have several."""
+    most = rows.groupBy("id").agg(F.count_distinct(F.xxhash64("v")).alias("n")).agg(F.max("n")).first()[0]
+    return k * (most or 1) + 1
+
+
 def matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
     """A column of equally long lists."""
     n = len(column)

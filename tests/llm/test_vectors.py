@@ -100,3 +100,22 @@ def test_strays_do_not_decide_the_dimension(spark):
     rows = spark.createDataFrame(given, "vec_id long, embedding array<float>")
     for nonzero in (False, True):
         assert sorted(r["id"] for r in valid(rows, "vec_id", "embedding", nonzero).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_ids_with_several_vectors(spark):
+    """A query id with two vectors, and an id whose vectors would take all places, leave k others."""
+    rng = np.random.default_rng(7)
+    given = [(i, rng.integers(-200, 200, 4).tolist()) for i in range(2, 60)]
+    given += [(1, [900, 900, 0, 0]), (1, [900, -900, 0, 0])] + [(50, [800 + i, 0, 0, 0]) for i in range(12)]
+    want = {}
+    for q in (1, 2, 50):
+        score = {}
+        for i, v in given:
+            if i != q:
+                score[i] = max([score.get(i, -1 << 60)] + [int(np.dot(a, v)) for j, a in given if j == q])
+        want[q] = [(r + 1, i, s) for r, (i, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5])]
+    rows = spark.createDataFrame(given, "id long, v array<long>")
+    for wave in (1, 4096):
+        assert grouped(vafile.search(rows, rows.where("id IN (1, 2, 50)"), 5, wave)) == want
+    doubles = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in given], "id long, v array<double>")
+    assert grouped(rpforest.search(doubles, doubles.where("id IN (1, 2, 50)"), 5)) == want
