@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import Problem, arrays
+from problems import Problem, arrays
 from plumbline import Cauchy, Factorizer, Gaussian, ModelSpec, fit_many
 from plumbline.operators import cells as ops, prepare
 from plumbline.plans import baselines, start

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import Problem
+from problems import Problem
 from plumbline import Factorizer
 from plumbline.functions import draws
 from plumbline.operators import diagnose, inject, metrics, prepare

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import arrays
+from problems import arrays
 from plumbline import Cauchy, ModelSpec
 from plumbline.functions.scores import ARRAY_SCORES, CELL_SCORES, MATRIX_SCORES
 from plumbline.plans.fit import FittedModel

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import Problem, arrays
+from problems import Problem, arrays
 from plumbline import Factorizer
 from plumbline.functions import measure
 from plumbline.functions.losses import Cauchy, Gaussian, Loss, StudentT
