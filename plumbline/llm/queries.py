@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import langid, licenses, mixing, packing, quality, rpforest, simhash, simple8b, vafile, wrappers
+from plumbline.llm import collocations, egojoin, langid, licenses, mixing, packing, quality, rpforest, simhash, simple8b, spelling, vafile, wrappers
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,14 @@ QUERIES = {
     "op8_rpforest": rpforest.op8_rpforest,
     "op9_token_files": simple8b.op9_token_files,
     "op10_wrappers": wrappers.op10_wrappers,
+    "op11_spelling": spelling.op11_spelling,
+    "op12_egojoin": egojoin.op12_egojoin,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-SQL: dict[str, str] = {"op4_licenses": licenses.SQL}
+SQL: dict[str, str] = {
+    "op4_licenses": licenses.SQL,
+    "op11_spelling": spelling.SQL,
+    "op12_egojoin": egojoin.SQL,
+    "op13_collocations": collocations.SQL,
+}
