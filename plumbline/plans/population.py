@@ -9,14 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.functions import kernels, measure
+from plumbline.functions import kernels
 from plumbline.functions.losses import Cauchy
 from plumbline.functions.scores import ARRAY_SCORES
 from plumbline.operators import bins as pop, metrics
-from plumbline.operators.prepare import objects_to_cells
 from plumbline.plans.fit import FittedModel, ModelSpec, Settings, fit_many
 from plumbline.plans.passes import blocks
-from plumbline.runtime import BROADCAST_BYTES, arrow_map, checkpointed, laid_out, pin_small
+from plumbline.plans.validate import calibrate, of_bins, waves
+from plumbline.runtime import arrow_map, checkpointed, laid_out, pin_small
 from plumbline.sources.store import ModelStore, ResultStore
 
 # A list of bins longer than this is no list of populations.
@@ -65,19 +65,6 @@ def fit_grid(train: DataFrame, ks: list[int], qs: list[float], settings: Setting
     return {s.model_id: done.get(s.model_id) or new[s.model_id] for s in specs}
 
 
-def _waves(models: list[FittedModel]) -> list[list[FittedModel]]:
-    """Models whose bases together stay within what may be sent to every task."""
-    out: list[list[FittedModel]] = [[]]
-    size = 0
-    for m in models:
-        if out[-1] and size + m.g.nbytes > BROADCAST_BYTES:
-            out.append([])
-            size = 0
-        out[-1].append(m)
-        size += m.g.nbytes
-    return out
-
-
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -112,10 +99,10 @@ def infer_many(objects: DataFrame, models: list[FittedModel], max_iter: int = 10
                             names=["model_id", "bin", "obj_id", "a"],
                         )
 
-        rows = objects.select(F.col("bin").cast("int").alias("bin"), F.col("obj_id").cast("bigint").alias("obj_id"), "y", "w")
+        rows = of_bins(objects, ms, models).select(F.col("bin").cast("int").alias("bin"), F.col("obj_id").cast("bigint").alias("obj_id"), "y", "w")
         return arrow_map(rows, run, "model_id string, bin int, obj_id bigint, a array<double>")
 
-    return _union([wave(ms) for ms in _waves(models)])
+    return _union([wave(ms) for ms in waves(models)])
 
 
 def apply_many(objects: DataFrame, coeffs: DataFrame, models: list[FittedModel]) -> DataFrame:
@@ -131,10 +118,11 @@ def apply_many(objects: DataFrame, coeffs: DataFrame, models: list[FittedModel])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                names = np.asarray(batch.column("model_id").to_pylist(), dtype=object)
-                for name in sorted(set(names)):
+                names = batch.column("model_id").dictionary_encode()
+                of = names.indices.to_numpy()
+                for i, name in enumerate(names.dictionary.to_pylist()):
                     g, loss = told.value[name]
-                    mine = batch.filter(pa.array(names == name))
+                    mine = batch.take(pa.array(np.flatnonzero(of == i)))
                     for block in blocks(mine, len(g)):
                         y, w = kernels.matrix(block.column("y")), kernels.matrix(block.column("w"))
                         pred = kernels.matrix(block.column("a")) @ g.T
@@ -145,21 +133,18 @@ def apply_many(objects: DataFrame, coeffs: DataFrame, models: list[FittedModel])
                         )
 
         mine = joined if len(ms) == len(models) else joined.filter(F.col("model_id").isin([m.model_id for m in ms]))
-        return arrow_map(mine, 
+        return arrow_map(
+            mine,
             run,
             "model_id string, bin int, obj_id bigint, y array<double>, w array<double>, pred array<double>, r array<double>, w_rob array<double>",
         )
 
-    return _union([wave(ms) for ms in _waves(models)])
+    return _union([wave(ms) for ms in waves(models)])
 
 
 def cross_validate(test: DataFrame, models: list[FittedModel], missing: str = "count", **options) -> DataFrame:
     """(bin, k, q, metric, value) of every model on held-out objects."""
-    # inference is the dear part: do it once, the metrics read it several times
-    coeffs = laid_out(infer_many(test, models, **options), KEYS)
-    cells = objects_to_cells(apply_many(test, coeffs, models), ("w", "r", "w_rob"), ("model_id",))
-    cells = cells.withColumn("z", measure.z_score(F.col("r"), F.col("w"), F.col("w_rob")))
-    wide = metrics.calibration(cells, ("model_id",), missing)
+    wide = calibrate(test, models, missing, **options)
     spark = test.sparkSession
     names = spark.createDataFrame([(m.model_id, m.spec.grp, m.k, float(m.loss.q2) ** 0.5) for m in models], "model_id string, bin int, k int, q double")
     return metrics.long_scores(wide.join(pin_small(names), "model_id"), ("bin", "k", "q"), metrics.METRICS)
@@ -167,7 +152,7 @@ def cross_validate(test: DataFrame, models: list[FittedModel], missing: str = "c
 
 @dataclass
 class Population:
-    """What a run over all bins leaves; every table is keyed by bin and object."""
+    """What a run over all bins leaves; every table is keyed by bin and object. ``scored`` has the arrays of flagged objects only."""
 
     members: DataFrame
     cv: DataFrame
@@ -214,7 +199,10 @@ def analyse(
             coeffs.select(F.concat("model_id", F.lit("/all")).alias("model_id"), "obj_id", "a"),
         )
     value = ARRAY_SCORES[score](F.col("w_rob")) if isinstance(score, str) else score
-    scored = apply_many(data, coeffs, chosen).withColumn("score", value)
+    # one evaluation: every score is kept, and the arrays of the flagged objects
+    rows = apply_many(data, coeffs, chosen).withColumn("score", value)
+    kept = [F.when(F.col("score") < threshold, F.col(c)).alias(c) for c in ("y", "w", "pred", "r", "w_rob")]
+    scored = checkpointed(rows.select("model_id", "bin", "obj_id", "score", *kept))
     best = pin_small(best)
     flagged = scored.filter(F.col("score") < threshold).select("bin", "obj_id", "score")
     outliers = flagged.join(best.drop("metric"), "bin").join(split, ["bin", "obj_id"])

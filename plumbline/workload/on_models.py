@@ -180,6 +180,23 @@ def reconstruct_chosen(spark, sf_dir):
     return tidy(prepare.objects_to_cells(rows, ("pred",)).filter("pred <> 0"))
 
 
+_HELD_OUT = f"""SELECT bin, 1 AS k, {Q}::DOUBLE AS q, unnest(['std_z', 'chi2_red', 'rmse', 'mad_z', 'kl']) AS metric,
+unnest([{rd("s")}, {rd("c")}, {rd("sqrt(c)")}, {rd("m")}, {rd("CASE WHEN s > 0 THEN -ln(s) + (s*s + u*u) / 2 - 0.5 END")}]) AS value
+FROM (SELECT grid.obj_id % 3 AS bin, stddev_pop(coalesce(z, 0)) AS s, avg(coalesce(z, 0)) AS u, avg(coalesce(c, 0)) AS c, median(abs(coalesce(z, 0))) AS m
+  FROM grid LEFT JOIN (SELECT obj_id, feat_id, w * (y - a*g) * (y - a*g) AS c, (y - a*g) * sqrt(w) * sqrt({Q2} / ({Q2} + w * (y - a*g) * (y - a*g))) AS z
+    FROM cells JOIN basis USING (feat_id) JOIN {{last}} USING (obj_id)) held USING (obj_id, feat_id) GROUP BY 1)"""
+
+
+@query(_infer_sql(_HELD_OUT))
+def validation_metrics(spark, sf_dir):
+    """Calibration of a model for each of three groups of suppliers: inferred, summed and the median found inside the map."""
+    objects = _objects(spark, sf_dir)
+    g, _ = _mean_start(objects)
+    rows = objects.withColumn("bin", (F.col("obj_id") % 3).cast("int"))
+    models = [FittedModel(spark, ModelSpec(population.model_name(b, 1, Q), 1, Cauchy(Q), b), g) for b in range(3)]
+    return tidy(population.cross_validate(rows, models, max_iter=5, tol=0.0))
+
+
 @query(f"""WITH {als_sql(3)} SELECT a.obj_id, {rd("a * (SELECT sqrt(sum(g * g)) FROM g3)", 5)} AS a, n_iter, k FROM a3 a, (SELECT 3 AS n_iter, 1 AS k)""")
 def model_store(spark, sf_dir):
     """A model saved, listed, loaded and read back; its basis has unit length."""
@@ -280,7 +297,7 @@ def random_start(spark, sf_dir):
 def robust_fit_rank3(spark, sf_dir):
     """Rank-three fit of the prices until the basis settles, ordered; scores of all suppliers."""
     objects = _objects(spark, sf_dir)
-    model = Factorizer(3, scale=Q, tol=1e-4, check_every=5, max_iter=30, order=True).fit(objects)
+    model = Factorizer(3, scale=Q, tol=1e-4, check_every=5, order=True).fit(objects)
     return model.score(objects, scores=("p01", "median"))
 
 
