@@ -2,7 +2,7 @@
 
 The rows stay where they are. The driver holds the basis of every model (features x K) and sends
 it out; a task updates the coefficients of its objects and adds up the normal sums of the next
-basis; Spark adds the tasks. Any number of models, of several ranks and losses and on several
+basis; Spark brings the sums of a feature together and solves its system there. Any number of models, of several ranks and losses and on several
 groups of objects, share each pass.
 """
 
@@ -399,7 +399,7 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
             shapes.update({t.normal: (passes.width, k * (k + 3) // 2), t.gram: (k, k), t.scalars: (1, 3)})
         # Coefficients in hand are those after cycle i - 1; they are compared and remembered if that was a check.
         step = _als_step(told, width, settings, note=i == 0 or is_check(i - 1), compare=is_check(i - 1))
-        sums = passes.run(step, shapes, rows=rows)
+        sums = passes.run(step, shapes, rows=rows, ranks={t.normal: t.spec.k for t in live}, ridge=settings.ridge)
         told.unpersist()
         rows = None
         for t in live:
@@ -420,8 +420,7 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
                     t.live, t.converged, t.from_seen, t.t = False, True, True, np.eye(t.spec.k)
                     continue
             k = t.spec.k
-            p = k * (k + 1) // 2
-            g = kernels.solve_packed(sums[t.normal][:, :p], sums[t.normal][:, p:], settings.ridge)
+            g = sums[t.normal]
             turn, back = _rotation(settings, sums[t.gram], g.T @ g) if i else rotate.identity(k)
             t.g, t.t, t.start, t.n_iter = g @ back, turn, None, i + 1
             t.gram_a = turn.T @ sums[t.gram] @ turn

@@ -102,28 +102,70 @@ def mapper(step: Callable[[pa.RecordBatch, Sums], np.ndarray | None], width: int
     return run
 
 
-def collect_sums(rows: DataFrame, shapes: dict[int, tuple[int, int]]) -> dict[int, np.ndarray]:
+def _solver(ranks: dict[int, int], ridge: float | None):
+    """Add up the normal sums of the features that come by, in order of matrix and feature, and solve each feature's system."""
+
+    def added(r: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        return r[first], np.add.reduceat(v, first, axis=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, dict[int, list]] = {}
+        for b in batches:
+            mats, rs, chunks = (b.column(c).to_numpy() for c in ("mat", "r", "chunk"))
+            for mat in np.unique(mats).tolist():
+                for chunk in np.unique(chunks[mats == mat]).tolist():
+                    own = np.flatnonzero((mats == mat) & (chunks == chunk))
+                    part = added(rs[own], kernels.matrix(b.column("vec").take(pa.array(own))))
+                    held.setdefault(mat, {}).setdefault(chunk, []).append(part)
+        for mat, by_chunk in held.items():
+            sums = []
+            for chunk in sorted(by_chunk):
+                # a feature at the end of one batch may go on in the next
+                r, v = added(*(np.concatenate(x) for x in zip(*by_chunk[chunk])))
+                sums.append(v)
+            full, k = np.hstack(sums), ranks[mat]
+            p = k * (k + 1) // 2
+            g = kernels.solve_packed(full[:, :p], full[:, p:], ridge)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), mat, np.int32)), pa.array(r), kernels.lists(g)], names=["mat", "r", "vec"])
+
+    return run
+
+
+def collect_sums(rows: DataFrame, shapes: dict[int, tuple[int, int]], ranks: dict[int, int] | None = None, ridge: float | None = None) -> dict[int, np.ndarray]:
     """Add up the ``sum`` rows of all tasks: partial sums, one small shuffle, then the driver.
 
-    The maximum numbered n comes back under ``-1 - n``.
+    The maximum numbered n comes back under ``-1 - n``. Normal sums, of the matrices in ``ranks``, are added up and solved
+    where they were shuffled to: the driver gets the basis in their place, K numbers a feature.
     """
-    total = sum(r * c * 8 for r, c in shapes.values())
+    ranks = ranks or {}
+    sizes = {m: s for m, s in shapes.items() if m not in ranks}
+    total = sum(r * c * 8 for r, c in sizes.values())
     if total > DRIVER_BYTES:
         raise ValueError(f"the sums of one pass need {total >> 20} MB on the driver; fit fewer models or features at a time")
-    width = min(CHUNK, max((c for _, c in shapes.values()), default=1))
-    added = rows.groupBy("mat", "r", "chunk").agg(
+    width = min(CHUNK, max((c for _, c in sizes.values()), default=1))
+    small = rows if not ranks else rows.filter(~F.col("mat").isin(list(ranks)))
+    added = small.groupBy("mat", "r", "chunk").agg(
         *[F.sum(F.get("vec", F.lit(i))).alias(f"v{i}") for i in range(width)], F.max(F.get("vec", F.lit(0))).alias("top")
     )
-    table = added.toArrow()
-    out = {m: np.zeros(s) for m, s in shapes.items() if m >= 0}
+    added = added.select("mat", "r", "chunk", F.array(*[f"v{i}" for i in range(width)]).alias("vec"), "top")
+    if ranks:
+        # a task's sums are added up already: one shuffle brings those of a feature together
+        normal = rows.filter(F.col("mat").isin(list(ranks))).select("mat", "r", "chunk", "vec").repartition("mat", "r").sortWithinPartitions("mat", "r", "chunk")
+        solved = arrow_map(normal, _solver(ranks, ridge), "mat int, r int, vec array<double>")
+        added = added.unionByName(solved.select("mat", "r", F.lit(-1).alias("chunk"), "vec", F.lit(None).cast("double").alias("top")))
+    table = added.toArrow().combine_chunks()
+    out = {m: np.zeros(s if m not in ranks else (s[0], ranks[m])) for m, s in shapes.items() if m >= 0}
     mats, rs, cs = (table.column(c).to_numpy() for c in ("mat", "r", "chunk"))
-    values = np.column_stack([table.column(f"v{i}").to_numpy() for i in range(width)]).astype(float)
+    vec = table.column("vec")
     for m in out:
         pick = mats == m
         for c in np.unique(cs[pick]):
-            at = pick & (cs == c)
-            cols = min(CHUNK, out[m].shape[1] - c * CHUNK)
-            out[m][rs[at], c * CHUNK : c * CHUNK + cols] = values[at][:, :cols]
+            at = np.flatnonzero(pick & (cs == c))
+            values = kernels.matrix(vec.take(pa.array(at)).combine_chunks(), float)
+            lo = max(0, c) * CHUNK
+            cols = out[m].shape[1] if c < 0 else min(CHUNK, out[m].shape[1] - lo)
+            out[m][rs[at], lo : lo + cols] = values[:, :cols]
     tops = table.column("top").to_numpy()
     out.update({m: tops[[i]] for i, m in enumerate(mats) if m < 0})
     return out
@@ -161,15 +203,19 @@ class Passes:
             return self.objects
         return self.objects.join(state.hint("shuffle_hash"), KEYS)
 
-    def run(self, step, shapes: dict[int, tuple[int, int]], rows: DataFrame | None = None, keep: bool = True) -> dict[int, np.ndarray]:
-        """One pass: map, write, sum. With ``keep`` the emitted vectors become the new state."""
+    def run(
+        self, step, shapes: dict[int, tuple[int, int]], rows: DataFrame | None = None, keep: bool = True,
+        ranks: dict[int, int] | None = None, ridge: float | None = None,
+    ) -> dict[int, np.ndarray]:
+        """One pass: map, write, sum. With ``keep`` the emitted vectors become the new state. The normal sums of matrices in
+        ``ranks`` come back solved."""
         mapped = arrow_map(self.rows() if rows is None else rows, mapper(step, self.width), ROW_SCHEMA)
         if not keep:
-            return collect_sums(mapped.filter("kind = 'sum'"), shapes)
+            return collect_sums(mapped.filter("kind = 'sum'"), shapes, ranks, ridge)
         name = f"pass_{self.n}"
         self.n += 1
         written = self.scratch.put(mapped, name, KEYS, partition_by="kind")
-        sums = collect_sums(written.filter("kind = 'sum'"), shapes)
+        sums = collect_sums(written.filter("kind = 'sum'"), shapes, ranks, ridge)
         self.state = written.filter("kind = 'state'").select(*KEYS, F.col("vec").alias("state"))
         self._live.append(name)
         return sums
