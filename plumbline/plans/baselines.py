@@ -39,14 +39,13 @@ class Components:
         return arrow_map(objects, run, f"{fields}, a array<double>, pred array<double>")
 
 
-def principal_components(objects: DataFrame, k: int, buckets: int | None = None, gram_features: int | None = None) -> Components:
+def principal_components(objects: DataFrame, k: int, buckets: int | None = None) -> Components:
     """Leading k right singular vectors of the uncentred matrix ``y``."""
     rows = objects.select(F.lit(0).alias("grp"), F.col("obj_id").cast("bigint").alias("obj_id"), "y")
     passes = Passes(rows, ["y"], buckets)
     if not 1 <= k <= min(passes.n_objects, passes.width):
         raise ValueError(f"rank {k} is outside 1 .. {min(passes.n_objects, passes.width)}")
-    extra = {} if gram_features is None else {"gram_features": gram_features}
-    values, vectors = top_singular(passes, {0: k}, max_passes=1000, must_settle=True, **extra)[0]
+    values, vectors = top_singular(passes, {0: k})[0]
     passes.scratch.drop("objects")
     return Components(values, vectors)
 

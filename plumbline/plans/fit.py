@@ -275,9 +275,12 @@ def fit_many(
         return {}
     passes = Passes(objects, ["y", "w"], buckets, ready)
     m = passes.width
+    # a rank is held to the objects of the model's own group
+    sizes = {r["grp"]: r["n"] for r in passes.objects.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("grp").isin(sorted({s.grp for s in specs}))).collect()}
     for s in specs:
-        if not 1 <= s.k <= min(passes.n_objects, m):
-            raise ValueError(f"rank {s.k} of {s.model_id} is outside 1 .. {min(passes.n_objects, m)}")
+        most = min(sizes.get(s.grp, 0), m)
+        if not 1 <= s.k <= most:
+            raise ValueError(f"rank {s.k} of {s.model_id} is outside 1 .. {most}")
     waves: list[list[ModelSpec]] = [[]]
     size = 0
     for s in specs:
@@ -333,8 +336,7 @@ def _start(passes: Passes, specs: list[ModelSpec], settings: Settings, init: dic
         ranks: dict[int, int] = {}
         for s in specs:
             ranks[s.grp] = max(ranks.get(s.grp, 0), s.k)
-        # beyond the Gram matrix's reach a start near the singular vectors will do
-        svd = start.top_singular(passes, ranks, max_passes=8, tol=1e-4)
+        svd = start.top_singular(passes, ranks)
     for i, (s, offset) in enumerate(zip(specs, offsets)):
         proj = None
         if settings.init == "svd":

@@ -9,61 +9,73 @@ from pyspark.sql import Column, DataFrame, functions as F
 from plumbline.functions import draws, kernels
 from plumbline.plans.passes import DRIVER_BYTES, Passes, Sums
 
-# Up to this many features the M x M Gram matrix is summed whole in one pass; beyond it a K-column
-# sketch is iterated.
-GRAM_FEATURES = 2500
+# Columns of a block beyond the rank that is asked for, and of the space that is searched before it is cut back.
 OVERSAMPLE = 10
+SPACE = 400
 
 
-def top_singular(passes: Passes, ranks: dict[int, int], gram_features: int = GRAM_FEATURES, max_passes: int = 30, tol: float = 1e-10, must_settle: bool = False) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Leading singular values and right singular vectors of every group's uncentred matrix.
+class _Search:
+    """Leading eigenvectors of one group's YᵀY: a space that grows by the image of its last block, a pass at a time.
 
-    The sketch stops when no singular value moves by more than ``tol`` of the largest. A start for a fit may stop
-    earlier; with ``must_settle`` running out of passes is an error.
+    The space is cut back to its best part when it is large, and holds everything once it is as wide as the matrix.
+    """
+
+    def __init__(self, block: np.ndarray, k: int, tol: float):
+        self.k, self.tol, self.settled = k, tol, False
+        self.block = np.linalg.qr(block)[0]
+        self.space, self.image = np.zeros((len(block), 0)), np.zeros((len(block), 0))
+
+    def add(self, image: np.ndarray) -> None:
+        """Take in YᵀY times the block and choose the next block."""
+        wide = self.block.shape[1]
+        self.space, self.image = np.hstack([self.space, self.block]), np.hstack([self.image, image])
+        small = self.space.T @ self.image
+        lam, u = np.linalg.eigh(0.5 * (small + small.T))
+        lam, u = lam[::-1], u[:, ::-1]
+        lead = u[:, : self.k]
+        self.values, self.vectors = lam[: self.k], self.space @ lead
+        rest = self.image @ lead - self.vectors * self.values
+        m, largest = len(image), max(lam[0], 0.0)
+        if self.space.shape[1] >= m or np.sqrt((rest * rest).sum(axis=0)).max() <= self.tol * largest:
+            self.settled = True
+            return
+        new = image
+        for _ in range(2):
+            new = new - self.space @ (self.space.T @ new)
+        if self.space.shape[1] + wide > max(SPACE, 4 * wide):
+            kept = u[:, : self.k + wide]
+            self.space, self.image = self.space @ kept, self.image @ kept
+        left, size, _ = np.linalg.svd(new, full_matrices=False)
+        self.block = left[:, size > np.finfo(float).eps * m * largest]
+        self.settled = not self.block.shape[1]  # what is left is rounding
+
+
+def top_singular(passes: Passes, ranks: dict[int, int], oversample: int = OVERSAMPLE, tol: float = 1e-12) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Leading singular values and right singular vectors of every group's uncentred matrix, whatever its width.
+
+    Each pass sends out M x (K + oversample) numbers a group and sums as many. A group is done when all residuals
+    of its leading eigenpairs are within ``tol`` of the largest eigenvalue, at the latest after M / (K + oversample) passes.
     """
     m = passes.width
-    if m <= gram_features:
-        out = {}
-        # as many groups at a time as the driver takes
-        each = max(1, DRIVER_BYTES // (8 * m * m))
-        todo = sorted(ranks)
-        for i in range(0, len(todo), each):
-            some = todo[i : i + each]
-            rows = passes.objects if len(todo) <= each else passes.objects.filter(F.col("grp").isin(some))
-            grams = passes.run(_gram_step, {g: (m, m) for g in some}, rows=rows, keep=False)
-            out.update({g: _leading(grams[g], ranks[g]) for g in some})
-        return out
-    # Subspace iteration: M x (K + oversample) sums a pass instead of M x M.
     rng = np.random.default_rng(0)
-    start = rng.standard_normal((m, min(m, max(ranks.values()) + OVERSAMPLE)))
-    basis = {g: np.linalg.qr(start[:, : min(m, k + OVERSAMPLE)])[0] for g, k in ranks.items()}
-    last: dict[int, np.ndarray] = {}
-    for _ in range(max_passes):
-        step = _sketch_step(passes.spark.sparkContext.broadcast(basis))
-        sums = passes.run(step, {g: b.shape for g, b in basis.items()}, rows=passes.objects, keep=False)
-        values, out, done = {}, {}, True
-        for g, k in ranks.items():
-            small = basis[g].T @ sums[g]
-            lam, u = np.linalg.eigh(0.5 * (small + small.T))
-            order = np.argsort(lam)[::-1]
-            values[g] = lam[order][:k]
-            out[g] = (np.sqrt(np.maximum(values[g], 0)), (basis[g] @ u[:, order])[:, :k])
-            done &= g in last and bool(np.all(np.abs(values[g] - last[g]) <= tol * values[g].max()))
-            basis[g] = np.linalg.qr(sums[g])[0]
-        last = values
-        if done:
-            return out
-    if must_settle:
-        raise RuntimeError(f"singular values still move by more than {tol} after {max_passes} passes")
+    wide = min(m, max(ranks.values()) + oversample)
+    start = rng.standard_normal((m, wide))
+    each = max(1, DRIVER_BYTES // (8 * m * wide))  # as many groups at a time as the driver takes
+    todo, out = sorted(ranks), {}
+    for i in range(0, len(todo), each):
+        some = todo[i : i + each]
+        rows = passes.objects if len(todo) <= each else passes.objects.filter(F.col("grp").isin(some))
+        found = {g: _Search(start[:, : min(m, ranks[g] + oversample)], ranks[g], tol) for g in some}
+        while live := {g: s.block for g, s in found.items() if not s.settled}:
+            told = passes.spark.sparkContext.broadcast(live)
+            sums = passes.run(_sketch_step(told), {g: b.shape for g, b in live.items()}, rows=rows, keep=False)
+            told.unpersist()
+            for g in live:
+                found[g].add(sums[g])
+        out.update({g: (np.sqrt(np.maximum(s.values, 0.0)), s.vectors) for g, s in found.items()})
     return out
 
 
-def _leading(gram: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    lam, v = np.linalg.eigh(0.5 * (gram + gram.T))
-    order = np.argsort(lam)[::-1][:k]
-    return np.sqrt(np.maximum(lam[order], 0.0)), v[:, order]
-
-
 def _by_group(block: pa.RecordBatch):
     grp = block.column("grp").to_numpy()
     y = kernels.matrix(block.column("y"))
@@ -71,15 +83,11 @@ def _by_group(block: pa.RecordBatch):
         yield int(g), y[grp == g]
 
 
-def _gram_step(block: pa.RecordBatch, sums: Sums) -> None:
-    for g, y in _by_group(block):
-        sums.add(g, y.T @ y)
-
-
 def _sketch_step(basis):
     def step(block: pa.RecordBatch, sums: Sums) -> None:
         for g, y in _by_group(block):
-            sums.add(g, y.T @ (y @ basis.value[g]))
+            if g in basis.value:
+                sums.add(g, y.T @ (y @ basis.value[g]))
 
     return step
 

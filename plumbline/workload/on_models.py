@@ -270,11 +270,11 @@ gram AS (SELECT a.feat_id AS i, b.feat_id AS j, sum(a.y * b.y) AS v FROM cells a
 {components_sql("gram", 4)}
 {" UNION ALL ".join(f"SELECT {i}::INTEGER AS i, {rd(f'sqrt(l{i}.v)')} AS gram, {rd(f'sqrt(l{i}.v)')} AS sketch FROM l{i}" for i in range(4))}""")
 def svd_start(spark, sf_dir):
-    """Leading singular values of the prices by the whole Gram matrix and by the K-column sketch."""
+    """Leading singular values of the prices from a block as wide as the matrix, which is its whole Gram matrix, and from a narrow one."""
     objects = price_objects(spark, sf_dir).withColumn("grp", F.lit(0))
     passes = Passes(objects, ["y", "w"])
-    whole = start.top_singular(passes, {0: 4})[0][0]
-    sketch = start.top_singular(passes, {0: 4}, gram_features=0)[0][0]
+    whole = start.top_singular(passes, {0: 4}, oversample=N_MONTHS)[0][0]
+    sketch = start.top_singular(passes, {0: 4})[0][0]
     passes.scratch.drop("objects")
     return tidy(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(whole, sketch))], "i int, gram double, sketch double"))
 

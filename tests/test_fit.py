@@ -199,9 +199,36 @@ def test_singular_values_both_ways(spark, df, problem):
     want = np.linalg.svd(problem.y)[1][:4]
     s, v = start.top_singular(passes, {0: 4})[0]
     np.testing.assert_allclose(s, want, rtol=1e-9)
-    s2, v2 = start.top_singular(passes, {0: 4}, gram_features=0)[0]
-    np.testing.assert_allclose(s2, want, rtol=1e-6)
-    np.testing.assert_allclose(np.abs(v.T @ v2), np.eye(4), atol=1e-3)
+    # a block as wide as the matrix is its Gram matrix; a narrow one finds the same
+    s2, v2 = start.top_singular(passes, {0: 4}, oversample=1)[0]
+    np.testing.assert_allclose(s2, want, rtol=1e-9)
+    np.testing.assert_allclose(np.abs(v.T @ v2), np.eye(4), atol=1e-7)
+
+
+def test_singular_values_of_a_wide_matrix(spark, monkeypatch):
+    """5,000 features, a slowly falling spectrum, and a space that is cut back on the way."""
+    rng = np.random.default_rng(5)
+    u, v = np.linalg.qr(rng.normal(size=(120, 120)))[0], np.linalg.qr(rng.normal(size=(5000, 120)))[0]
+    size = 10 * 0.93 ** np.arange(120)
+    y = (u * size) @ v.T
+    rows = spark.createDataFrame([(0, i, x.tolist()) for i, x in enumerate(y)], "grp int, obj_id bigint, y array<double>").repartition(4)
+    passes = Passes(rows, ["y"])
+    monkeypatch.setattr(start, "SPACE", 40)
+    s, found = start.top_singular(passes, {0: 6})[0]
+    np.testing.assert_allclose(s, size[:6], rtol=1e-8)
+    np.testing.assert_allclose(np.abs(found.T @ v[:, :6]), np.eye(6), atol=1e-8)
+
+
+def test_driver_gets_no_normal_sums(df, monkeypatch):
+    """The basis is solved where its sums are: a driver that could not take them gives the same fit."""
+    from plumbline.plans import passes
+
+    options = {"scale": Q, "init": "random", "conv": "none", "max_iter": 3}
+    plain = Factorizer(3, **options).fit(df)
+    monkeypatch.setattr(passes, "DRIVER_BYTES", 200)
+    tiny = Factorizer(3, **options).fit(df)
+    np.testing.assert_allclose(product(tiny), product(plain), atol=1e-9)
+    np.testing.assert_allclose(tiny.loss_history, plain.loss_history, rtol=1e-12)
 
 
 def test_gradient_fit_descends_to_the_alternating_one(df):
