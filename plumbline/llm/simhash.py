@@ -58,8 +58,7 @@ def fingerprint(text: bytes, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, key (hash of the text), fp (the unsigned fingerprint's bits as a long). A null text counts as empty; rows
-    without doc_id are left out."""
+    """doc_id, key (hash of the text), fp (the unsigned fingerprint's bits as a long) of every row. A null text counts as empty."""
 
     def run(batches):
         for b in batches:
@@ -67,13 +66,18 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], ["doc_id", "key", "fp"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _key(docs).alias("key"), docs["text"].cast("binary").alias("text"))
-    return batched(rows.where("doc_id IS NOT NULL"), run, "doc_id long, key long, fp long")
+    return batched(rows, run, "doc_id long, key long, fp long")
 
 
 def _key(docs: DataFrame):
     return F.xxhash64(docs["text"].cast("binary"))
 
 
+def _order():
+    """Rows by doc_id, those without one last, then by the hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+
+
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Place of each 64-bit code in the Gray sequence."""
     out = codes.copy()
@@ -206,7 +210,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFr
 def _labelled(docs: DataFrame, radius: int, words: int, leaf: int) -> DataFrame:
     """doc_id, key, fp, least: every row and the smallest (doc_id, key) that its class reaches over links."""
     fps = stored(fingerprints(docs, words), "fingerprints")
-    classes = stored(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("first")), "classes")
+    classes = stored(fps.groupBy("fp").agg(F.min(_order()).alias("first")), "classes")
     roots = stored(components(links(classes.select("fp"), radius, leaf)), "roots")
     of = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     of = of.join(classes, of["node"] == classes["fp"]).select("node", "root", "first")
@@ -219,8 +223,8 @@ def _labelled(docs: DataFrame, radius: int, words: int, leaf: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = WORDS, leaf: int = LEAF) -> DataFrame:
     """doc_id, fp, component_id: every row's fingerprint and the smallest doc_id its class reaches over links.
 
-    Nulls: a null text is an empty one (fingerprint 0); a row without doc_id can't be named and is left out. Repeated
-    rows come back as often. An empty table gives no rows. Other columns are not read.
+    Nulls: a null text is an empty one (fingerprint 0); a row without doc_id is one like any other and names its class only where
+    no row has an id (component_id null). Repeated rows come back as often. An empty table gives no rows. Other columns are not read.
     """
     return _labelled(docs, radius, words, leaf).select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
@@ -234,10 +238,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the row with the smallest doc_id stays, with all its columns, and of several texts
     under that id the one with the smallest hash; a repeated row stays once. Different texts that share a doc_id are
-    judged by their fingerprints. Rows without doc_id can't be told from others and go."""
-    kept = _labelled(docs, RADIUS, WORDS, LEAF).where((F.col("doc_id") == F.col("least.doc_id")) & (F.col("key") == F.col("least.key")))
+    judged by their fingerprints. Rows without doc_id come after all others: one stays, of the smallest hash, where a class has no
+    other. A null text is an empty one. An empty table gives no rows."""
+    kept = _labelled(docs, RADIUS, WORDS, LEAF).where(F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("key") == F.col("least.key")))
     kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key")).distinct()
-    rows = docs.join(kept, (docs["doc_id"].cast("long") == kept["_kept_id"]) & (_key(docs) == kept["_kept_key"]), "left_semi")
+    rows = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (_key(docs) == kept["_kept_key"]), "left_semi")
     # rows of one id and text may differ in other columns: a hash of these chooses, so that reruns agree
     plain = [docs[f"`{n}`"] for n, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
     whole = rows.select(F.struct(*[docs[f"`{n}`"] for n in docs.columns]).alias("row"), docs["doc_id"].alias("id"), _key(docs).alias("key"), F.xxhash64(*plain).alias("draw"))
