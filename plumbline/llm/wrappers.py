@@ -40,7 +40,7 @@ PERIOD = 3
 #: A text is the template's own if it stands unchanged in at least so many different pages and is no longer.
 SAME_PAGES = 4
 SAME_CHARS = 200
-#: Share of the running text that an element must hold for its siblings to be left out.
+#: Share of the running text that an element must hold for its siblings to be left out; those with headings or paragraphs never are.
 HOLDS = 0.8
 #: Elements deeper than this are read as text of the element that holds them.
 DEPTH = 100
@@ -63,8 +63,10 @@ _NOISE = set(
     promotion recommended related replies reply respond search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription taboola tags teaser toolbar widget
     widgets alert""".split()
 )
+_COMMENTS = set("comment comments commentlist discussion disqus replies reply respond".split())
 _LISTS = set("p li td blockquote pre ul ol dl table".split())
 _HEADING = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+_SAYS = _HEADING | set("p blockquote pre".split())
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({_SKIPPED})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I
@@ -76,10 +78,10 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 class Element:
     """kids: Elements, and runs of text between them as (text, characters in links)."""
 
-    __slots__ = ("tag", "key", "kids", "noise", "kind")
+    __slots__ = ("tag", "key", "kids", "noise", "kind", "doubtful")
 
     def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.kids, self.noise, self.kind = tag, [], tag in _NOT_ARTICLE, ""
+        self.tag, self.kids, self.noise, self.kind, self.doubtful = tag, [], tag in _NOT_ARTICLE, "", False
         found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attributes)} if attributes else {}
         classes = found.get("class", "")
         self.key = f"{tag}.{' '.join(re.sub('[0-9]+', '', classes).split())}" if classes else tag
@@ -91,12 +93,33 @@ class Element:
             self.kind = self.kind or tag
         if tag not in ("html", "body", "main", "article") or "comment" in classes.lower():
             marks = f"{classes} {found.get('id', '')} {found.get('role', '')}".split()
-            words = {w.lower() for m in marks if not re.match("(has|no|with|without)-", m) for w in _WORDS.findall(m)}
-            self.noise = self.noise or bool(words & _NOISE)
+            words = {w.lower() for m in marks if not re.match("(has|no|with|without)-", m) for w in _WORDS.findall(m)} & _NOISE
+            # a name that only has such a word in it may be that of a frame around the article
+            self.doubtful = bool(words) and not (self.noise or words & _COMMENTS or {m.lower() for m in marks} & _NOISE)
+            self.noise = self.noise or bool(words)
         if found.get("aria-hidden", "").lower() == "true":
             self.noise = True
 
 
+def _clear(root: Element) -> None:
+    """Elements whose name only suggests that they are not the article, but that hold most of the page's running text, may be it."""
+    held: dict[int, int] = {}
+
+    def weigh(e: Element) -> int:
+        held[id(e)] = total = sum(_running(k) if isinstance(k, tuple) else weigh(k) for k in e.kids)
+        return total
+
+    def clear(e: Element) -> None:
+        for k in e.kids:
+            if isinstance(k, Element) and 2 * held[id(k)] > total:
+                if k.doubtful:
+                    k.noise = False
+                clear(k)
+
+    total = weigh(root)
+    clear(root)
+
+
 def parse(html: str) -> Element:
     """The tree of a page's block elements. Ends that are left out are taken where HTML ends an element by itself."""
     root = Element("html")
@@ -166,6 +189,7 @@ def parse(html: str) -> Element:
         stack.append(element)
     add(html[at:])
     close_run()
+    _clear(root)
     return root
 
 
@@ -346,8 +370,17 @@ def _inside(node, path: str = ""):
             yield from _inside(k, here)
 
 
+def _says(node) -> bool:
+    """Whether a node is a heading or paragraph of running text; in an expression, of text that is not the same in its pages."""
+    if node.tag not in _SAYS:
+        return False
+    pieces = node.kids if isinstance(node, Element) else [s for g in node.groups or [] for s in g.slots]
+    return any(_running(k) if isinstance(k, tuple) else isinstance(k, Slot) and k.chars and k.text is None for k in pieces)
+
+
 def choose(root):
-    """The element of the article: the weightiest article, else main, else the deepest that holds most running text."""
+    """The element of the article: the weightiest article, else main, else the deepest that holds most running text and has no
+    heading or paragraph beside it."""
     marked: dict[str, list] = {"article": [], "main": []}
     for _, k in _inside(root):
         if k.kind in marked:
@@ -362,7 +395,7 @@ def choose(root):
     while True:
         total, kids = _weigh(node)
         weight, heaviest = max(kids, key=lambda x: x[0], default=(0, None))
-        if heaviest is None or weight < HOLDS * total or heaviest.tag in _LISTS:
+        if heaviest is None or weight < HOLDS * total or heaviest.tag in _LISTS or any(_says(k) for _, k in kids if k is not heaviest):
             return node
         node = heaviest
 
@@ -448,18 +481,19 @@ def _match(element: Element, pattern: Pattern | None):
     return out
 
 
-def _read(element: Element, pattern: Pattern | None, out: list[str], path: str = "", fixed: frozenset = frozenset(), repeats: bool = False) -> None:
+def _read(element: Element, pattern: Pattern | None, out: list[str], path: str = "", fixed: frozenset = frozenset(), repeats: bool = False, inside: bool = False) -> None:
+    inside = inside or element.kind == "article"  # what an article element holds is its text, whoever else has it
     for kid, slot, repeated in _match(element, pattern):
         if isinstance(kid, tuple):
-            own = isinstance(slot, Slot) and slot.text == kid[0] and slot.pages >= SAME_PAGES and len(kid[0]) <= SAME_CHARS and not repeated
-            if not own and fixed and not (repeats or repeated) and isinstance(slot, Slot) and slot.text == kid[0] and len(kid[0]) <= SAME_CHARS:
+            own = not inside and isinstance(slot, Slot) and slot.text == kid[0] and slot.pages >= SAME_PAGES and len(kid[0]) <= SAME_CHARS and not repeated
+            if not own and not inside and fixed and not (repeats or repeated) and isinstance(slot, Slot) and slot.text == kid[0] and len(kid[0]) <= SAME_CHARS:
                 own = _long(path, kid[0]) in fixed
             if not own:
                 out.append(kid[0])
         elif kid.tag == "header":
             _headings(kid, out)
         elif not kid.noise:
-            _read(kid, slot if isinstance(slot, Pattern) else None, out, f"{path}/{kid.key}", fixed, repeats or repeated)
+            _read(kid, slot if isinstance(slot, Pattern) else None, out, f"{path}/{kid.key}", fixed, repeats or repeated, inside)
 
 
 def _headings(element: Element, out: list[str]) -> None:

@@ -99,3 +99,40 @@ def test_merged_parts_hold_all_pages():
     w.merge(first, second)
     assert w._weight(first) == w._weight(whole)
     assert sorted(n for _, n in w._fixed(first)) == sorted(n for _, n in w._fixed(whole))
+
+
+BODY = [f"Sentence number {i} of a body that goes on for quite a while here." for i in range(9)]
+
+
+def _framed(frame, i):
+    lead, end = f"A lead of page {i} in a line.", f"The end of page {i} in a line."
+    body = [f"{x} ({i})" for x in BODY]
+    html = frame.format(i=i, lead=lead, end=end, body="".join(f"<p>{x}</p>" for x in body))
+    return f"<html><body><div class=top><a href=/>Home</a></div>{html}<footer>foot {i}</footer></body></html>", [f"Title {i}", lead, *body, end]
+
+
+@pytest.mark.parametrize(
+    "frame",
+    [
+        "<div id=content><h1>Title {i}</h1><p>{lead}</p><div class=body>{body}</div><p>{end}</p></div>",
+        "<div class=elementor-widget-container><h1>Title {i}</h1><p>{lead}</p><div>{body}</div><p>{end}</p></div><div class=widget><p>Buy this thing now {i}</p></div>",
+        "<div class='content-with-sidebar'><h1>Title {i}</h1><p>{lead}</p>{body}<p>{end}</p></div><div class=sidebar><p>short {i}</p></div>",
+        "<article><h1>Title {i}</h1><p>{lead}</p>{body}<p>{end}</p><div class=related-posts><p>Read more of this {i}</p></div></article>",
+    ],
+)
+def test_no_part_of_the_article_is_lost(frame):
+    """Siblings of a body, and articles in frames whose names have a word of what is no article: alone and on a host."""
+    pages = [_framed(frame, i) for i in range(6)]
+    wrapper = w.infer([h for h, _ in pages])
+    for html, want in pages:
+        assert w.extract(html).split("\n\n") == want
+        assert w.extract(html, wrapper).split("\n\n") == want
+
+
+def test_what_an_article_shares_with_others_stays(spark):
+    rng = random.Random(6)
+    html = "<html><body><div class=top><p>Read our paper today.</p></div><article><h1>T{}</h1><p>{}</p><h2>Conclusion</h2><p>Thanks for reading.</p></article></body></html>"
+    rows = [(i, f"http://one.example/{i}", html.format(i, words(rng, 30)), "", "", 0) for i in range(12)]
+    for r in w.main_text(spark.createDataFrame(rows, SCHEMA)).collect():
+        blocks = r["text"].split("\n\n")
+        assert len(blocks) == 4 and blocks[2:] == ["Conclusion", "Thanks for reading."]
