@@ -115,3 +115,15 @@ def test_empty_token_files(spark):
     path = scratch_path(spark, "tokens")
     simple8b.write_tokens(empty(spark), path, LOWER)
     assert simple8b.read_checksums(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("file", [LOWER, BYTES])
+def test_signs_after_every_letter(file):
+    """Letters whose normal form ends in a mark, and letters that are none to the tokenizer, keep the signs after them."""
+    from plumbline.llm.tokens import Encoder
+
+    enc = Encoder(file)
+    texts = [f"a {chr(c)}-- b" for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    flat, at = enc.encode(pa.array(texts))
+    want = enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, a, b, e in zip(texts, at, at[1:], want) if flat[a:b].tolist() != e.ids] == []
