@@ -28,7 +28,7 @@ from plumbline.llm.tokens import runs
 COUNT, COVERED, TOP = 10, 50, 2000
 SCALE = 1_000_000
 #: Bytes of text of a shard, words of a prefix range on average, and windows a range holds before they are united.
-SHARD_BYTES, RANGE_WORDS, HELD = 12 << 20, 1_000_000, 4_000_000
+SHARD_BYTES, RANGE_WORDS, HELD = 4 << 20, 600_000, 1_500_000
 #: Bytes of text that prefixes are drawn from, prefixes drawn from a batch and from all, which bounds the number of ranges.
 SAMPLE_BYTES, SAMPLE_BATCH, SAMPLE = 24 << 20, 4_000, 100_000
 UNKNOWN = "und"
@@ -49,7 +49,7 @@ class Windows(NamedTuple):
 def _collapse(langs, words, lang, a, b, c, n) -> Windows:
     """Sort windows and add up equal ones."""
     if not len(a):
-        return Windows(langs, words, lang, a, b, c, n)
+        return Windows(langs, words, lang, a, b, c, np.zeros(0, np.int64))
     bits = len(words).bit_length()
     if 3 * bits + len(langs).bit_length() < 64:
         key = ((lang << bits | a) << bits | b) << bits | c
@@ -294,11 +294,16 @@ def _shards(bounds: list[tuple[str, str, str]], shard_bytes: int):
 
         held, size = [], 0
         for b in batches:
-            held.append(b)
-            size += b.nbytes
-            if size >= shard_bytes:
-                yield from emit(held)
-                held, size = [], 0
+            upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            lo, before = 0, 0
+            while lo < b.num_rows:
+                hi = min(b.num_rows, int(np.searchsorted(upto, before + shard_bytes - size)) + 1)
+                held.append(b.slice(lo, hi - lo))
+                size += int(upto[hi - 1]) - before
+                lo, before = hi, int(upto[hi - 1])
+                if size >= shard_bytes:
+                    yield from emit(held)
+                    held, size = [], 0
         if held:
             yield from emit(held)
 
