@@ -9,6 +9,7 @@ word only when a worker has not met it. Texts with other white space go to the t
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -20,6 +21,8 @@ import pyarrow.compute as pc
 CACHED_WORDS = 700_000
 #: Words given to the tokenizer at once.
 BATCH = 2_000
+#: Plain words put into one line for it.
+LINE = 50
 
 _PUNCT = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: White space side by side or at an end, or other than blanks and line ends; the mark that pieces are cut at.
@@ -39,6 +42,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(file)
         self.spaced = self.tokenizer.normalizer is None  # byte-level: a blank belongs to the word after it
+        # words that are one to the tokenizer too, whatever stands beside them; a byte-level one has its blank with it
+        self.plain, self.joint = re.compile((" " if self.spaced else "") + "[A-Za-zÀ-ÖØ-öø-ÿ]+"), "" if self.spaced else " "
+        self.letters: dict[str, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
@@ -46,11 +52,30 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """All ids and the number of each word's, from plain words put into lines: the tokenizer is called for a line, not for a word."""
+        lines = [self.joint.join(words[i : i + LINE]) for i in range(0, len(words), LINE)]
+        found = self.tokenizer.encode_batch(lines, add_special_tokens=False)
+        size = np.concatenate([np.bincount(np.array(e.word_ids, np.int64), minlength=1) for e in found])
+        if len(size) != len(words):
+            return None
+        return np.fromiter(chain.from_iterable([e.ids for e in found]), np.uint32, int(size.sum())), size
+
+    def _one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.array(list(map(len, ids)), np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum())), size
+
     def _learn(self, words: list[str]) -> None:
+        plain = list(map(bool, map(self.plain.fullmatch, words)))
+        for kind in (True, False):
+            self._learn_some([w for w, p in zip(words, plain) if p is kind], kind)
+
+    def _learn_some(self, words: list[str], plain: bool) -> None:
         for i in range(0, len(words), BATCH):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + BATCH], add_special_tokens=False)]
-            size, first, last = np.array(list(map(len, ids))), len(self.place), len(self.place) + len(ids)
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+            some = words[i : i + BATCH]
+            flat, size = (self._lines(some) if plain else None) or self._one_by_one(some)
+            first, last = len(self.place), len(self.place) + len(some)
             while self.used + len(flat) > len(self.pool):
                 self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
             while last > len(self.start):
@@ -59,7 +84,7 @@ class Encoder:
             self.start[first:last] = self.used + np.cumsum(size) - size
             self.length[first:last] = size
             self.used += len(flat)
-            self.place.update(zip(words[i : i + BATCH], range(first, last)))
+            self.place.update(zip(some, range(first, last)))
 
     def _known(self, words: pa.Array) -> np.ndarray:
         """The place in the pool of every word; those met for the first time go to the tokenizer."""
@@ -71,6 +96,13 @@ class Encoder:
             found = list(map(self.place.__getitem__, distinct))
         return np.array(found, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
 
+    def _ends_word(self, letter: str) -> bool:
+        """Whether signs after the letter are a word of their own. The normal form of some letters ends in a mark, which joins them."""
+        if letter not in self.letters:
+            self.letters[letter] = all((self._plain(letter + x) == np.concatenate([self._plain(letter), self._plain(x)])).all()
+                                       if len(self._plain(letter + x)) == len(self._plain(letter)) + len(self._plain(x)) else False for x in ("--", "."))
+        return self.letters[letter]
+
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Two places in the pool for every piece: of its word and of the signs after it."""
         if len(self.place) > CACHED_WORDS:
@@ -78,6 +110,10 @@ class Encoder:
         # a word and the signs after it are two words to both vocabularies
         core = pc.utf8_rtrim(pieces, characters=_PUNCT)
         cut = pc.and_(pc.and_(pc.not_equal(core, pieces), pc.match_substring_regex(core, r"[\pL\pN]$")), pc.invert(pc.match_substring(pieces, "<|")))
+        other = core.filter(pc.and_(cut, pc.invert(pc.string_is_ascii(core))))
+        bad = [c for c in pc.utf8_slice_codeunits(other, -1).unique().to_pylist() if not self._ends_word(c)]
+        if bad:
+            cut = pc.and_(cut, pc.invert(pc.is_in(pc.utf8_slice_codeunits(core, -1), pa.array(bad, core.type))))
         out = np.zeros((len(pieces), 2), np.int64)
         out[:, 0] = self._known(pc.if_else(cut, core, pieces))
         signs = pc.replace_substring_regex(pieces.filter(cut), r"(?s)^.*[\pL\pN]", "")
