@@ -123,7 +123,7 @@ def _clear(root: Element) -> None:
 def parse(html: str) -> Element:
     """The tree of a page's block elements. Ends that are left out are taken where HTML ends an element by itself."""
     root = Element("html")
-    stack, text, links, in_link = [root], [], 0, False
+    stack, text, links, in_link, doubtful = [root], [], 0, False, False
     at = 0
 
     def close_run():
@@ -185,11 +185,13 @@ def parse(html: str) -> Element:
         if tag in _VOID or len(stack) > DEPTH:
             continue
         element = Element(tag, m[4])
+        doubtful |= element.doubtful
         stack[-1].kids.append(element)
         stack.append(element)
     add(html[at:])
     close_run()
-    _clear(root)
+    if doubtful:
+        _clear(root)
     return root
 
 
