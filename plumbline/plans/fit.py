@@ -24,6 +24,8 @@ INIT = ("svd", "random", "custom")
 ROTATION = ("fast", "slow", "identity")
 # Basis sums of the models that share a pass; more models take turns.
 WAVE_BYTES = 64 << 20
+# Largest basis that the driver takes and sends out.
+BASIS_BYTES = 512 << 20
 
 
 @dataclass(frozen=True)
@@ -275,12 +277,11 @@ def fit_many(
         return {}
     passes = Passes(objects, ["y", "w"], buckets, ready)
     m = passes.width
-    # a rank is held to the objects of the model's own group
-    sizes = {r["grp"]: r["n"] for r in passes.objects.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("grp").isin(sorted({s.grp for s in specs}))).collect()}
     for s in specs:
-        most = min(sizes.get(s.grp, 0), m)
-        if not 1 <= s.k <= most:
-            raise ValueError(f"rank {s.k} of {s.model_id} is outside 1 .. {most}")
+        if not 1 <= s.k <= min(passes.n_objects, m):
+            raise ValueError(f"rank {s.k} of {s.model_id} is outside 1 .. {min(passes.n_objects, m)}")
+        if 8 * m * s.k > BASIS_BYTES:
+            raise ValueError(f"the basis of {s.model_id} has {8 * m * s.k >> 20} MB, more than the driver takes")
     waves: list[list[ModelSpec]] = [[]]
     size = 0
     for s in specs:
