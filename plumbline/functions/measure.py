@@ -72,3 +72,10 @@ def air_to_vacuum(x_nm: Column, decimals: int | None = None) -> Column:
 
     out = F.aggregate(F.sequence(F.lit(1), F.lit(AIR_STEPS)), x_nm.cast("double"), refine)
     return out if decimals is None else F.round(out, decimals)
+
+
+def air_to_vacuum_text(written: Column) -> Column:
+    """The same for numbers as they are written: each answer has as many decimals as its own text. Null for what is no number."""
+    decimals = F.length(F.coalesce(F.get(F.split(F.trim(written), "[.]"), F.lit(1)), F.lit("")))
+    vacuum = air_to_vacuum(written.try_cast("double"))
+    return F.when(vacuum.isNotNull(), F.printf(F.concat(F.lit("%."), decimals.cast("string"), F.lit("f")), vacuum))

@@ -8,6 +8,7 @@ groups of objects, share each pass.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -38,10 +39,23 @@ class ModelSpec:
     grp: int = 0
 
 
+@dataclass(frozen=True)
+class Check:
+    """What a stopping rule of one's own sees at a check: the cycles done, the basis now and at the check before, and the
+    losses known by then (that of the cycle just done is not yet among them)."""
+
+    n_iter: int
+    g: np.ndarray
+    seen_g: np.ndarray
+    losses: tuple[float, ...]
+
+
 @dataclass(frozen=True)
 class Settings:
-    init: str = "svd"
-    conv: str = "max_frac_G"
+    # a name, or a function of (objects, k) that gives (G, coefficients); without coefficients (None) the weights give them
+    init: str | Callable = "svd"
+    # a name, or a function that is given a Check and tells whether the fit has settled
+    conv: str | Callable = "max_frac_G"
     tol: float = 1e-3
     max_iter: int = 1000
     check_every: int = 10
@@ -58,6 +72,8 @@ class Settings:
 
     def __post_init__(self):
         for name, allowed in (("init", INIT), ("conv", CONV), ("rotation", ROTATION), ("reweight", ("once", "each")), ("target", ("A", "G", "none"))):
+            if callable(getattr(self, name)) and name in ("init", "conv"):
+                continue
             if getattr(self, name) not in allowed:
                 raise ValueError(f"{name} must be one of {allowed}, got {getattr(self, name)!r}")
         if self.ridge is not None and self.ridge < 0:
@@ -82,6 +98,8 @@ class FittedModel:
     training: DataFrame | None = None
     # where the coefficients lie: the table shared by the models of a wave, and their columns in it
     slot: "tuple[DataFrame, Column] | None" = None
+    # entries that are NaN after each cycle, in A, in G and in the robust weights
+    nan_history: list[tuple[int, int, int]] = field(default_factory=list)
 
     @property
     def model_id(self) -> str:
@@ -105,6 +123,12 @@ class FittedModel:
         rows = [(self.model_id, i, float(x)) for i, x in enumerate(self.loss_history)]
         return self.spark.createDataFrame(rows, "model_id string, iter int, loss double")
 
+    @property
+    def nan_counts(self) -> DataFrame:
+        """Entries of the coefficients, the basis and the robust weights that a cycle left NaN. A fit stops at the first."""
+        rows = [(self.model_id, i, *counts) for i, counts in enumerate(self.nan_history)]
+        return self.spark.createDataFrame(rows, "model_id string, iter int, nan_a bigint, nan_g bigint, nan_w bigint")
+
     def with_coeffs(self, coeffs: DataFrame) -> "FittedModel":
         return replace(self, coeffs=coeffs, training=None, slot=None)
 
@@ -152,6 +176,7 @@ class _Turn:
     seen_g: np.ndarray | None = None
     seen_loss: float = np.inf
     losses: list[float] = field(default_factory=list)
+    bad: list[tuple[int, int, int]] = field(default_factory=list)
     size: float = 0.0
 
     def __post_init__(self):
@@ -213,7 +238,7 @@ def _als_step(turns, width: int, settings: Settings, note: bool, compare: bool):
             else:
                 a = state[rows, own] @ m["t"]
             r = y - a @ g.T
-            sums.add(m["scalars"], np.array([[loss.loss_np(w, r).sum(), (a * a).sum(), a.size]]))
+            before = loss.loss_np(w, r).sum(), (a * a).sum(), a.size
             if remember:
                 out[rows, mark] = a if note else state[rows, mark]
                 if compare:
@@ -223,6 +248,7 @@ def _als_step(turns, width: int, settings: Settings, note: bool, compare: bool):
             if each:
                 r = y - a @ g.T
                 wt = w * loss.weight_np(w, r)
+            sums.add(m["scalars"], np.array([[*before, np.isnan(a).sum(), np.isnan(wt).sum()]]))
             sums.add(m["normal"], kernels.g_sums(y, wt, a))
             sums.add(m["gram"], a.T @ a)
             out[rows, own] = a
@@ -275,6 +301,7 @@ def fit_many(
     """
     if not specs:
         return {}
+    settings, init = _own_start(objects, specs, settings, init)
     passes = Passes(objects, ["y", "w"], buckets, ready)
     m = passes.width
     for s in specs:
@@ -382,6 +409,21 @@ def frac_change(old: np.ndarray, new: np.ndarray) -> float:
     return float(((old - new) ** 2).max() / (new * new).mean())
 
 
+def stops(settings: Settings, n_iter: int, g: np.ndarray, seen_g: np.ndarray, losses: list[float]) -> bool:
+    """Whether a rule that looks at the basis, or one of the user's own, ends a fit at a check."""
+    if callable(settings.conv):
+        return bool(settings.conv(Check(n_iter, g, seen_g, tuple(losses))))
+    return settings.conv == "max_frac_G" and frac_change(seen_g, g) < settings.tol
+
+
+def _own_start(objects: DataFrame, specs: list[ModelSpec], settings: Settings, init: dict | None) -> tuple[Settings, dict | None]:
+    """Let a start of the user's own make the basis of every model, from the objects of its group."""
+    if not callable(settings.init):
+        return settings, init
+    made = {s.model_id: settings.init(objects.filter(F.col("grp") == s.grp), s.k) for s in specs}
+    return replace(settings, init="custom"), made
+
+
 def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init: dict) -> dict[str, FittedModel]:
     sc = passes.spark.sparkContext
     turns = _start(passes, specs, settings, init)
@@ -399,14 +441,14 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
         shapes = {}
         for t in live:
             k = t.spec.k
-            shapes.update({t.normal: (passes.width, k * (k + 3) // 2), t.gram: (k, k), t.scalars: (1, 3)})
+            shapes.update({t.normal: (passes.width, k * (k + 3) // 2), t.gram: (k, k), t.scalars: (1, 5)})
         # Coefficients in hand are those after cycle i - 1; they are compared and remembered if that was a check.
         step = _als_step(told, width, settings, note=i == 0 or is_check(i - 1), compare=is_check(i - 1))
         sums = passes.run(step, shapes, rows=rows, ranks={t.normal: t.spec.k for t in live}, ridge=settings.ridge)
         told.unpersist()
         rows = None
         for t in live:
-            loss, size_a, cells = sums[t.scalars][0]
+            loss, size_a, cells, bad_a, bad_w = sums[t.scalars][0]
             if i:
                 t.losses.append(loss)
                 if cells != t.size:
@@ -424,11 +466,16 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
                     continue
             k = t.spec.k
             g = sums[t.normal]
+            t.bad.append((int(bad_a), int(np.isnan(g).sum()), int(bad_w)))
+            if any(t.bad[-1]):
+                # no later cycle mends it; the counts tell where it began
+                t.live, t.g, t.t, t.start, t.n_iter = False, g, np.eye(k), None, i + 1
+                continue
             turn, back = _rotation(settings, sums[t.gram], g.T @ g) if i else rotate.identity(k)
             t.g, t.t, t.start, t.n_iter = g @ back, turn, None, i + 1
             t.gram_a = turn.T @ sums[t.gram] @ turn
-            if settings.conv == "max_frac_G" and is_check(i):
-                if frac_change(t.seen_g, t.g) < settings.tol:
+            if is_check(i):
+                if stops(settings, t.n_iter, t.g, t.seen_g, t.losses):
                     t.live, t.converged = False, True
                 t.seen_g = t.g
         passes.forget_before()
@@ -439,7 +486,7 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
     due = [later and t.live and is_check(t.n_iter - 1) for t in turns]
     for t, m, check in zip(turns, told, due):
         m["check"] = t.t if check and settings.conv == "max_frac_A" else None
-        if settings.order:
+        if settings.order and not any(t.bad[-1]):
             turn, back = rotate.principal(t.gram_a, t.g.T @ t.g)
             m["t"], m["g"] = t.t @ turn, t.g @ back
             t.g = m["g"]
@@ -463,7 +510,7 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
         coeffs = final.filter(mine).select("obj_id", a, n_valid.alias("n_valid"))
         training = passes.rows(final).filter(mine).select("obj_id", "y", "w", a, n_valid.alias("n_valid"))
         out[t.spec.model_id] = FittedModel(
-            passes.spark, t.spec, t.g, coeffs, [float(x) for x in t.losses], t.n_iter, t.converged, settings.ridge, training, (final, a)
+            passes.spark, t.spec, t.g, coeffs, [float(x) for x in t.losses], t.n_iter, t.converged, settings.ridge, training, (final, a), t.bad
         )
     return out
 
@@ -504,6 +551,7 @@ class Factorizer:
         method: str = "als",
         learning_rate: float = 1e-3,
         rotate_every: int | None = None,
+        optimiser=None,
         **settings,
     ):
         if method not in ("als", "sgd"):
@@ -512,6 +560,8 @@ class Factorizer:
             raise ValueError("rotate_every is a number of gradient steps; the alternating fit rotates every cycle")
         if method == "sgd" and settings.get("reweight", "once") != "once":
             raise ValueError("a gradient step weighs every cell once")
+        if optimiser is not None and method != "sgd":
+            raise ValueError("an optimiser takes gradient steps; the alternating fit solves its systems")
         if k < 1:
             raise ValueError(f"rank must be at least 1, got {k}")
         self.k = k
@@ -519,6 +569,7 @@ class Factorizer:
         self.method = method
         self.learning_rate = learning_rate
         self.rotate_every = rotate_every
+        self.optimiser = optimiser
         self.settings = Settings(**settings)
 
     def fit(self, objects: DataFrame, model_id: str = "model", start: FittedModel | tuple | None = None, buckets: int | None = None, **changes) -> FittedModel:
@@ -533,5 +584,5 @@ class Factorizer:
         if self.method == "sgd":
             from plumbline.plans.gradient import fit_gradient
 
-            return fit_gradient(rows, spec, settings, init, self.learning_rate, buckets, self.rotate_every)
+            return fit_gradient(rows, spec, settings, init, self.learning_rate, buckets, self.rotate_every, self.optimiser)
         return fit_many(rows, [spec], settings, init, buckets)[model_id]

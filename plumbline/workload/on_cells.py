@@ -402,11 +402,13 @@ def dedupe_lines(spark, sf_dir):
 
 def _vacuum(x: str) -> str:
     out = x
-    steps = "v0 AS (SELECT p_partkey, p_retailprice AS air, p_retailprice AS vac FROM part)"
-    for i in range(1, 11):
-        s2 = "(1000.0 / vac) ** 2"
-        steps += f", v{i} AS (SELECT p_partkey, air, air * (1 + (8342.54 + 2406147.0 / (130.0 - {s2}) + 15998.0 / (38.9 - {s2})) * 1e-8) AS vac FROM v{i - 1})"
-    return f"WITH {steps} SELECT p_partkey, {rd('vac')} AS {out}, round(vac, 3) AS rounded FROM v10"
+    return f"WITH {_VACUUM} SELECT p_partkey, {rd('vac')} AS {out}, round(vac, 3) AS rounded FROM v10"
+
+
+_VACUUM = "v0 AS (SELECT p_partkey, p_retailprice AS air, p_retailprice AS vac FROM part)"
+for _i in range(1, 11):
+    _S2 = "(1000.0 / vac) ** 2"
+    _VACUUM += f", v{_i} AS (SELECT p_partkey, air, air * (1 + (8342.54 + 2406147.0 / (130.0 - {_S2}) + 15998.0 / (38.9 - {_S2})) * 1e-8) AS vac FROM v{_i - 1})"
 
 
 @query(_vacuum("vacuum"))
@@ -416,3 +418,10 @@ def air_to_vacuum(spark, sf_dir):
     return tidy(part.select("p_partkey", measure.air_to_vacuum(x).alias("vacuum"), measure.air_to_vacuum(x, 3).alias("rounded")))
 
 
+@query(f"""WITH {_VACUUM}, t AS (SELECT *, length(split_part(air::VARCHAR, '.', 2)) AS d FROM v10)
+SELECT p_partkey, d::INTEGER AS decimals, CASE d WHEN 1 THEN printf('%.1f', vac) ELSE printf('%.2f', vac) END AS vacuum FROM t""")
+def air_to_vacuum_written(spark, sf_dir):
+    """Wavelengths as texts, each converted to as many decimals as it is written with."""
+    written = F.col("p_retailprice").cast("string")
+    decimals = F.length(F.split(written, "[.]")[1]).alias("decimals")
+    return table(spark, sf_dir, "part").select("p_partkey", decimals, measure.air_to_vacuum_text(written).alias("vacuum"))

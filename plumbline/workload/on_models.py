@@ -10,6 +10,7 @@ from plumbline.functions.scores import ARRAY_SCORES
 from plumbline.operators import bins, cells as ops, diagnose, prepare
 from plumbline.plans import baselines, population, score as scoring, start
 from plumbline.plans.fit import FittedModel, Settings
+from plumbline.plans.optimisers import Momentum
 from plumbline.plans.passes import Passes
 from plumbline.runtime import checkpointed, scratch_path
 from plumbline.sources import store
@@ -361,16 +362,18 @@ def rotations(spark, sf_dir):
     return tidy(spark.createDataFrame(rows, "rotation string, loss double, orthonormal boolean"), 4)
 
 
-def _gradient_sql(rate: float, n_features: int) -> str:
-    """Two adaptive gradient steps at rank one. Features without data have a zero gradient and basis; they count in the means."""
-    beta = 1 - 2.0**-0.9
-
-    def grads(i: int) -> str:
-        return f""",
+def _gradients_sql(i: int) -> str:
+    """Gradients of A and G at step i of rank one."""
+    return f""",
 p{i} AS (SELECT obj_id, feat_id, a, g, -2 * w * {Q2} / ({Q2} + w * (y - a*g) * (y - a*g)) * (y - a*g) AS pull FROM cells JOIN a{i} USING (obj_id) JOIN g{i} USING (feat_id)),
 da{i} AS (SELECT obj_id, sum(pull * g) AS d FROM p{i} GROUP BY 1),
 dg{i} AS (SELECT feat_id, sum(pull * a) AS d FROM p{i} GROUP BY 1)"""
 
+
+def _gradient_sql(rate: float, n_features: int) -> str:
+    """Two adaptive gradient steps at rank one. Features without data have a zero gradient and basis; they count in the means."""
+    beta = 1 - 2.0**-0.9
+
     def move(i: int, side: str, key: str, n: str) -> str:
         v = f"{side}v{i + 1}"
         before = f"{beta!r}::DOUBLE * o.v + {1 - beta!r}::DOUBLE * d * d" if i else "d * d"
@@ -383,7 +386,7 @@ dg{i} AS (SELECT feat_id, sum(pull * a) AS d FROM p{i} GROUP BY 1)"""
 
     out = als_sql(0)
     for i in range(2):
-        out += grads(i) + move(i, "a", "obj_id", "(SELECT count(*) FROM a0)") + move(i, "g", "feat_id", f"{n_features}.0::DOUBLE")
+        out += _gradients_sql(i) + move(i, "a", "obj_id", "(SELECT count(*) FROM a0)") + move(i, "g", "feat_id", f"{n_features}.0::DOUBLE")
     return f"WITH {out} " + " UNION ALL ".join(
         f"SELECT {i - 1} AS iter, {rd(f'{Q2} * sum(ln(1 + w * (y - a*g) * (y - a*g) / {Q2}))', 4)} AS loss FROM cells JOIN a{i} USING (obj_id) JOIN g{i} USING (feat_id)"
         for i in (1, 2)
@@ -398,6 +401,56 @@ def gradient_fit(spark, sf_dir):
     return tidy(m.history.select("iter", "loss"), 4)
 
 
+# Settings of the fit by an optimiser of one's own: rate, momentum, steps.
+_OWN = (1e-7, 0.5, 3)
+
+
+def _momentum_sql() -> str:
+    rate, beta, steps = _OWN
+    out = als_sql(0)
+    for i in range(steps):
+        out += _gradients_sql(i)
+        for side, key in (("a", "obj_id"), ("g", "feat_id")):
+            u = f"{beta} * o.u + d" if i else "d"
+            old = f" JOIN {side}u{i - 1} o USING ({key})" if i else ""
+            out += f""",
+{side}u{i} AS (SELECT {key}, {u} AS u FROM d{side}{i}{old}),
+{side}{i + 1} AS (SELECT {key}, {side} - {rate!r}::DOUBLE * u AS {side} FROM {side}{i} JOIN {side}u{i} USING ({key}))"""
+    return f"WITH {out} " + " UNION ALL ".join(
+        f"SELECT {i - 1} AS iter, true AS converged, {rd(f'{Q2} * sum(ln(1 + w * (y - a*g) * (y - a*g) / {Q2}))', 4)} AS loss FROM cells JOIN a{i} USING (obj_id) JOIN g{i} USING (feat_id)"
+        for i in range(1, steps + 1)
+    )
+
+
+@query(_momentum_sql())
+def own_optimiser(spark, sf_dir):
+    """Losses of a gradient fit with an optimiser, a start and a stopping rule that are not the library's own choice."""
+    rate, beta, steps = _OWN
+    fit = Factorizer(
+        1, scale=Q, method="sgd", optimiser=Momentum(rate, beta), init=lambda objects, k: _mean_start(objects),
+        conv=lambda check: check.n_iter >= steps, check_every=1, max_iter=10,
+    )
+    m = fit.fit(_objects(spark, sf_dir))
+    return tidy(m.history.select("iter", F.lit(m.converged).alias("converged"), "loss"), 4)
+
+
+@query(f"""WITH {PRICES}, n AS (SELECT count(DISTINCT obj_id) AS a, count(*) AS w FROM cells WHERE obj_id % 7 = 0 AND feat_id = obj_id % {N_MONTHS})
+SELECT false AS planted, i AS iter, 0 AS nan_a, 0 AS nan_g, 0 AS nan_w FROM (VALUES (0), (1)) t(i)
+UNION ALL SELECT a > 0, 0, a, CASE WHEN a > 0 THEN {N_MONTHS} ELSE 0 END, w FROM n""")
+def nan_counts(spark, sf_dir):
+    """NaN left in coefficients, basis and weights by each cycle, in a clean table and in one with NaN measured in some cells."""
+    objects = _objects(spark, sf_dir)
+    begin = _mean_start(objects)
+    at = (F.col("obj_id") % N_MONTHS).cast("int")
+    hit = (F.col("obj_id") % 7 == 0) & (F.get("w", at) > 0)
+    spoilt = F.transform("y", lambda x, i: F.when(hit & (i == at), float("nan")).otherwise(x))
+    parts = []
+    for planted, rows in ((False, objects), (True, objects.withColumn("y", spoilt))):
+        m = Factorizer(1, scale=Q, conv="none", max_iter=2).fit(rows, start=begin)
+        parts.append(m.nan_counts.select(F.lit(planted).alias("planted"), "iter", "nan_a", "nan_g", "nan_w"))
+    return parts[0].unionByName(parts[1])
+
+
 @query(f"""WITH RECURSIVE
 e AS MATERIALIZED (SELECT vec_id AS obj_id, i::INTEGER AS i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) t(i)),
 gram AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM e a JOIN e b USING (obj_id) GROUP BY 1, 2),

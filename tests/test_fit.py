@@ -6,6 +6,7 @@ from problems import Problem, arrays
 from plumbline import Cauchy, Factorizer, Gaussian, ModelSpec, fit_many
 from plumbline.operators import cells as ops, prepare
 from plumbline.plans import baselines, start
+from plumbline.plans.optimisers import Momentum
 from plumbline.plans.fit import Settings, frac_change
 from plumbline.plans.passes import Passes
 import twin
@@ -259,8 +260,86 @@ def test_principal_components(spark, problem):
 def test_gradient_fit_rotates_on_the_way_and_refuses_what_it_ignores(df):
     turned = Factorizer(3, scale=Q, method="sgd", learning_rate=0.02, conv="none", max_iter=15, rotate_every=5).fit(df)
     assert len(turned.loss_history) == 15 and turned.loss_history[-1] < turned.loss_history[0]
-    with pytest.raises(ValueError):
-        Factorizer(3, method="sgd", conv="max_frac_A").fit(df)
-    for bad in ({"rotate_every": 5}, {"method": "sgd", "rotate_every": 0}, {"method": "sgd", "reweight": "each"}):
+    for bad in ({"rotate_every": 5}, {"optimiser": Momentum(1e-3)}, {"method": "sgd", "rotate_every": 0}, {"method": "sgd", "reweight": "each"}):
         with pytest.raises(ValueError):
             Factorizer(3, **bad)
+
+
+def heavy(rate):
+    """Momentum written by a user, who keeps the count of steps as a second moment. A class of its own module must be on the
+    workers' path; one made here travels by value."""
+
+    class Heavy:
+        moments = 2
+
+        def step(self, grad, moments, n):
+            assert (moments[1] == n).all()
+            along = 0.8 * moments[0] + grad
+            return along, (along, moments[1] + 1)
+
+        def scale(self, step_mean2, parameter_mean2):
+            return rate
+
+    return Heavy()
+
+
+def own_start(objects, k):
+    first = np.array([r["y"] for r in objects.orderBy("obj_id").limit(k).collect()]).T
+    return first, objects.select("obj_id", F.array(*[F.lit(0.1 * (i + 1)) for i in range(k)]).alias("a"))
+
+
+def by_numpy(problem, steps, rate, check_every, tol):
+    """The same steps on whole matrices, stopped by the change of A as the library documents it."""
+    g = problem.y[:3].T.copy()
+    a = np.tile([0.1, 0.2, 0.3], (problem.n, 1))
+    ma, mg, seen = np.zeros_like(a), np.zeros_like(g), a.copy()
+    for i in range(steps):
+        r = problem.y - a @ g.T
+        pull = -2.0 * problem.w * (Q * Q / (Q * Q + problem.w * r * r)) * r
+        ma, mg = 0.8 * ma + pull @ g, 0.8 * mg + pull.T @ a
+        a, g = a - rate * ma, g - rate * mg
+        if i and i % check_every == 0:
+            if ((a - seen) ** 2).max() / (a * a).mean() < tol:
+                return a, g, i + 1, True
+            seen = a.copy()
+    return a, g, steps, False
+
+
+@pytest.mark.parametrize("steps, tol", [(9, 0.0), (9, 1e9), (14, 1e-3)])
+def test_an_optimiser_and_a_start_of_ones_own_equal_numpy(df, problem, tol, steps):
+    a, g, n, done = by_numpy(problem, steps, 2e-5, 4, tol)
+    m = Factorizer(3, scale=Q, method="sgd", optimiser=heavy(2e-5), init=own_start, conv="max_frac_A", tol=tol, check_every=4, max_iter=steps).fit(df)
+    assert (m.n_iter, m.converged) == (n, done) and len(m.loss_history) == n
+    np.testing.assert_allclose(m.g, g, rtol=1e-8, atol=1e-10)
+    np.testing.assert_allclose(arrays(m.coeffs, "a"), a, rtol=1e-8, atol=1e-10)
+
+
+def test_a_stopping_rule_of_ones_own(df):
+    seen = []
+
+    def rule(check):
+        seen.append((check.n_iter, len(check.losses), check.g.shape))
+        return check.n_iter >= 5
+
+    m = Factorizer(3, scale=Q, conv=rule, check_every=2, max_iter=20).fit(df)
+    assert seen == [(3, 2, (40, 3)), (5, 4, (40, 3))]
+    assert m.n_iter == 5 and m.converged and len(m.loss_history) == 5
+    same = Factorizer(3, scale=Q, conv="none", max_iter=5).fit(df)
+    np.testing.assert_allclose(product(m), product(same), atol=1e-9)
+
+
+@pytest.mark.parametrize("method", ["als", "sgd"])
+def test_a_fit_that_went_bad_tells_where(spark, problem, method):
+    y = problem.y.copy()
+    y[7, 3] = np.nan
+    w = problem.w.copy()
+    w[7, 3] = 1.0
+    rows = [(i, y[i].tolist(), w[i].tolist()) for i in range(problem.n)]
+    bad = spark.createDataFrame(rows, "obj_id bigint, y array<double>, w array<double>")
+    options = {"order": True} if method == "als" else {"method": "sgd"}
+    m = Factorizer(3, scale=Q, init="random", conv="none", max_iter=5, **options).fit(bad)
+    assert not m.converged and m.n_iter == 1
+    (counts,) = [tuple(r) for r in m.nan_counts.select("iter", "nan_a", "nan_g", "nan_w").collect()]
+    assert counts == ((0, 3, 120, 1) if method == "als" else (0, 0, 3, 1))
+    fine = Factorizer(3, scale=Q, init="random", conv="none", max_iter=2).fit(problem.frame(spark))
+    assert fine.nan_history == [(0, 0, 0)] * 2

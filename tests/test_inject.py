@@ -99,3 +99,12 @@ def test_histogram_edges(spark):
     dens, _ = np.histogram(v, bins=np.linspace(0, 1, 5), density=True)
     assert [r["n"] for r in got] == list(want)
     np.testing.assert_allclose([r["density"] for r in got], dens)
+
+
+def test_a_large_draw_is_that_of_a_sort(spark):
+    ids = spark.range(300_000).select(F.col("id").alias("obj_id"))
+    for n in (0, 1, 100_000, 299_999, 300_000, 400_000):
+        got = inject.pick_objects(ids.unionAll(ids), n, 4)
+        want = ids.withColumn("u", draws.uniform(4, F.col("obj_id"))).orderBy("u", "obj_id").limit(n).select("obj_id")
+        assert got.count() == min(n, 300_000) and got.join(want, "obj_id", "left_anti").isEmpty()
+    assert inject.pick_objects(ids.limit(0), 5, 4).isEmpty()

@@ -172,6 +172,12 @@ def test_air_to_vacuum(spark):
     assert got == [pytest.approx(850.035, abs=2e-3), pytest.approx(854.444, abs=2e-3)]
 
 
+def test_air_to_vacuum_keeps_the_decimals_of_each_text(spark):
+    df = spark.createDataFrame([("849.802",), ("854.2",), ("866",), (" 866.2140 ",), ("none",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(measure.air_to_vacuum_text(F.col("t"))).collect()]
+    assert got[:4] == ["850.035", "854.4", "866", "866.4519"] and got[4:] == [None] * 3
+
+
 def test_population_pipeline(spark, tmp_path):
     p = Problem(n=160, m=20, k=2, seed=9, bad=0.02)
     df = p.frame(spark)
