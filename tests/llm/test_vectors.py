@@ -60,11 +60,11 @@ def test_few_rows_give_all(spark):
     assert rpforest.search(one, one).count() == 0
 
 
-@pytest.mark.parametrize("block", [30, 4096])
-def test_forest_search(spark, monkeypatch, block):
+@pytest.mark.parametrize("part", [10, 2_000, 8 << 20])
+def test_forest_search(spark, monkeypatch, part):
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(rpforest, "BLOCK", block)
+    monkeypatch.setattr(rpforest, "PART_BYTES", part)
 
     table, x = awkward(spark)
     rows = valid(table, "vec_id", "embedding", nonzero=True)
@@ -84,15 +84,60 @@ def test_forest_search(spark, monkeypatch, block):
         assert copies == [i for i in [0, *range(200, 400)] if i != q][: len(copies)]
 
 
+def shapes(n, dim, rng):
+    """Vectors spread evenly, of unlike length, in clusters, and in a few dimensions."""
+    even = rng.normal(size=(n, dim))
+    clusters = rng.normal(size=(n // 100, dim))[rng.integers(0, n // 100, n)] + 0.2 * rng.normal(size=(n, dim))
+    few = rng.normal(size=(n, 5)) @ rng.normal(size=(5, dim)) + 0.05 * rng.normal(size=(n, dim))
+    unit = [x / np.linalg.norm(x, axis=1, keepdims=True) for x in (even, clusters, few)]
+    return {"even": unit[0], "unlike": even * rng.lognormal(0, 0.5, (n, 1)), "clusters": unit[1], "few": unit[2]}
+
+
+@pytest.mark.parametrize("shape, most", [("even", 1.0), ("unlike", 1.0), ("clusters", 0.1), ("few", 0.2)])
+def test_recall_whatever_the_lengths_and_less_work_where_there_is_structure(spark, monkeypatch, shape, most):
+    n, dim = 6000, 32
+    x = shapes(n, dim, np.random.default_rng(11))[shape]
+    monkeypatch.setattr(rpforest, "PART_BYTES", 100_000)
+    opened = []
+    learn = rpforest.Forest.learn
+
+    def watch(forest, recall, asked):
+        learn(forest, recall, asked)
+        places, queries = rpforest.lifted(x, forest.longest2), x[:200]
+        seen = np.zeros((200, n), bool)
+        for tree in forest.trees:
+            seen |= (tree.far(rpforest.asking(queries)) <= forest.limits(queries)[:, None])[:, tree.leaf_of(places)]
+        opened.append(seen.mean())
+
+    monkeypatch.setattr(rpforest.Forest, "learn", watch)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(4)
+    queries = range(0, n, 60)
+    # learned on a third of the vectors, so that the sample still holds 20 of a cluster: beyond that a query looks further than it must
+    found = grouped(rpforest.search(rows, rows.where("id % 60 = 0"), sample=2000))
+    want = brute(range(n), x, queries, 20)
+    recall = np.mean([len({i for _, i, _ in found[q]} & {i for _, i, _ in want[q]}) / 20 for q in queries])
+    assert set(found) == set(queries) and recall >= 0.9
+    assert opened[0] <= most
+
+
 def test_leaves_open_in_order_of_the_queue():
     rng = np.random.default_rng(2)
     sample = rng.normal(size=(3000, 6))
-    trees = [rpforest.grow(sample, 16, rng) for _ in range(3)]
+    trees = [rpforest.grow(sample, rng) for _ in range(3)]
+    for t in trees:
+        assert np.bincount(t.leaf_of(sample), minlength=t.leaves).max() <= rpforest.LEAF
     for q in rng.normal(size=(20, 6)):
-        opened = rpforest.open_leaves(trees, q, 10_000)
+        opened = rpforest.open_leaves(trees, q, np.inf)
         assert len(opened) == len(set(opened)) == sum(t.leaves for t in trees)
-        assert {leaf for i, leaf in opened[:3] if i == 0} <= set(range(trees[0].leaves))
+        far = [t.far(q[None])[0] for t in trees]
+        order = [far[i][leaf] for i, leaf in opened]
+        assert order == sorted(order) and order[:3] == [0.0] * 3
         assert all((i, int(t.leaf_of(q[None])[0])) in opened[:3] for i, t in enumerate(trees))
+        some = rpforest.open_leaves(trees, q, 0.3)
+        assert some == opened[: len(some)] and len(some) == sum((f <= 0.3).sum() for f in far)
+        # a bound of the distance of all that a leaf holds
+        for t, f in zip(trees, far):
+            assert (np.linalg.norm(sample - q, axis=1) >= f[t.leaf_of(sample)] - 1e-12).all()
 
 
 def test_strays_do_not_decide_the_dimension(spark):
