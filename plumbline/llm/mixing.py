@@ -6,7 +6,10 @@ loses, counted in words, until one fraction is 0 or 1; the other goes on to the
 of either way is such that each document's mean stays. So the words of a source stay as they are at
 every step, and in the end only one document's fraction is rounded alone.
 
-Pairs are formed within small buckets of documents, drawn by a hash. Each leaves at most one open
+Equal rows are one entry: of m rows with the fraction p, floor(m * p) gain a copy, which is what rounding them by pairs
+comes to, and one row with what is left of m * p takes part in the rest.
+
+Pairs are formed within small buckets of entries, drawn by a hash. Each leaves at most one open
 document a source; these meet in groups of ``FAN`` buckets, and so on, in a tree whose every level is one
 Spark job over fewer rows. No task sees more than a bucket of a source, however large the source is.
 All draws are hashes of the documents' keys, so that reruns agree whatever the partitions.
@@ -27,9 +30,11 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
 MOST_COPIES = 2.0
 SEED = 17
-#: Documents of a bucket on average, and buckets that meet on the next level.
+#: Entries of a bucket on average, and buckets that meet on the next level.
 BUCKET = 1_000
 FAN = 32
+#: Rows that one task makes of an entry at once.
+PART = 10_000
 
 _EPS = 1e-12
 
@@ -99,71 +104,85 @@ def pivot(p: list[float], words: list[int], keys: list[int], level: int = 0, las
     return [float(x) for x in out]
 
 
-_SCHEMA = "doc_id long, source string, size long, key long, bucket long, base int, p double"
+_SCHEMA = "doc_id long, source string, size long, key long, rows long, base int, whole long, bucket long, p double"
 
 
 def _round_level(level: int, last: bool):
     """Rows come sorted by bucket and source; every run of equal (bucket, source) is rounded."""
 
-    def solve(rows):
-        rows["p"] = pivot(rows["p"], rows["size"], [k & 0xFFFFFFFFFFFFFFFF for k in rows["key"]], level, last)
+    def solve(parts):
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        p = pivot(rows["p"].to_pylist(), rows["size"].to_pylist(), [k & 0xFFFFFFFFFFFFFFFF for k in rows["key"].to_pylist()], level, last)
+        yield from rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64())).to_batches()
 
     def run(batches):
-        held: dict[str, list] = {}
+        held, at = [], None  # the open run, and its bucket and source
         for b in batches:
-            new = b.to_pydict()
-            held = {k: held.get(k, []) + v for k, v in new.items()}
-            ids = list(zip(held["bucket"], held["source"]))
+            ids = list(zip(b["bucket"].to_pylist(), b["source"].to_pylist()))
             begin = 0
-            for i in range(1, len(ids)):
-                if ids[i] != ids[i - 1]:
-                    part = {k: v[begin:i] for k, v in held.items()}
-                    solve(part)
-                    yield pa.RecordBatch.from_pydict(part, schema=b.schema)
-                    begin = i
-            held = {k: v[begin:] for k, v in held.items()}
-        if held and held["p"]:
-            solve(held)
-            yield pa.RecordBatch.from_pydict(held, schema=b.schema)
+            for i, x in enumerate(ids):
+                if x != at:
+                    held += [b.slice(begin, i - begin)] if i > begin else []
+                    if held:
+                        yield from solve(held)
+                    held, at, begin = [], x, i
+            held += [b.slice(begin)] if len(ids) > begin else []
+        if held:
+            yield from solve(held)
 
     return run
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
-    """doc_id, key, source, size, source_size, target, copies: how often the mix takes each row.
-
-    ``key`` is a hash of doc_id and text. Nulls: a null text has size 0, a null source is a source of its own and comes
-    last, a null doc_id is an id like any other. Repeated rows are rounded each by itself. A source without words has
-    target 0. An empty table gives no rows.
-    """
+def entries(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
+    """doc_id, key, source, size, source_size, target, rows, base, more: every one of the ``rows`` equal rows is taken ``base``
+    times, and ``more`` of them once more."""
     words = F.coalesce(F.regexp_count(docs["text"], F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), words.alias("size"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"))
-    rows = stored(rows, "sizes")
-    targets = stored(source_targets(rows, weights, share, most), "targets")
+    distinct = stored(rows.groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("rows")), "sizes")
+    targets = stored(source_targets(distinct.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, share, most), "targets")
     ratio = F.when(targets["source_size"] > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    n = rows.count()
-    buckets = max(1, ceil(n / BUCKET))
-    aimed = rows.join(targets.select(F.col("source").alias("_s"), ratio.alias("_ratio")), rows["source"].eqNullSafe(F.col("_s")))
+    buckets = max(1, ceil(distinct.count() / BUCKET))
+    aimed = distinct.join(targets.select(F.col("source").alias("_s"), ratio.alias("_ratio")), distinct["source"].eqNullSafe(F.col("_s")))
     base = F.floor(F.col("_ratio") + _EPS).cast("int")
+    more = F.greatest(F.col("_ratio") - base, F.lit(0.0)) * F.col("rows")
+    whole = F.floor(more + F.col("rows") * _EPS)
     open_rows = aimed.select(
-        "doc_id", "source", "size", "key", F.pmod("key", F.lit(buckets)).alias("bucket"), base.alias("base"), F.greatest(F.col("_ratio") - base, F.lit(0.0)).alias("p")
+        "doc_id", "source", "size", "key", "rows", base.alias("base"), whole.alias("whole"), F.pmod("key", F.lit(buckets)).alias("bucket"), F.greatest(more - whole, F.lit(0.0)).alias("p")
     )
     done, level = [], 0
     while True:
         last = buckets == 1
         dealt = open_rows.repartition("bucket", "source").sortWithinPartitions("bucket", "source", F.desc("size"), "key", "doc_id")
         rounded = stored(batched(dealt, _round_level(level, last), _SCHEMA), f"level{level}")
-        whole = F.col("p").isin(0.0, 1.0)
-        done.append(rounded.where(whole))
+        closed = F.col("p").isin(0.0, 1.0)
+        done.append(rounded.where(closed))
         if last:
             break
         buckets, level = ceil(buckets / FAN), level + 1
-        open_rows = rounded.where(~whole).withColumn("bucket", F.floor(F.col("bucket") / F.lit(FAN)))
+        open_rows = rounded.where(~closed).withColumn("bucket", F.floor(F.col("bucket") / F.lit(FAN)))
     out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+    for further in done[1:]:
+        out = out.unionByName(further)
     out = out.join(targets.withColumnRenamed("source", "_s"), out["source"].eqNullSafe(F.col("_s")))
-    return out.select("doc_id", "key", "source", "size", "source_size", "target", (F.col("base") + F.col("p").cast("int")).alias("copies"))
+    return out.select("doc_id", "key", "source", "size", "source_size", "target", "rows", "base", (F.col("whole") + F.col("p").cast("long")).alias("more"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
+    """doc_id, key, source, size, source_size, target, copies: how often the mix takes each row.
+
+    ``key`` is a hash of doc_id and text. Nulls: a null text has size 0, a null source is a source of its own and comes
+    last, a null doc_id is an id like any other. Rows equal in doc_id, text and source are rounded as one entry and come back as
+    often; their copies differ by one at most. A source without words has target 0. An empty table gives no rows.
+    """
+    found = entries(docs, weights, share, most)
+    kinds = F.array(F.struct((F.col("base") + 1).alias("copies"), F.col("more").alias("n")), F.struct(F.col("base").alias("copies"), (F.col("rows") - F.col("more")).alias("n")))
+    found = found.withColumn("kind", F.explode(F.filter(kinds, lambda k: k["n"] > 0)))
+    # an entry of very many rows is spread before it becomes rows again
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(kind.n - 1) div {PART}")))
+    found = found.withColumn("part", parts).repartition("key", "part")
+    left = F.least(F.lit(PART), F.col("kind.n") - F.col("part") * PART).cast("int")
+    found = found.withColumn("_row", F.explode(F.array_repeat(F.lit(0), left)))
+    return found.select("doc_id", "key", "source", "size", "source_size", "target", F.col("kind.copies").alias("copies"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,9 +192,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeat_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: every row as often as it is taken, with all its columns."""
-    found = mix(docs)
-    taken = found.groupBy("key", "doc_id").agg(F.count("*").alias("_rows"), F.sum("copies").alias("_copies"))
+    """The mix itself: every row as often as it is taken, with all its columns.
+
+    Null texts and texts without words have no size, so a mix takes or leaves them by chance; null ids and sources are values
+    like any other. Equal rows share the copies of all of them. An empty table gives no rows.
+    """
+    found = entries(docs)
+    copies = F.sum(F.col("rows") * F.col("base") + F.col("more"))
+    taken = found.groupBy("key", "doc_id").agg(F.sum("rows").alias("_rows"), copies.alias("_copies"))
     taken = stored(taken.select(F.col("key").alias("_key"), F.col("doc_id").alias("_id"), "_rows", "_copies"), "copies")
     # the row goes as one struct, so that its columns may have any names
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("key"), docs["doc_id"].alias("id"))

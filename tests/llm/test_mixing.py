@@ -77,6 +77,25 @@ def test_repeating_rows(spark):
     assert got == Counter({k: v for k, v in copies.items() if v})
 
 
+def test_equal_rows_are_one_entry(spark, monkeypatch):
+    """A third of the rows are one row: nobody holds them together, and their words come out as aimed at."""
+    monkeypatch.setattr(mixing, "PART", 100)
+    hot = spark.range(3_000).selectExpr("1L AS doc_id", "'one two three' AS text", "'a' AS source")
+    rest = spark.range(6_000).selectExpr("id + 10 AS doc_id", "repeat('w ', 1 + id % 20) AS text", "if(id % 3 = 0, 'a', 'b') AS source")
+    table = hot.unionByName(rest)
+    assert mixing.entries(table).count() == 6_001
+    found = mixing.mix(table).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter({1: 3_000} | {i + 10: 1 for i in range(6_000)})
+    words = defaultdict(int)
+    for r in found:
+        words[r["source"], r["target"]] += r["copies"] * r["size"]
+    assert len(words) == 2 and all(abs(n - target) <= 20 for (_, target), n in words.items())
+    copies = [r["copies"] for r in found if r["doc_id"] == 1]
+    target, size = next((r["target"], r["source_size"]) for r in found if r["doc_id"] == 1)
+    assert abs(sum(copies) - 3_000 * target / size) < 1 and max(copies) - min(copies) <= 1
+    assert sorted(found) == sorted(mixing.mix(table.repartition(7)).collect())
+
+
 def test_empty_and_wordless(spark):
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.repeat_to_weights(spark, empty(spark), "").count() == 0
