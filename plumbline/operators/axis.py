@@ -87,11 +87,37 @@ def clip_bands(bands: DataFrame, low: float, high: float) -> DataFrame:
     return bands.filter((F.col("x_end") >= low) & (F.col("x_start") <= high))
 
 
+#: Rows of one side that a tile of a crowded grid cell holds on average.
+TILE = 4_096
+
+
+def _dealt(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Deal the rows of crowded cells ``_g`` to tiles (_g, _a, _b), so that each pair of rows of a cell meets in one tile.
+
+    A cell with n and m rows has ceil(n / TILE) x ceil(m / TILE) tiles; a row goes to one line of them. Both sides are written
+    first: rows get their tiles by their number in the written table, equal rows too, and a task that runs again deals them alike.
+    """
+    left, right = (checkpointed(side).withColumn("_id", F.monotonically_increasing_id()) for side in (left, right))
+    n = left.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).alias("_na"))
+    m = right.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).alias("_nb"))
+    # one row for at least TILE rows of a side
+    crowded = pin_small(checkpointed(n.join(m, "_g").filter((F.col("_na") > 1) | (F.col("_nb") > 1))))
+
+    def deal(side: DataFrame, own: str, other: str) -> DataFrame:
+        counts = {c: F.coalesce(F.col(f"_n{c[1]}"), F.lit(1)) for c in (own, other)}
+        drawn = F.pmod(F.xxhash64("_id"), counts[own])
+        side = side.join(crowded, "_g", "left").withColumn(own, drawn).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), counts[other] - 1)))
+        return side.drop("_id", "_na", "_nb")
+
+    return deal(left, "_a", "_b"), deal(right, "_b", "_a")
+
+
 def match_ranges(segments: DataFrame, known: DataFrame, grid: float, margin: float = 0.0) -> DataFrame:
     """Known lines (``x``) or bands (``x_start, x_end``) that a segment (``seg_start, seg_end``) touches.
 
     Segments and known ranges are listed in the grid cells they cover and joined on the cell; each
-    match is kept once, in the first cell both cover. The known side is broadcast when proven small.
+    match is kept once, in the first cell both cover. The known side is broadcast when proven small; else both
+    sides are shuffled, and crowded cells are dealt to tiles of bounded size.
     """
     step = F.lit(float(grid))
 
@@ -105,7 +131,10 @@ def match_ranges(segments: DataFrame, known: DataFrame, grid: float, margin: flo
     s = segments.withColumn("_g", cells(F.col("seg_start"), F.col("seg_end")))
     touch = (F.col("_hi") >= F.col("seg_start")) & (F.col("_lo") <= F.col("seg_end"))
     first = F.col("_g") == F.floor(F.greatest("_lo", "seg_start") / step)
-    return s.join(pin_small(k), "_g").filter(touch & first).drop("_g", "_lo", "_hi")
+    small, on = pin_small(k), ["_g"]
+    if small is k:
+        (s, small), on = _dealt(s, k), ["_g", "_a", "_b"]
+    return s.join(small, on).filter(touch & first).drop(*on, "_lo", "_hi")
 
 
 # A near-duplicate search looks at this many pieces of the tolerance, and at blocks of so many tolerances.

@@ -66,6 +66,24 @@ def test_match_ranges(spark, grid):
     assert sorted(map(tuple, got)) == sorted((i, j) for i, a, b in seg for j, u, v in bands if v >= a and u <= b)
 
 
+def test_match_ranges_in_crowded_cells(spark, monkeypatch):
+    """Beyond the broadcast limit, with nearly all rows in one cell and half of them equal: the same matches, from even tiles."""
+    monkeypatch.setattr(axis, "pin_small", lambda df: df)
+    monkeypatch.setattr(axis, "TILE", 50)
+    rng = np.random.default_rng(8)
+    start = np.concatenate([rng.uniform(0, 0.9, 500), np.full(500, 0.5), rng.uniform(-30, 30, 20)])
+    seg = [(i, float(a), float(a + 0.001 + (i % 7) * 0.01)) for i, a in enumerate(start)]
+    lines = [(j, float(v)) for j, v in enumerate(np.concatenate([rng.uniform(0, 1, 300), rng.uniform(-30, 30, 40), [0.505] * 5]))]
+    s, k = spark.createDataFrame(seg, "i int, seg_start double, seg_end double"), spark.createDataFrame(lines, "j int, x double")
+    got = axis.match_ranges(s, k, 1.0).select("i", "j").collect()
+    assert sorted(map(tuple, got)) == sorted((i, j) for i, a, b in seg for j, v in lines if a <= v <= b)
+
+    left, right = axis._dealt(s.withColumn("_g", F.lit(0)), k.withColumn("_g", F.lit(0)))
+    for side, rows, lines_of in ((left, len(seg), 7), (right, len(lines), 21)):
+        sizes = [r["count"] for r in side.groupBy("_a", "_b").count().collect()]
+        assert len(sizes) == 21 * 7 and sum(sizes) == rows * lines_of and max(sizes) <= 2 * np.median(sizes)
+
+
 def test_low_weight_runs(spark):
     w = [1, 1, 0.1, 0.1, 0.1, 1, 1, 1, 0.2, 1]
     df = spark.createDataFrame([(1, j, float(v)) for j, v in enumerate(w)], "obj_id int, feat_id int, w_rob double")
