@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.losses import Loss
 from plumbline.plans.fit import FittedModel, ModelSpec, coefficient_table
+from plumbline.runtime import pin_small
 
 CATALOGUE_SCHEMA = "obj_id bigint, parallax double, colour double, magnitude double"
 LINE_SCHEMA = "species string, x double"
@@ -27,6 +28,8 @@ BAND_LIST = "bands"
 MODEL_SCHEMA = "model_id string, grp int, k int, q2 double, n_iter int, converged boolean, loss double, family string, parameters string, ridge double"
 # A bin is written to this part of as many files as a shuffle has partitions.
 FILES_SHARE = 4
+# Rows of a model's coefficients that one file holds on average.
+FILE_ROWS = 1 << 20
 TABLES = ("outliers", "object_scores", "bin_summary", "outlier_vectors", "residuals")
 
 
@@ -112,9 +115,10 @@ class ModelStore:
         if coeffs is None:
             coeffs = coefficient_table(models)
         if coeffs is not None:
-            # a model's rows over several files, but not a file a model from every task
-            files = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // len(models))
-            self._write(coeffs.repartition("model_id", F.pmod(F.hash("obj_id"), F.lit(files))), "coeffs")
+            # a model's rows over as many files as their number asks for, but not a file a model from every task
+            files = coeffs.groupBy("model_id").agg(F.ceil(F.count(F.lit(1)) / F.lit(FILE_ROWS)).alias("_files"))
+            dealt = coeffs.join(pin_small(files), "model_id").withColumn("_file", F.pmod(F.xxhash64("obj_id"), F.col("_files")))
+            self._write(dealt.repartition("model_id", "_file").drop("_files", "_file"), "coeffs")
         basis = [(m.model_id, j, [float(x) for x in row]) for m in models for j, row in enumerate(m.g)]
         self._write(self.spark.createDataFrame(basis, "model_id string, feat_id int, g array<double>"), "basis")
         rows = [

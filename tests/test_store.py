@@ -100,6 +100,25 @@ def test_cached_coefficients_grow_with_the_objects(spark, small, tmp_path):
     assert st.cached_coeffs(model, df.where("obj_id = 59")).count() == 1
 
 
+def test_files_follow_the_rows_of_a_model(spark, tmp_path, monkeypatch):
+    """A large model among many small ones is not written by one task."""
+    monkeypatch.setattr(store, "FILE_ROWS", 500)
+    monkeypatch.setattr(store, "pin_small", lambda df: df)
+    models = [FittedModel(spark, ModelSpec(f"m{i}", 1, Cauchy(3.0)), np.ones((2, 1))) for i in range(120)]
+    sizes = {f"m{i}": 20_000 if i == 7 else 3 for i in range(120)}
+    rows = spark.createDataFrame(list(sizes.items()), "model_id string, n long")
+    rows = rows.selectExpr("model_id", "explode(sequence(1L, n)) AS obj_id").withColumn("a", F.array(F.col("obj_id").cast("double")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one task
+    try:
+        store.ModelStore(spark, str(tmp_path)).save_many(models, rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = spark.read.parquet(f"{tmp_path}/coeffs").withColumn("file", F.input_file_name())
+    counts = {r["model_id"]: (r["rows"], r["files"]) for r in found.groupBy("model_id").agg(F.count("*").alias("rows"), F.countDistinct("file").alias("files")).collect()}
+    assert {m: n for m, (n, _) in counts.items()} == sizes
+    assert counts["m7"][1] > 1 and all(files == 1 for m, (_, files) in counts.items() if m != "m7")
+
+
 def test_a_line_list_of_several_files_has_no_order(spark, tmp_path):
     for n in (*store.LINE_LISTS, store.BAND_LIST):
         spark.range(4).selectExpr("'Fe' AS species", "id + 0.5 AS x").repartition(2).write.option("header", True).csv(str(tmp_path / f"{n}.csv"))
