@@ -60,21 +60,28 @@ def match_catalogue(objects: DataFrame, catalogue: DataFrame) -> DataFrame:
     return objects.join(catalogue, "obj_id", "inner")
 
 
-def read_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+def read_lines(spark: SparkSession, folder: str, parts: bool = False) -> tuple[DataFrame, DataFrame]:
     """The line lists as one table (list_no, pos, species, x) in order of precedence, and the bands.
 
     ``pos`` rises with the place of the line in its file. A list is one file; a list of several has no order and
-    is an error.
+    is an error, unless it comes in ``parts``: then its files are one list in the order of their names, as Spark numbers what it writes.
     """
-    parts = []
+    lists = []
     for no, name in enumerate(LINE_LISTS):
         # multiLine: a file is read whole by one task, in its order
         df = spark.read.schema(LINE_SCHEMA).option("header", True).option("multiLine", True).csv(f"{folder}/{name}.csv")
-        if len(df.inputFiles()) > 1:
-            raise ValueError(f"the line list {name} has more than one file")
-        parts.append(df.select(F.lit(no).alias("list_no"), F.monotonically_increasing_id().alias("pos"), "species", "x"))
-    lines = parts[0]
-    for p in parts[1:]:
+        files = df.inputFiles()
+        pos = F.monotonically_increasing_id()
+        if len(files) > 1:
+            if not parts:
+                raise ValueError(f"the line list {name} has more than one file")
+            # the lower 33 bits of the id rise along the rows of a task, so along a file, wherever it is read
+            rows = df.select("species", "x", F.col("_metadata.file_name").alias("_file"), pos.bitwiseAND(F.lit((1 << 33) - 1)).alias("_row"))
+            order = spark.createDataFrame(list(enumerate(sorted(f.rsplit("/", 1)[-1] for f in files))), "_no long, _file string")
+            df, pos = rows.join(F.broadcast(order), "_file"), F.shiftleft("_no", 33) + F.col("_row")
+        lists.append(df.select(F.lit(no).alias("list_no"), pos.alias("pos"), "species", "x"))
+    lines = lists[0]
+    for p in lists[1:]:
         lines = lines.unionByName(p)
     return lines, spark.read.schema(BAND_SCHEMA).option("header", True).csv(f"{folder}/{BAND_LIST}.csv")
 

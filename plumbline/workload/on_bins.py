@@ -260,7 +260,8 @@ def line_lists(spark, sf_dir):
     for no, name in enumerate(store.LINE_LISTS):
         part.filter(F.col("p_size") % 3 == no).select(F.col("p_type").alias("species"), F.col("p_retailprice").alias("x")).write.csv(f"{folder}/{name}.csv", header=True)
     part.select(F.col("p_type").alias("species"), F.col("p_retailprice").alias("x_start"), (F.col("p_retailprice") + F.col("p_size")).alias("x_end")).write.csv(f"{folder}/{store.BAND_LIST}.csv", header=True)
-    lines, bands = store.read_lines(spark, folder)
+    # a table of several partitions is written as several files a list
+    lines, bands = store.read_lines(spark, folder, parts=True)
     none = F.lit(None)
     rows = lines.select(F.lit("line").alias("kind"), "list_no", "species", "x", none.cast("double").alias("x_end"))
     rows = rows.unionByName(bands.select(F.lit("band").alias("kind"), none.cast("int").alias("list_no"), "species", F.col("x_start").alias("x"), "x_end"))

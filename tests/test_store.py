@@ -126,6 +126,25 @@ def test_a_line_list_of_several_files_has_no_order(spark, tmp_path):
         store.read_lines(spark, str(tmp_path))
 
 
+def test_a_line_list_in_parts_is_read_in_their_order(spark, tmp_path):
+    for n in (*store.LINE_LISTS, store.BAND_LIST):
+        # the later parts are the larger ones, which Spark deals to tasks first
+        spark.range(60).selectExpr("repeat('Fe', cast(id AS int)) AS species", "id + 0.5 AS x").repartitionByRange(4, "x").write.option("header", True).csv(str(tmp_path / f"{n}.csv"))
+    lines, _ = store.read_lines(spark, str(tmp_path), parts=True)
+    for no in range(len(store.LINE_LISTS)):
+        rows = sorted((r["pos"], r["x"]) for r in lines.filter(f"list_no = {no}").collect())
+        assert [x for _, x in rows] == [i + 0.5 for i in range(60)] and len({p for p, _ in rows}) == 60
+
+
+def test_line_lists_of_a_table_of_several_files(spark, tmp_path):
+    from plumbline.workload import QUERIES
+
+    part = spark.range(40).selectExpr("cast(id % 5 AS int) AS p_size", "'t' || id % 3 AS p_type", "100.0D + id % 7 AS p_retailprice")
+    part.repartition(4).write.parquet(str(tmp_path / "part.parquet"))
+    out = QUERIES["line_lists"](spark, str(tmp_path)).collect()
+    assert {k: sum(r["n"] for r in out if r["kind"] == k) for k in ("line", "band")} == {"line": 40, "band": 40}
+
+
 def test_scales_that_differ_late_have_names_of_their_own():
     assert population.model_name(1, 2, 2.0) == "bin01_k2_q2" and population.model_name(1, 2, 0.1 + 0.2) != population.model_name(1, 2, 0.3)
 
