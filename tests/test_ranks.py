@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import ranks
 from plumbline.operators.ranks import numbered, quantiles
 
 PROBS = {"p01": 0.01, "p16": 0.16, "mid": 0.5, "p84": 0.84, "top": 1.0}
@@ -55,6 +56,16 @@ def test_large_groups_answer_like_small_ones(spark, odd):
         assert small == large
 
 
+def test_only_values_near_a_rank_are_counted(spark, monkeypatch):
+    seen, counts = [], ranks._by_counts
+    monkeypatch.setattr(ranks, "_by_counts", lambda df, *rest: seen.append(df.count()) or counts(df, *rest))
+    values = np.random.default_rng(5).normal(size=40_000)
+    df = spark.createDataFrame(pd.DataFrame({"g": 1, "v": values}))
+    got = quantiles(df, "v", {"mid": 0.5, "p90": 0.9}, ("g",), hot_rows=10).first()
+    np.testing.assert_allclose([got["mid"], got["p90"]], np.quantile(values, [0.5, 0.9]), rtol=1e-12)
+    assert len(seen) == 1 and seen[0] < 1_000
+
+
 def test_numbered_keeps_null_groups(spark):
     df = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, x int")
     assert sorted(map(repr, map(tuple, numbered(df, ["x"], ("g",)).collect()))) == ["('a', 3, 0)", "(None, 1, 0)", "(None, 2, 1)"]
