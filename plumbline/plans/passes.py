@@ -24,6 +24,8 @@ CHUNK = 64
 ROW_SCHEMA = "kind string, grp int, obj_id bigint, mat int, r int, chunk int, vec array<double>"
 # Sum matrices of one pass that the driver accepts in total.
 DRIVER_BYTES = 512 << 20
+# Sum rows of all tasks of a pass that one task adds up and solves; more are shuffled by feature.
+GATHER_BYTES = 8 << 20
 # Cells handled by one step of the kernels: a few matrices of this size stay in a core's cache.
 BLOCK_CELLS = 128_000
 
@@ -132,17 +134,49 @@ def _solver(ranks: dict[int, int], ridge: float | None):
     return run
 
 
-def collect_sums(rows: DataFrame, shapes: dict[int, tuple[int, int]], ranks: dict[int, int] | None = None, ridge: float | None = None) -> dict[int, np.ndarray]:
-    """Add up the ``sum`` rows of all tasks: partial sums, one small shuffle, then the driver.
+def _gathered(ranks: dict[int, int], ridge: float | None):
+    """All sum rows added up, and the systems of normal sums solved, by one task."""
 
-    The maximum numbered n comes back under ``-1 - n``. Normal sums, of the matrices in ``ranks``, are added up and solved
-    where they were shuffled to: the driver gets the basis in their place, K numbers a feature.
-    """
-    ranks = ranks or {}
-    sizes = {m: s for m, s in shapes.items() if m not in ranks}
-    total = sum(r * c * 8 for r, c in sizes.values())
-    if total > DRIVER_BYTES:
-        raise ValueError(f"the sums of one pass need {total >> 20} MB on the driver; fit fewer models or features at a time")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
+        tops: dict[int, float] = {}
+        for b in batches:
+            mats, rs, chunks = (b.column(c).to_numpy() for c in ("mat", "r", "chunk"))
+            for mat, chunk in np.unique(np.stack([mats, chunks]), axis=1).T.tolist():
+                own = np.flatnonzero((mats == mat) & (chunks == chunk))
+                v = kernels.matrix(b.column("vec").take(pa.array(own)))
+                if mat < 0:
+                    tops[mat] = np.maximum(tops.get(mat, -np.inf), v.max())
+                    continue
+                held.setdefault((mat, chunk), []).append((rs[own], v))
+        added: dict[int, list] = {}
+        for mat, chunk in sorted(held):
+            r, v = (np.concatenate(x) for x in zip(*held.pop((mat, chunk))))
+            r, at = np.unique(r, return_inverse=True)
+            total = np.zeros((len(r), v.shape[1]))
+            np.add.at(total, at, v)
+            added.setdefault(mat, []).append((chunk, r, total))
+        for mat, parts in added.items():
+            if mat in ranks:
+                p = ranks[mat] * (ranks[mat] + 1) // 2
+                full = np.hstack([total for _, _, total in parts])
+                parts = [(-1, parts[0][1], kernels.solve_packed(full[:, :p], full[:, p:], ridge))]
+            for chunk, r, v in parts:
+                yield _added_rows(mat, r, chunk, v, None)
+        for mat, top in tops.items():
+            yield _added_rows(mat, np.zeros(1), 0, np.array([[top]]), float(top))
+
+    return run
+
+
+def _added_rows(mat: int, r: np.ndarray, chunk: int, v: np.ndarray, top: float | None) -> pa.RecordBatch:
+    n = len(r)
+    whole = [pa.array(x, pa.int32()) for x in (np.full(n, mat, np.int32), r.astype(np.int32), np.full(n, chunk, np.int32))]
+    return pa.RecordBatch.from_arrays([*whole, kernels.lists(v), pa.array([top] * n, pa.float64())], names=["mat", "r", "chunk", "vec", "top"])
+
+
+def _spread(rows: DataFrame, sizes: dict[int, tuple[int, int]], ranks: dict[int, int], ridge: float | None) -> DataFrame:
+    """The same by partial sums and shuffles."""
     width = min(CHUNK, max((c for _, c in sizes.values()), default=1))
     small = rows if not ranks else rows.filter(~F.col("mat").isin(list(ranks)))
     added = small.groupBy("mat", "r", "chunk").agg(
@@ -154,6 +188,30 @@ def collect_sums(rows: DataFrame, shapes: dict[int, tuple[int, int]], ranks: dic
         normal = rows.filter(F.col("mat").isin(list(ranks))).select("mat", "r", "chunk", "vec").repartition("mat", "r").sortWithinPartitions("mat", "r", "chunk")
         solved = arrow_map(normal, _solver(ranks, ridge), "mat int, r int, vec array<double>")
         added = added.unionByName(solved.select("mat", "r", F.lit(-1).alias("chunk"), "vec", F.lit(None).cast("double").alias("top")))
+    return added
+
+
+def collect_sums(
+    rows: DataFrame, shapes: dict[int, tuple[int, int]], ranks: dict[int, int] | None = None, ridge: float | None = None,
+    tasks: int | None = None, written: bool = True,
+) -> dict[int, np.ndarray]:
+    """Add up the ``sum`` rows of all tasks: partial sums, one small shuffle, then the driver.
+
+    The maximum numbered n comes back under ``-1 - n``. Normal sums, of the matrices in ``ranks``, are added up and solved
+    where they were shuffled to: the driver gets the basis in their place, K numbers a feature. If the rows of so many
+    ``tasks`` are few, one task adds and solves them all: a cycle of a small fit is nearly all cost of jobs and shuffles.
+    ``written`` rows are gathered without a shuffle.
+    """
+    ranks = ranks or {}
+    sizes = {m: s for m, s in shapes.items() if m not in ranks}
+    total = sum(r * c * 8 for r, c in sizes.values())
+    if total > DRIVER_BYTES:
+        raise ValueError(f"the sums of one pass need {total >> 20} MB on the driver; fit fewer models or features at a time")
+    if tasks is not None and tasks * sum(8 * r * c for r, c in shapes.values()) <= GATHER_BYTES:
+        few = rows.select("mat", "r", "chunk", "vec")
+        added = arrow_map(few.coalesce(1) if written else few.repartition(1), _gathered(ranks, ridge), "mat int, r int, chunk int, vec array<double>, top double")
+    else:
+        added = _spread(rows, sizes, ranks, ridge)
     table = added.toArrow().combine_chunks()
     out = {m: np.zeros(s if m not in ranks else (s[0], ranks[m])) for m, s in shapes.items() if m >= 0}
     mats, rs, cs = (table.column(c).to_numpy() for c in ("mat", "r", "chunk"))
@@ -211,11 +269,11 @@ class Passes:
         ``ranks`` come back solved."""
         mapped = arrow_map(self.rows() if rows is None else rows, mapper(step, self.width), ROW_SCHEMA)
         if not keep:
-            return collect_sums(mapped.filter("kind = 'sum'"), shapes, ranks, ridge)
+            return collect_sums(mapped.filter("kind = 'sum'"), shapes, ranks, ridge, self.scratch.buckets, written=False)
         name = f"pass_{self.n}"
         self.n += 1
         written = self.scratch.put(mapped, name, KEYS, partition_by="kind")
-        sums = collect_sums(written.filter("kind = 'sum'"), shapes, ranks, ridge)
+        sums = collect_sums(written.filter("kind = 'sum'"), shapes, ranks, ridge, self.scratch.buckets)
         self.state = written.filter("kind = 'state'").select(*KEYS, F.col("vec").alias("state"))
         self._live.append(name)
         return sums

@@ -343,3 +343,20 @@ def test_a_fit_that_went_bad_tells_where(spark, problem, method):
     assert counts == ((0, 3, 120, 1) if method == "als" else (0, 0, 3, 1))
     fine = Factorizer(3, scale=Q, init="random", conv="none", max_iter=2).fit(problem.frame(spark))
     assert fine.nan_history == [(0, 0, 0)] * 2
+
+
+def test_sums_gathered_and_shuffled_are_the_same(spark):
+    from plumbline.plans import passes
+
+    rng = np.random.default_rng(2)
+    shapes, ranks = {0: (5, 9), 1: (3, 70), 2: (1, 5)}, {0: 3}
+    mats = [[np.hstack([np.tile([2.0, 0, 0, 2, 0, 2], (5, 1)), rng.normal(size=(5, 3))]), rng.normal(size=(3, 70)), rng.normal(size=(1, 5))] for _ in range(4)]
+    rows = [(m, r, c // 64, row[c : c + 64].tolist()) for task in mats for m, v in enumerate(task) for r, row in enumerate(v) for c in range(0, v.shape[1], 64)]
+    rows += [(-3, 0, 0, [float(i)]) for i in range(4)]
+    df = spark.createDataFrame(rows, "mat int, r int, chunk int, vec array<double>").repartition(3)
+    wide = passes.collect_sums(df, shapes, ranks)
+    for written in (True, False):
+        few = passes.collect_sums(df, shapes, ranks, tasks=4, written=written)
+        assert sorted(few) == sorted(wide) and all(np.allclose(few[m], wide[m]) for m in wide)
+    total = [sum(task[m] for task in mats) for m in range(3)]
+    assert np.allclose(wide[0], total[0][:, 6:] / 8.0) and np.allclose(wide[1], total[1]) and wide[-3] == [3.0]
