@@ -89,7 +89,7 @@ class Encoder:
     def _known(self, words: pa.Array) -> np.ndarray:
         """The place in the pool of every word; those met for the first time go to the tokenizer."""
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each first
         found = list(map(self.place.get, distinct))
         if new := [w for w, x in zip(distinct, found) if x is None]:
             self._learn(new)
