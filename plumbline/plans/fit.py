@@ -27,6 +27,10 @@ ROTATION = ("fast", "slow", "identity")
 WAVE_BYTES = 64 << 20
 # Largest basis that the driver takes and sends out.
 BASIS_BYTES = 512 << 20
+# Most cycles in a row that do not write their coefficients, and the most that a task may do to go through such cycles again,
+# counted in numbers of normal sums: about a quarter of a second.
+AGAIN_CYCLES = 20
+AGAIN_WORK = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -211,60 +215,77 @@ def _read(block: pa.RecordBatch):
     return grp, y, w, state
 
 
-def _als_step(turns, width: int, settings: Settings, note: bool, compare: bool):
-    """Kernel of one cycle. ``note``: remember these coefficients for the next comparison;
-    ``compare``: measure how far they moved from the ones remembered before."""
+def _cycle(cells, state, turns: list[dict], width: int, settings: Settings, note: bool, sums: Sums | None = None, compare: bool = False) -> np.ndarray:
+    """The state of a block's objects after one cycle. ``note``: remember these coefficients for the next comparison;
+    ``compare``: measure how far they moved from the ones remembered before. Without ``sums`` only the state is wanted."""
+    grp, y_all, w_all = cells
     ridge, each = settings.ridge, settings.reweight == "each"
     remember = settings.conv in ("max_frac_A", "rel_frac_loss")
-
-    def step(block: pa.RecordBatch, sums: Sums) -> np.ndarray:
-        grp, y_all, w_all, state = _read(block)
-        out = np.zeros((len(grp), width * (2 if remember else 1)))
-        for m in turns.value:
-            rows = grp == m["grp"]
-            if not rows.any():
-                continue
-            own, mark = slice(m["at"], m["at"] + m["k"]), slice(width + m["at"], width + m["at"] + m["k"])
-            if not m["live"]:
-                out[rows, own] = state[rows, own]
-                if remember:
-                    out[rows, mark] = state[rows, mark]
-                continue
-            y, w, g, loss = y_all[rows], w_all[rows], m["g"], m["loss"]
-            if m["start"] is not None:
-                a = y @ m["start"]
-            elif state is None:
-                a = kernels.a_step(y, w, g, ridge)
-            else:
-                a = state[rows, own] @ m["t"]
-            r = y - a @ g.T
-            before = loss.loss_np(w, r).sum(), (a * a).sum(), a.size
+    out = np.zeros((len(grp), width * (2 if remember else 1)))
+    for m in turns:
+        rows = grp == m["grp"]
+        if not rows.any():
+            continue
+        own, mark = slice(m["at"], m["at"] + m["k"]), slice(width + m["at"], width + m["at"] + m["k"])
+        if not m["live"]:
+            out[rows, own] = state[rows, own]
             if remember:
-                out[rows, mark] = a if note else state[rows, mark]
-                if compare:
-                    sums.top(m["scalars"], float(((a - state[rows, mark]) ** 2).max()))
+                out[rows, mark] = state[rows, mark]
+            continue
+        y, w, g, loss = y_all[rows], w_all[rows], m["g"], m["loss"]
+        if m["start"] is not None:
+            a = y @ m["start"]
+        elif state is None:
+            a = kernels.a_step(y, w, g, ridge)
+        else:
+            a = state[rows, own] @ m["t"]
+        r = y - a @ g.T
+        if sums is not None:
+            before = loss.loss_np(w, r).sum(), (a * a).sum(), a.size
+        if remember:
+            out[rows, mark] = a if note else state[rows, mark]
+            if compare and sums is not None:
+                sums.top(m["scalars"], float(((a - state[rows, mark]) ** 2).max()))
+        wt = w * loss.weight_np(w, r)
+        a = kernels.a_step(y, wt, g, ridge)
+        out[rows, own] = a
+        if sums is None:
+            continue
+        if each:
+            r = y - a @ g.T
             wt = w * loss.weight_np(w, r)
-            a = kernels.a_step(y, wt, g, ridge)
-            if each:
-                r = y - a @ g.T
-                wt = w * loss.weight_np(w, r)
-            sums.add(m["scalars"], np.array([[*before, np.isnan(a).sum(), np.isnan(wt).sum()]]))
-            sums.add(m["normal"], kernels.g_sums(y, wt, a))
-            sums.add(m["gram"], a.T @ a)
-            out[rows, own] = a
-        return out
+        sums.add(m["scalars"], np.array([[*before, np.isnan(a).sum(), np.isnan(wt).sum()]]))
+        sums.add(m["normal"], kernels.g_sums(y, wt, a))
+        sums.add(m["gram"], a.T @ a)
+    return out
+
+
+def _als_step(told, width: int, settings: Settings, compare: bool, keep: bool):
+    """Kernel of one cycle, the last of those ``told``. The ones before it are gone through again from the coefficients
+    that were written last. Without ``keep`` only the sums are made."""
+
+    def step(block: pa.RecordBatch, sums: Sums) -> np.ndarray | None:
+        *cells, state = _read(block)
+        *before, (turns, note) = told.value
+        for past, noted in before:
+            state = _cycle(cells, state, past, width, settings, noted)
+        state = _cycle(cells, state, turns, width, settings, note, sums, compare)
+        return state if keep else None
 
     return step
 
 
-def _finish_step(turns, width: int):
+def _finish_step(turns, width: int, unwritten=None, settings: Settings | None = None):
     """Final coefficients in their final gauge, the number of valid cells, and the final loss.
 
-    ``check`` is the gauge in which a last comparison with the remembered coefficients is due.
+    ``check`` is the gauge in which a last comparison with the remembered coefficients is due. ``unwritten`` are the cycles
+    since the coefficients were last written.
     """
 
     def step(block: pa.RecordBatch, sums: Sums) -> np.ndarray:
         grp, y_all, w_all, state = _read(block)
+        for past, noted in unwritten.value if unwritten is not None else ():
+            state = _cycle((grp, y_all, w_all), state, past, width, settings, noted)
         out = np.zeros((len(grp), width + 1))
         out[:, width] = (w_all > 0).sum(axis=1)
         for m in turns.value:
@@ -285,6 +306,13 @@ def _finish_step(turns, width: int):
     return step
 
 
+def _writes(passes: Passes, live: list[_Turn], shapes: dict[int, tuple[int, int]], pending: int) -> bool:
+    """Whether a cycle writes its coefficients. Writing costs much the same however few they are; going through the ``pending``
+    cycles again costs as much as the objects ask for. A small fit writes seldom, a large one every cycle."""
+    work = passes.n_objects * passes.width * sum(t.spec.k * (t.spec.k + 3) // 2 for t in live) // passes.tasks()
+    return pending >= AGAIN_CYCLES or pending * work > AGAIN_WORK or not passes.holds(shapes)
+
+
 def fit_many(
     objects: DataFrame,
     specs: list[ModelSpec],
@@ -431,21 +459,28 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
     later = settings.conv in ("max_frac_A", "rel_frac_loss")
     passes.state = None
     rows = _first_rows(passes, turns, width, settings, init)
+    # the cycles since the coefficients were last written
+    pending: list[tuple[list[dict], bool]] = []
 
     def is_check(i: int) -> bool:
         return i > 0 and i % settings.check_every == 0
 
     for i in range(settings.max_iter):
         live = [t for t in turns if t.live]
-        told = sc.broadcast([t.told() for t in turns])
         shapes = {}
         for t in live:
             k = t.spec.k
             shapes.update({t.normal: (passes.width, k * (k + 3) // 2), t.gram: (k, k), t.scalars: (1, 5)})
         # Coefficients in hand are those after cycle i - 1; they are compared and remembered if that was a check.
-        step = _als_step(told, width, settings, note=i == 0 or is_check(i - 1), compare=is_check(i - 1))
-        sums = passes.run(step, shapes, rows=rows, ranks={t.normal: t.spec.k for t in live}, ridge=settings.ridge)
+        pending.append(([t.told() for t in turns], i == 0 or is_check(i - 1)))
+        keep = i == 0 or _writes(passes, live, shapes, len(pending))
+        told = sc.broadcast(pending)
+        step = _als_step(told, width, settings, is_check(i - 1), keep)
+        ranks = {t.normal: t.spec.k for t in live}
+        sums = passes.run(step, shapes, rows=rows, ranks=ranks, ridge=settings.ridge) if keep else passes.sum_up(step, shapes, ranks, settings.ridge)
         told.unpersist()
+        if keep:
+            pending = []
         rows = None
         for t in live:
             loss, size_a, cells, bad_a, bad_w = sums[t.scalars][0]
@@ -490,7 +525,8 @@ def _fit_wave(passes: Passes, specs: list[ModelSpec], settings: Settings, init:
             turn, back = rotate.principal(t.gram_a, t.g.T @ t.g)
             m["t"], m["g"] = t.t @ turn, t.g @ back
             t.g = m["g"]
-    sums = passes.run(_finish_step(sc.broadcast(told), width), {t.scalars: (1, 3) for t in turns})
+    finish = _finish_step(sc.broadcast(told), width, sc.broadcast(pending), settings)
+    sums = passes.run(finish, {t.scalars: (1, 3) for t in turns})
     for t, check in zip(turns, due):
         loss, size_a, cells = sums[t.scalars][0]
         if check and settings.conv == "max_frac_A":

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions import kernels
@@ -26,6 +27,10 @@ ROW_SCHEMA = "kind string, grp int, obj_id bigint, mat int, r int, chunk int, ve
 DRIVER_BYTES = 512 << 20
 # Sum rows of all tasks of a pass that one task adds up and solves; more are shuffled by feature.
 GATHER_BYTES = 8 << 20
+# Objects of a bucket that the executors hold, joined with their state, for passes that only make sums; and of a task there,
+# where more buckets than cores have less than that.
+HOLD_BYTES = 64 << 20
+HOLD_TASK_BYTES = 4 << 20
 # Cells handled by one step of the kernels: a few matrices of this size stay in a core's cache.
 BLOCK_CELLS = 128_000
 
@@ -82,20 +87,24 @@ def blocks(batch: pa.RecordBatch, width: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, step)
 
 
+def _steps(batches: Iterator[pa.RecordBatch], step, width: int, sums: Sums) -> Iterator[tuple[pa.RecordBatch, np.ndarray | None]]:
+    for batch in batches:
+        for block in blocks(batch, width):
+            if block.num_rows == 0:
+                continue
+            if not np.all(np.diff(block.column("y").offsets.to_numpy()) == width):
+                raise ValueError(f"all objects must have {width} features")
+            yield block, step(block, sums)
+
+
 def mapper(step: Callable[[pa.RecordBatch, Sums], np.ndarray | None], width: int):
     """Turn a kernel ``step(batch, sums) -> state vectors`` into a function for ``mapInArrow``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
-        for batch in batches:
-            for block in blocks(batch, width):
-                if block.num_rows == 0:
-                    continue
-                if not np.all(np.diff(block.column("y").offsets.to_numpy()) == width):
-                    raise ValueError(f"all objects must have {width} features")
-                vec = step(block, sums)
-                if vec is not None:
-                    yield state_rows(block.column("grp"), block.column("obj_id"), vec)
+        for block, vec in _steps(batches, step, width, sums):
+            if vec is not None:
+                yield state_rows(block.column("grp"), block.column("obj_id"), vec)
         for mat, value in sums.mats.items():
             yield from sum_rows(mat, value)
         for mat, value in sums.tops.items():
@@ -104,6 +113,32 @@ def mapper(step: Callable[[pa.RecordBatch, Sums], np.ndarray | None], width: int
     return run
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch as one value, its Arrow stream."""
+    for batch in batches:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, batch.schema) as stream:
+            stream.write_batch(batch)
+        yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["rows"])
+
+
+def summer(step: Callable[[pa.RecordBatch, Sums], np.ndarray | None], width: int):
+    """Turn a kernel into a function from the packed batches of a task to its sums and maxima."""
+
+    def run(packed: Iterator) -> Iterator[tuple[dict[int, np.ndarray], dict[int, float]]]:
+        sums = Sums()
+        for _ in _steps((b for p in packed for b in pa.ipc.open_stream(p["rows"])), step, width, sums):
+            pass
+        yield sums.mats, sums.tops
+
+    return run
+
+
+def few(shapes: dict[int, tuple[int, int]], tasks: int | None) -> bool:
+    """Whether the sums of so many tasks are few enough to meet in one place."""
+    return tasks is not None and tasks * sum(8 * r * c for r, c in shapes.values()) <= GATHER_BYTES
+
+
 def _solver(ranks: dict[int, int], ridge: float | None):
     """Add up the normal sums of the features that come by, in order of matrix and feature, and solve each feature's system."""
 
@@ -207,9 +242,9 @@ def collect_sums(
     total = sum(r * c * 8 for r, c in sizes.values())
     if total > DRIVER_BYTES:
         raise ValueError(f"the sums of one pass need {total >> 20} MB on the driver; fit fewer models or features at a time")
-    if tasks is not None and tasks * sum(8 * r * c for r, c in shapes.values()) <= GATHER_BYTES:
-        few = rows.select("mat", "r", "chunk", "vec")
-        added = arrow_map(few.coalesce(1) if written else few.repartition(1), _gathered(ranks, ridge), "mat int, r int, chunk int, vec array<double>, top double")
+    if few(shapes, tasks):
+        made = rows.select("mat", "r", "chunk", "vec")
+        added = arrow_map(made.coalesce(1) if written else made.repartition(1), _gathered(ranks, ridge), "mat int, r int, chunk int, vec array<double>, top double")
     else:
         added = _spread(rows, sizes, ranks, ridge)
     table = added.toArrow().combine_chunks()
@@ -244,6 +279,7 @@ class Passes:
         self.columns = columns
         self.width, self.n_objects = self._size()
         self.state: DataFrame | None = None
+        self._held: RDD | None = None
         self.n = 0
         self._live: list[str] = []
 
@@ -261,6 +297,43 @@ class Passes:
             return self.objects
         return self.objects.join(state.hint("shuffle_hash"), KEYS)
 
+    def _bytes(self) -> int:
+        return 8 * self.n_objects * self.width * len(self.columns)
+
+    def tasks(self) -> int:
+        """Tasks of a pass over the rows that the executors hold: small buckets go together, down to one task a core."""
+        return min(self.scratch.buckets, max(self.spark.sparkContext.defaultParallelism, self._bytes() // HOLD_TASK_BYTES))
+
+    def holds(self, shapes: dict[int, tuple[int, int]]) -> bool:
+        """Whether objects and sums are small enough for a pass over the rows that the executors hold."""
+        return self._bytes() <= HOLD_BYTES * self.scratch.buckets and few(shapes, self.tasks())
+
+    def sum_up(self, step, shapes: dict[int, tuple[int, int]], ranks: dict[int, int] | None = None, ridge: float | None = None) -> dict[int, np.ndarray]:
+        """One pass that writes nothing, over rows that are joined once a state and held by the executors; what an executor
+        loses is read again from the tables. The few sums of the tasks are added up and solved by the driver, so that such a
+        pass is one job of one stage.
+        """
+        if self._held is None:
+            packed = arrow_map(self.rows(), _packed, "rows binary").rdd
+            self._held = packed.coalesce(self.tasks()).persist(StorageLevel.MEMORY_AND_DISK)
+        total = Sums()
+        for mats, tops in self._held.mapPartitions(summer(step, self.width)).collect():
+            for mat, value in mats.items():
+                total.add(mat, value)
+            for mat, value in tops.items():
+                total.tops[mat] = np.maximum(value, total.tops.get(mat, -np.inf))
+        out = {m: np.zeros(s) for m, s in shapes.items()} | total.mats
+        for mat, k in (ranks or {}).items():
+            p = k * (k + 1) // 2
+            out[mat] = kernels.solve_packed(out[mat][:, :p], out[mat][:, p:], ridge)
+        return out | {-1 - mat: np.array([top]) for mat, top in total.tops.items()}
+
+    def let_go(self) -> None:
+        """Free the rows that are held."""
+        if self._held is not None:
+            self._held.unpersist()
+            self._held = None
+
     def run(
         self, step, shapes: dict[int, tuple[int, int]], rows: DataFrame | None = None, keep: bool = True,
         ranks: dict[int, int] | None = None, ridge: float | None = None,
@@ -270,6 +343,7 @@ class Passes:
         mapped = arrow_map(self.rows() if rows is None else rows, mapper(step, self.width), ROW_SCHEMA)
         if not keep:
             return collect_sums(mapped.filter("kind = 'sum'"), shapes, ranks, ridge, self.scratch.buckets, written=False)
+        self.let_go()
         name = f"pass_{self.n}"
         self.n += 1
         written = self.scratch.put(mapped, name, KEYS, partition_by="kind")

@@ -360,3 +360,54 @@ def test_sums_gathered_and_shuffled_are_the_same(spark):
         assert sorted(few) == sorted(wide) and all(np.allclose(few[m], wide[m]) for m in wide)
     total = [sum(task[m] for task in mats) for m in range(3)]
     assert np.allclose(wide[0], total[0][:, 6:] / 8.0) and np.allclose(wide[1], total[1]) and wide[-3] == [3.0]
+
+
+def _written(monkeypatch) -> list[str]:
+    from plumbline.runtime import Scratch
+
+    names, put = [], Scratch.put
+    monkeypatch.setattr(Scratch, "put", lambda self, df, name, *rest, **more: names.append(name) or put(self, df, name, *rest, **more))
+    return names
+
+
+def test_a_small_fit_writes_its_coefficients_seldom(df, problem, monkeypatch):
+    names = _written(monkeypatch)
+    model = Factorizer(3, scale=Q, conv="none", max_iter=12).fit(df)
+    # objects, first cycle, end
+    assert len(names) == 3
+    a, g, history = twin.fit(problem.y, problem.w, 3, Q * Q, 12)
+    np.testing.assert_allclose(product(model), a @ g.T, atol=1e-6)
+    np.testing.assert_allclose(model.loss_history, history, rtol=1e-9)
+    names.clear()
+    monkeypatch.setattr("plumbline.plans.fit.AGAIN_CYCLES", 4)
+    again = Factorizer(3, scale=Q, conv="none", max_iter=12).fit(df)
+    assert len(names) == 5
+    np.testing.assert_allclose(product(again), product(model), atol=1e-9)
+
+
+@pytest.mark.parametrize("limit", ["plans.fit.AGAIN_WORK", "plans.passes.HOLD_BYTES", "plans.passes.GATHER_BYTES"])
+def test_a_large_fit_writes_every_cycle(df, monkeypatch, limit):
+    monkeypatch.setattr(f"plumbline.{limit}", 0)
+    names = _written(monkeypatch)
+    Factorizer(2, scale=Q, conv="none", max_iter=4).fit(df)
+    assert len(names) == 6
+
+
+@pytest.mark.parametrize("conv, kw", [("max_frac_A", {}), ("rel_frac_loss", {"order": True}), ("max_frac_G", {"reweight": "each", "ridge": 1e-3, "init": "random"})])
+def test_unwritten_cycles_change_nothing(spark, df, monkeypatch, conv, kw):
+    other = Problem(n=90, m=40, seed=5)
+    both = df.select(F.lit(0).alias("grp"), "obj_id", "y", "w").unionByName(other.frame(spark).select(F.lit(4).alias("grp"), "obj_id", "y", "w"))
+    specs = [ModelSpec("a", 2, Cauchy(2.0)), ModelSpec("b", 3, Cauchy(Q)), ModelSpec("c", 3, Cauchy(Q), 4)]
+    settings = Settings(conv=conv, tol=1e-2, check_every=2, max_iter=7, **kw)
+    names = _written(monkeypatch)
+    seldom = fit_many(both, specs, settings)
+    assert len(names) == 3
+    monkeypatch.setattr("plumbline.plans.fit.AGAIN_CYCLES", 1)
+    always = fit_many(both, specs, settings)
+    assert len(names) >= 3 + 2 + max(m.n_iter for m in always.values())
+    for name, m in always.items():
+        s = seldom[name]
+        assert (s.n_iter, s.converged, s.nan_history) == (m.n_iter, m.converged, m.nan_history)
+        np.testing.assert_allclose(s.loss_history, m.loss_history, rtol=1e-9)
+        np.testing.assert_allclose(s.g, m.g, atol=1e-7)
+        np.testing.assert_allclose(arrays(s.coeffs, "a"), arrays(m.coeffs, "a"), atol=1e-7)
